@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash_dedup
+from . import embedding_dedup, minhash_dedup, packing, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents lie in 12 shards by their source and go to 16 of nearly equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    out = sharding.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(12)), 12, 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op5_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, RULES))
+
+
+OP9_SQL = f"""
+WITH rules(rhost, rpath, rverdict) AS (VALUES {", ".join(repr(r) for r in RULES)}),
+rest AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS t FROM pages),
+sites AS (SELECT page_id,
+    translate(regexp_extract(t, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+    regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+uniq AS (SELECT DISTINCT host, path FROM sites),
+best AS (SELECT host, path, rhost || rpath AS rule, rverdict,
+    row_number() OVER (PARTITION BY host, path ORDER BY length(rhost) + length(rpath) DESC, length(rhost) DESC, rverdict DESC) AS n
+  FROM uniq JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT s.page_id, s.host, s.path, b.rule, coalesce(b.rverdict, 'allow') AS verdict
+FROM sites s LEFT JOIN best b ON s.host = b.host AND s.path = b.path AND b.n = 1
+"""
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
-QUERIES = {f.__name__: f for f in (op10_minhash_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_min_cost_resharding, op5_lattice_embedding_dedup, op8_hierarchical_packing, op9_url_filter, op10_minhash_dedup)}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
