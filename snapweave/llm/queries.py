@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, minhash_dedup, packing, sharding, url_filter
+from . import decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, packing, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,21 @@ def op1_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated lines taken out."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("_lines_removed").alias("lines_removed"))
+
+
+def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op5_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
@@ -54,5 +69,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_min_cost_resharding, op5_lattice_embedding_dedup, op8_hierarchical_packing, op9_url_filter, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_min_cost_resharding, op2_fuzzy_line_dedup, op3_language_spans, op4_template_decontamination, op5_lattice_embedding_dedup, op8_hierarchical_packing, op9_url_filter, op10_minhash_dedup)}
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}

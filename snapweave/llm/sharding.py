@@ -95,7 +95,7 @@ def reshard(docs: DataFrame, old_shard, old_shards: int, new_shards: int, weight
     inner = Window.partitionBy("old_shard", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(inner)).join(each, ["old_shard", "block"]).join(F.broadcast(runs), "old_shard")
     middle = F.col("ahead") + F.col("upto") - F.col("size") / 2
-    run = F.filter("runs", lambda r: middle < r["until"])[0]["shard"]
+    run = F.get(F.filter("runs", lambda r: middle < r["until"]), F.lit(0))["shard"]
     placed = placed.withColumn("shard", F.coalesce(run, F.element_at("runs", -1)["shard"])).drop("runs", "ahead", "upto")
     nth = F.row_number().over(Window.partitionBy("old_shard", "block", "shard").orderBy(*order))
     placed = scratch.table(placed.withColumn("nth", nth), "placed")
