@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import sorted_groups
 from .components import connected_components
 from .scratch import Scratch
 from .words import mix
@@ -76,26 +77,6 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rid, vec_id, label.cast(pa.int64()), vectors.cast(pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int64()))], schema=schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Of rows sorted by (cell, i, j), those of each key; a key's rows may span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(keys[low])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(low, high - low))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _compare(threshold: float):
     schema = pa.schema([("rid", pa.int64()), ("links", pa.int64()), ("reached", pa.int64())])
 
@@ -104,7 +85,7 @@ def _compare(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for group in _groups(batches):
+        for group in sorted_groups(batches):
             cell, i, j = (group.column(k)[0].as_py() for k in range(3))
             rid, own, label = (group.column(c).to_numpy() for c in ("rid", "own", "label"))
             lengths = pc.list_value_length(group.column("vector")).to_numpy()

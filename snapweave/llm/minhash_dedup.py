@@ -8,8 +8,9 @@ Documents of equal sets are one class, found by hashing, and only classes are co
 nothing. A class is looked for in the buckets of its bands; in each bucket first two centres are compared
 with all its members, then, between members whose components still differ, all pairs (in blocks where the
 bucket is large), so that a group of copies needs few comparisons and no link between components is lost.
-A one-bit sketch of the signature leaves out pairs that are more than five standard deviations below the
-threshold; what is left is confirmed on the full sets.
+One-bit sketches of signatures (512 registers; 4096 for members of large buckets of several components)
+leave out pairs more than five standard deviations below the threshold; what is left is confirmed on the
+full sets.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import sorted_groups
 from .components import connected_components
 from .scratch import Scratch, join_counted
 from .words import column_words, mix, shingles
 
 REGISTERS, BANDS, ROWS = 512, 24, 5
+#: Registers of the longer sketch that members of large, mixed buckets get.
+FINE = 4096
 #: Members of a bucket that are compared in one block.
 BLOCK = 256
-_BITS = np.uint64(55)
 
 
 def super_minhash(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
@@ -45,13 +48,14 @@ def super_minhash(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndar
     sizes = np.array([len(s) for s in sets])
     element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     flat, low = out.reshape(-1), np.uint64(registers - 1)
+    shift = np.uint64(64 - (registers - 1).bit_length())
     half = np.uint64((registers - 1).bit_length() // 2)
     key = mix(element, 7)
     a, b, c = key >> np.uint64(3), (key >> np.uint64(20)) | np.uint64(1), (key >> np.uint64(40)) | np.uint64(1)
     for j in range(registers):
         place = (np.uint64(j) * b + a) & low
         place = ((place ^ (place >> half)) * c) & low
-        value = (np.uint64(j) << _BITS) | (mix(element + np.uint64(j * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF), 11) >> np.uint64(9))
+        value = (np.uint64(j) << shift) | (mix(element + np.uint64(j * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF), 11) >> (np.uint64(64) - shift))
         np.minimum.at(flat, owner * registers + place.astype(np.int64), value)
         if j > 4 and j % 8:  # a round too many changes nothing
             continue
@@ -64,6 +68,21 @@ def super_minhash(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndar
     return out
 
 
+def _one_bit(signed: np.ndarray) -> np.ndarray:
+    return np.packbits((signed & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, text -> node, n and the longer sketch."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
+    for batch in batches:
+        for row, stop, hashes, begins in column_words(batch.column(1)):
+            sets = shingles(hashes, begins)
+            bits = np.concatenate([_one_bit(super_minhash(sets[k : k + 200], FINE)) for k in range(0, len(sets), 200)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bits.shape[1], pa.int32()), pa.array(bits.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[row:stop], pa.array([len(s) for s in sets], pa.int64()), lists], schema=schema)
+
+
 def _features(percent: int):
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
     weight = mix(np.arange(BANDS * ROWS, dtype=np.uint64), 3) | np.uint64(1)
@@ -80,7 +99,7 @@ def _features(percent: int):
                 signed = super_minhash([s for s, f in zip(sets, far, strict=True) if f])
                 bands = (signed[:, : BANDS * ROWS] * weight).reshape(-1, BANDS, ROWS).sum(axis=2, dtype=np.uint64)
                 bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                bits = np.packbits((signed & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                bits = _one_bit(signed)
                 at = np.append(0, np.cumsum(far))
                 lists = [pa.ListArray.from_arrays(pa.array(at * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (bands, bits)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row:stop], batch.column(1)[row:stop], pa.array(n), pa.array(node), *lists], schema=schema)
@@ -164,18 +183,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, scratch: Scratch | None
 
     told = full.select("bucket", "node", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = told.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    told = told.join(mixed, "bucket").where("size > 3").join(sketch, "node")  # two centres have met all of three
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    told = told.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
-    told = scratch.table(told.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "told")
-    side = lambda s, i, j: told.select("bucket", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "bits")])
-    # each pair of blocks meets once where i < j; within a block, i = j, the smaller node comes first
-    meet = side("a", "own", "other").where("i <= j").join(
-        side("b", "other", "own").where("i <= j").withColumnsRenamed({"bucket": "bucket_b", "i": "i_b", "j": "j_b"}),
-        (F.col("bucket") == F.col("bucket_b")) & (F.col("i") == F.col("i_b")) & (F.col("j") == F.col("j_b")) & (F.col("component_a") != F.col("component_b"))
-        & ((F.col("i") != F.col("j")) | (F.col("node_a") < F.col("node_b"))) & _alike("n_a", "n_b", "bits_a", "bits_b", percent),
-    )
-    second = meet.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    told = scratch.table(told.join(mixed, "bucket").where("size > 3"), "mixed")  # two centres have met all of three
+    fine = scratch.table(body.join(told.select("node").distinct(), "node", "left_semi").mapInArrow(_fine, "node long, n long, bits array<long>"), "fine")
+    own = told.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # a bucket for each band at most
+    told = told.join(fine.join(own, "node"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    told = told.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    told = told.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits", "buckets")
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    told = told.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    second = told.mapInArrow(_meet(percent), "a long, b long")
     second = scratch.table(second.join(first, ["a", "b"], "left_anti"), "second")
     links = scratch.table(verified(second).unionByName(links), "links-2")
     label = connected_components(links, scratch, "label-2")
@@ -188,12 +204,54 @@ def near_duplicates(docs: DataFrame, percent: int = 85, scratch: Scratch | None
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), own.alias("component_id"), (own.eqNullSafe(F.col("doc_id"))).alias("kept"))
 
 
+def _limit(percent: int, registers: int) -> int:
+    """Bits in which two sketches may differ: equal bits are (1 + J) / 2 of all on average, here less 5.5 standard deviations."""
+    share = (1 + percent / 100) / 2
+    least = share - 5.5 * (share * (1 - share) / registers) ** 0.5
+    return int((1 - least) * registers)
+
+
 def _alike(n_a: str, n_b: str, bits_a: str, bits_b: str, percent: int):
-    """Sizes and one-bit sketches that don't rule the threshold out: equal bits are (1 + J) / 2 of all on average."""
-    j = percent / 100
-    share = (1 + j) / 2
-    least = share - 5.5 * (share * (1 - share) / REGISTERS) ** 0.5
-    words = REGISTERS // 64
-    differ = sum((F.bit_count(F.col(bits_a)[k].bitwiseXOR(F.col(bits_b)[k])) for k in range(words)), F.lit(0))
-    sizes = (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
-    return sizes & (differ <= int((1 - least) * REGISTERS))
+    """Sizes and one-bit sketches that don't rule the threshold out."""
+    differ = sum((F.bit_count(F.col(bits_a)[k].bitwiseXOR(F.col(bits_b)[k])) for k in range(REGISTERS // 64)), F.lit(0))
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (differ <= _limit(percent, REGISTERS))
+
+
+def _meet(percent: int):
+    """Of the blocks of a bucket, sorted by (bucket, i, j): pairs of different components that may reach the threshold.
+
+    A pair that shares several buckets is given by the least of them alone.
+    """
+    schema, most = pa.schema([("a", pa.int64()), ("b", pa.int64())]), _limit(percent, FINE)
+    nothing = np.iinfo(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches):
+            bucket, i, j = (group.column(k)[0].as_py() for k in range(3))
+            own, node, component, n = (group.column(c).to_numpy() for c in ("own", "node", "component", "n"))
+            if component.min() == component.max():
+                continue
+            bits = group.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(node)),) * 2
+            good = (component[left][:, None] != component[right]) & (np.minimum(n[left][:, None], n[right]) * 100 >= np.maximum(n[left][:, None], n[right]) * percent)
+            if i == j:
+                good &= node[left][:, None] < node[right]
+            a, b = np.nonzero(good)
+            found = []
+            for low in range(0, len(a), 8192):
+                p, q = left[a[low : low + 8192]], right[b[low : low + 8192]]
+                near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64) <= most
+                found.append((p[near], q[near]))
+            p, q = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (a, b)
+            if not len(p):
+                continue
+            lists = group.column("buckets").to_pylist()
+            table = np.full((len(node), BANDS), nothing.max)
+            for k in np.unique(np.concatenate([p, q])).tolist():
+                table[k, : len(lists[k])] = lists[k]
+            x, y = table[p], table[q]
+            y = np.where(y == nothing.max, nothing.min, y)  # what fills a row up is equal to nothing
+            first = np.where((x[:, :, None] == y[:, None, :]).any(axis=2), x, nothing.max).min(axis=1) == bucket
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p], node[q])[first]), pa.array(np.maximum(node[p], node[q])[first])], schema=schema)
+
+    return run
