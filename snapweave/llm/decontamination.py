@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, join_counted
+from .scratch import Scratch, join_counted, without
 from .words import _SPOT, hash_runs, mix, pieces, runs, text_bytes
 
 WINDOW, LITERALS = 8, 4
@@ -186,7 +186,5 @@ def _has_short(bench: DataFrame) -> bool:
 
 def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """docs without those that hold an item; all columns as they are."""
-    gone = contaminated(docs, benchmark, scratch=scratch).select(F.col("row_key").alias("_gone")).distinct()
-    key = F.xxhash64("doc_id", "text")
-    small = gone.count() <= 500_000
-    return docs.join(F.broadcast(gone) if small else gone, key == F.col("_gone"), "left_anti")
+    scratch = scratch or Scratch(docs.sparkSession, "clean")
+    return without(docs, scratch.table(contaminated(docs, benchmark, scratch=scratch).select("row_key").distinct(), "gone"))

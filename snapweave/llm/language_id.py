@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch, without
 from .words import mix
 
 BUCKETS = 1 << 14
@@ -241,3 +242,10 @@ def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
 def held_out(doc_id="doc_id"):
     """True for the documents that training leaves out: crc32 of the id as text, mod 4, is 2."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4 == 2
+
+
+def in_known_language(docs: DataFrame, least: float = 0.35, scratch: Scratch | None = None) -> DataFrame:
+    """docs whose text is in a language learned from their own lang column: und, and texts of which no language has the share `least`, go."""
+    scratch = scratch or Scratch(docs.sparkSession, "language")
+    found = predict(docs, train(docs))
+    return without(docs, scratch.table(found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("row_key").distinct(), "rejected"))

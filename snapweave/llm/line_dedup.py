@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, join_counted
+from .scratch import Scratch, fresh, join_counted
 from .words import hash_runs, mix, pieces, runs, text_bytes
 
 BITS, BLOCKS, DISTANCE = 64, 5, 3
@@ -128,14 +128,16 @@ def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, sc
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
-    """docs with repeated lines taken out of `text`, and two more columns of no other name: _lines_removed, _row_key.
+    """docs with repeated lines taken out of `text`, and one more column, lines_removed (with underscores after it where docs has one of that name).
 
     Rows of equal doc_id and text are one document that occurs twice; both lose the same lines. A null text
     stays null, an empty one empty; a text all of whose lines go becomes empty. Other columns are kept as
     they are. Empty in, empty out.
     """
-    gone = line_groups(docs, min_words, similarity, scratch).groupBy("row_key").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("row_key", "_row_key")
-    rows = docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(gone, "_row_key", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("_gone", k.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn("text", text).withColumn("_lines_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).select(*docs.columns, "_lines_removed", "_row_key")
+    key, gone, removed = (fresh(docs, n) for n in ("row_key", "gone", "lines_removed"))
+    found = line_groups(docs, min_words, similarity, scratch).groupBy("row_key").agg(F.collect_set("line_no").alias(gone)).withColumnRenamed("row_key", key)
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(gone, k.cast("long")))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    count = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))
+    return rows.withColumn("text", text).withColumn(removed, count).select(*docs.columns, removed)

@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .blocks import sorted_groups
 from .components import connected_components
-from .scratch import Scratch, join_counted
+from .scratch import Scratch, fresh, join_counted, without
 from .words import column_words, mix, shingles
 
-REGISTERS, BANDS, ROWS = 512, 24, 5
+REGISTERS, BANDS = 512, 24
 #: Registers of the longer sketch that members of large, mixed buckets get.
 FINE = 4096
 #: Members of a bucket that are compared in one block.
@@ -83,9 +83,15 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[row:stop], pa.array([len(s) for s in sets], pa.int64()), lists], schema=schema)
 
 
+def _rows(percent: int) -> int:
+    """Registers of a band. Of pairs at the threshold, one in a million (85) or three (80) share none of 24 bands."""
+    return 5 if percent >= 85 else 4 if percent >= 80 else 3
+
+
 def _features(percent: int):
+    rows = _rows(percent)
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
-    weight = mix(np.arange(BANDS * ROWS, dtype=np.uint64), 3) | np.uint64(1)
+    weight = mix(np.arange(BANDS * rows, dtype=np.uint64), 3) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +103,7 @@ def _features(percent: int):
                 # k shingles can be like others only if k / (k + 1) reaches the threshold, else equality alone links
                 far = n * 100 >= percent * (n + 1)
                 signed = super_minhash([s for s, f in zip(sets, far, strict=True) if f])
-                bands = (signed[:, : BANDS * ROWS] * weight).reshape(-1, BANDS, ROWS).sum(axis=2, dtype=np.uint64)
+                bands = (signed[:, : BANDS * rows] * weight).reshape(-1, BANDS, rows).sum(axis=2, dtype=np.uint64)
                 bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 bits = _one_bit(signed)
                 at = np.append(0, np.cumsum(far))
@@ -204,6 +210,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, scratch: Scratch | None
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), own.alias("component_id"), (own.eqNullSafe(F.col("doc_id"))).alias("kept"))
 
 
+def one_of_each_group(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """docs with one row of every group of near duplicates: that of the smallest doc_id, and of its rows that of the smallest row_key.
+
+    Rows without words stay, whatever they repeat. Columns are as they are.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
+    found = scratch.table(near_duplicates(docs, percent, scratch), "found")
+    best = found.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min("row_key").alias("best"), F.count("*").alias("n"))
+    twice = scratch.table(best.where("n > 1"), "twice")  # several rows of one doc_id
+    gone = found.where("not kept").select("row_key")
+    more = found.where("kept and n_shingles > 0").join(twice, "component_id").where("row_key != best").select("row_key")
+    out = without(docs, scratch.table(gone.unionByName(more).distinct(), "gone"))
+    if not twice.count():
+        return out
+    key = fresh(out, "row_key")
+    out = out.withColumn(key, F.xxhash64("doc_id", "text"))
+    again = scratch.table(twice.select(F.col("best").alias(key)), "again")
+    return join_counted(out, again, key, "left_anti").unionByName(join_counted(out, again, key, "left_semi").dropDuplicates([key])).select(docs.columns)
+
+
 def _limit(percent: int, registers: int) -> int:
     """Bits in which two sketches may differ: equal bits are (1 + J) / 2 of all on average, here less 5.5 standard deviations."""
     share = (1 + percent / 100) / 2

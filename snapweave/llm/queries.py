@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, packing, sharding, url_filter
+from . import chat_format, decontamination, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op1_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its repeated lines taken out."""
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("_lines_removed").alias("lines_removed"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
 
 def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,17 @@ def op5_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with an assistant turn, against itself with that reply cut short."""
+    talks = chat_format.conversations(table(spark, sf_dir, "conversations"))
+    return chat_format.format_preferences(chat_format.truncated_negatives(talks))
+
+
+def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(spark, docs))
+
+
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -69,5 +80,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_min_cost_resharding, op2_fuzzy_line_dedup, op3_language_spans, op4_template_decontamination, op5_lattice_embedding_dedup, op8_hierarchical_packing, op9_url_filter, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_min_cost_resharding, op2_fuzzy_line_dedup, op3_language_spans, op4_template_decontamination, op5_lattice_embedding_dedup, op6_preference_format, op7_license_paragraphs, op8_hierarchical_packing, op9_url_filter, op10_minhash_dedup)}
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}

@@ -49,3 +49,17 @@ class Scratch:
 def join_counted(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with `small`, a written table of few narrow columns: broadcast if its counted rows are within `limit`, else shuffled."""
     return big.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of df is called so (Spark reads names without case)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without the rows whose xxhash64(doc_id, text) is in `keys`, a written table of one column; columns as they are."""
+    name = fresh(docs, "row_key")
+    return join_counted(docs.withColumn(name, F.xxhash64("doc_id", "text")), keys.toDF(name), name, "left_anti").select(docs.columns)
