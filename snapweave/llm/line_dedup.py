@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +16,99 @@ from .scratch import Scratch, fresh, join_counted
 from .words import hash_runs, mix, pieces, runs, text_bytes
 
 BITS, BLOCKS, DISTANCE = 64, 5, 3
+#: Groups of one key up to which all pairs are looked at, and rows that larger ones are cut into.
+SMALL, BLOCK = 32, 1024
 #: Bytes that part words of a normalised line: all of ASCII but letters and digits.
 _PART = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def sim_hash(features: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """64 signs of the sums over a row's features of their bits (set +1, else -1)."""
-    bits = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+    """64 signs of the sums over a row's features of their bits (set +1, else -1).
+
+    Eight bits of a feature at a time are spread over the bytes of a number, whose bytes then count up to
+    255 features in one sum; longer rows are summed in parts.
+    """
     sizes = np.diff(np.append(begins, len(features)))
-    return np.packbits(2 * ones > sizes[:, None], axis=1).view(np.uint64).reshape(-1)
+    parts = -(-sizes // 255)
+    row = np.repeat(np.arange(len(sizes)), parts)
+    first = np.cumsum(parts) - parts
+    cut = begins[row] + 255 * (np.arange(len(row)) - first[row])
+    ones = np.empty((len(sizes), 8, 8), np.int32)  # row, byte, bit in the byte
+    for bit in range(8):
+        sums = np.add.reduceat((features >> np.uint64(bit)) & np.uint64(0x0101010101010101), cut)
+        count = sums.view(np.uint8).reshape(-1, 8)
+        ones[:, :, bit] = np.add.reduceat(count, first, axis=0, dtype=np.int32) if len(row) > len(sizes) else count
+    return np.packbits(2 * ones > sizes[:, None, None], axis=2, bitorder="little").reshape(-1, 8).view(np.uint64).reshape(-1)
+
+
+def _tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the graph whose matrix is `near`."""
+    left = near.any(axis=1)
+    a, b = [], []
+    while left.any():
+        front = np.flatnonzero(left)[:1]
+        left[front] = False
+        while len(front):
+            rest = np.flatnonzero(left)
+            hit = near[np.ix_(rest, front)]
+            got = hit.any(axis=1)
+            a.append(rest[got])
+            b.append(front[hit[got].argmax(axis=1)])
+            front = rest[got]
+            left[front] = False
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def _meet(every: bool):
+    """Of rows sorted by key (key, node, simhash, component): pairs of one key and different components that are near.
+
+    Of a large group only the edges of a forest over its near pairs, unless `every` pair is asked for.
+    """
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        each = np.repeat(size, size)
+        p, q = [], []
+        for d in range(1, min(SMALL, int(size.max()))):
+            at = np.flatnonzero((key[d:] == key[:-d]) & (each[:-d] <= SMALL))
+            if not len(at):
+                break
+            at = at[(np.bitwise_count(sketch[at] ^ sketch[at + d]) <= DISTANCE) & (own[at] != own[at + d])]
+            p.append(at)
+            q.append(at + d)
+        for k in np.flatnonzero(size > SMALL).tolist():
+            low, n = int(start[k]), int(size[k])
+            for i in range(0, n, BLOCK):
+                for j in range(i, n, BLOCK):
+                    part = np.arange(low + i, low + min(i + BLOCK, n))
+                    if j > i:
+                        part = np.append(part, np.arange(low + j, low + min(j + BLOCK, n)))
+                    near = np.bitwise_count(sketch[part][:, None] ^ sketch[part]) <= DISTANCE
+                    near &= own[part][:, None] != own[part]
+                    a, b = np.nonzero(np.triu(near, 1)) if every else _tree(near)
+                    p.append(part[a])
+                    q.append(part[b])
+        if p:
+            p, q = np.concatenate(p), np.concatenate(q)
+            yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(np.minimum(node[p], node[q])), pa.array(np.maximum(node[p], node[q]))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = np.stack([c.to_numpy() for c in batch.columns])
+            now = now if held is None else np.concatenate([held, now], axis=1)
+            if not now.shape[1]:
+                continue
+            cut = int(np.searchsorted(now[0], now[0, -1]))  # the last key may go on
+            held = now[:, cut:]
+            if cut:
+                yield from pairs(now[0, :cut], now[1, :cut], now[2, :cut].view(np.uint64), now[3, :cut])
+        if held is not None and held.shape[1]:
+            yield from pairs(held[0], held[1], held[2].view(np.uint64), held[3])
+
+    return run
 
 
 def _lines(min_words: int):
@@ -65,6 +149,50 @@ def _lines(min_words: int):
     return run
 
 
+def edit_within(a: str, b: str, most: int) -> bool:
+    """Is the edit distance of a and b at most `most`? Bounds settle most pairs; else Myers' bit vectors, a Python number each."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
+        return True
+    n = len(commonprefix((a, b)))
+    a, b = a[n:], b[n:]
+    n = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    if max(len(a), len(b)) <= most:
+        return True
+    if not a or not b:
+        return False
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    plus, minus, cost = full, 0, len(a)
+    for k, c in enumerate(b, 1):
+        eq = where.get(c, 0)
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        ph, mh = minus | ~(xh | plus) & full, plus & xh
+        cost += bool(ph & top) - bool(mh & top)
+        if cost - (len(b) - k) > most:
+            return False
+        ph, mh = (ph << 1 | 1) & full, (mh << 1) & full
+        plus, minus = mh | ~(xv | ph) & full, ph & xv
+    return cost <= most
+
+
+def _similar(similarity: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [edit_within(x, y, int(round(max(len(x), len(y)) * (1 - similarity), 6))) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _line_pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """As pieces(), but a long row is cut only after line ends."""
     held = None
@@ -91,7 +219,8 @@ def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, sc
     levenshtein <= (1 - similarity) * longer length on the normalised lines; the first occurrence of a
     connected group, by doc_id (nulls first), row_key and line_no, stays. 64 bits are cut into five
     blocks: of two hashes that differ in three bits, two whole blocks are equal, so nodes meet on pairs of
-    blocks, about 25 bits.
+    blocks, about 25 bits. Of a large group of one key (variants of one line, say) a spanning forest of the near
+    pairs is verified first; only where an edge of it fails are all pairs of that key looked at.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
@@ -105,20 +234,35 @@ def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, sc
     block = [F.shiftrightunsigned("simhash", b).bitwiseAND(F.lit((1 << w) - 1)) for b, w in zip(begin, width, strict=True)]
     keys = [F.shiftleft(F.shiftleft(block[x], width[y]).bitwiseOR(block[y]), 4).bitwiseOR(F.lit(k)) for k, (x, y) in enumerate(combinations(range(BLOCKS), 2))]
     each = nodes.select("node", "simhash", F.explode(F.array(*keys)).alias("key"))
-    near = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= DISTANCE
-    meet = each.toDF("a", "s_a", "key").join(each.toDF("b", "s_b", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & near)
-    pairs = scratch.table(meet.select("a", "b").distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = scratch.table(wanted.join(nodes, "node").select("node", F.col("first.row_key").alias("row_key"), F.col("first.line_no").alias("line_no")), "wanted")
-    body = join_counted(texts.select("row_key", "text"), wanted, "row_key")
-    raw = F.get(F.split("text", "\n", -1), F.col("line_no").cast("int"))
-    clean = F.trim(F.regexp_replace(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    body = scratch.table(body.select("node", clean.alias("line")).dropDuplicates(["node"]), "body")
-    long = F.greatest(F.length("l_a"), F.length("l_b"))
-    most = F.floor(F.round(long * (1 - similarity), 6)).cast("int")
-    links = pairs.join(body.toDF("a", "l_a"), "a").join(body.toDF("b", "l_b"), "b").where(F.levenshtein("l_a", "l_b") <= most).select("a", "b")
-    label = connected_components(scratch.table(links, "links"), scratch)
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def meet(rows: DataFrame, every: bool) -> DataFrame:
+        dealt = rows.select("key", "node", "simhash", "component").repartition(tasks, "key").sortWithinPartitions("key")
+        return dealt.mapInArrow(_meet(every), "key long, a long, b long")
+
+    found = scratch.table(meet(each.withColumn("component", F.col("node")), False), "found")
+    pairs = scratch.table(found.select("a", "b").distinct(), "pairs")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = scratch.table(wanted.join(nodes, "node").select("node", F.col("first.row_key").alias("row_key"), F.col("first.line_no").alias("line_no")), f"wanted-{name}")
+        body = join_counted(texts.select("row_key", "text"), wanted, "row_key")
+        raw = F.get(F.split("text", "\n", -1), F.col("line_no").cast("int"))
+        clean = F.trim(F.regexp_replace(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+        body = scratch.table(body.select("node", clean.alias("line")).dropDuplicates(["node"]), f"body-{name}")
+        both = pairs.join(body.toDF("a", "l_a"), "a").join(body.toDF("b", "l_b"), "b").select("a", "b", "l_a", "l_b")
+        links = both.mapInArrow(_similar(similarity), "a long, b long")
+        return scratch.table(links.select("a", "b"), f"links-{name}")
+
+    links = verified(pairs, "1")
+    label = connected_components(links, scratch, "label-1")
+    # an edge that failed may have stood for others of its group: there all pairs of different components are looked at
+    failed = scratch.table(found.join(links, ["a", "b"], "left_anti").select("key").distinct(), "failed")
+    if failed.count():
+        again = join_counted(each, failed, "key").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        more = scratch.table(meet(again, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        links = verified(more, "2").unionByName(links)
+        label = connected_components(links, scratch, "label-2")
 
     held = nodes.join(label, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     first = held.groupBy("component").agg(F.min("first").alias("first"))
