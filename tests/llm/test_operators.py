@@ -1,0 +1,451 @@
+"""The operators against brute force on small tables, and on nulls, empty texts, ties, repeated rows, empty tables and clashing columns."""
+
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from snapweave.llm import chat_format, components, decontamination, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, sharding, url_filter
+from snapweave.llm.scratch import Scratch
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(9001, None), (9002, ""), (9003, "  \n\t "), (9004, "one"), (9004, "one"), (9005, "one"), (None, "null id text of some words here"), (9006, "é" * 5000), (9007, "w " * 30000)]
+
+
+def make_docs(spark, rows, extra=False):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    if extra:
+        for name in ("row_key", "node", "gone", "lines_removed", "component", "size"):
+            df = df.withColumn(name, F.lit("x"))
+    return df
+
+
+def words(rng, n):
+    return [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau".split()) + str(rng.randrange(40)) for _ in range(n)]
+
+
+def near_texts(seed=1):
+    rng = random.Random(seed)
+    rows = []
+    for g in range(12):
+        base = words(rng, rng.choice([5, 8, 40, 200]))
+        for _ in range(rng.choice([1, 4, 9])):
+            own = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                own[rng.randrange(len(own))] = rng.choice(["changed", "other", own[0]])
+            rows.append((len(rows), " ".join(own)))
+    return rows + [(len(rows) + k, rows[0][1].upper()) for k in range(5)]
+
+
+def shingle_sets(rows):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        yield i, ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+
+
+def brute_components(rows, percent):
+    sets = list(shingle_sets(rows))
+    up = {i: i for i, _ in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(s), top(i)) for i, s in sets}
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_minhash_equals_brute_force(spark, percent):
+    rows = near_texts()
+    got = minhash_dedup.near_duplicates(make_docs(spark, rows), percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, percent)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_minhash_large_mixed_bucket(spark):
+    """Many variants around the threshold: components must be whole although few pairs are verified."""
+    rng = random.Random(5)
+    base, rows = words(rng, 120), []
+    for k in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    got = minhash_dedup.near_duplicates(make_docs(spark, rows), 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 85)
+
+
+def test_minhash_odd_rows(spark):
+    got = minhash_dedup.near_duplicates(make_docs(spark, ODD, True)).collect()
+    assert len(got) == len(ODD)
+    by = {r.doc_id: r for r in got}
+    assert by[9001].n_shingles == by[9002].n_shingles == by[9003].n_shingles == 0 and by[9001].kept
+    assert by[9005].component_id == 9004 and not by[9005].kept
+    assert minhash_dedup.near_duplicates(make_docs(spark, [])).count() == 0
+    out = minhash_dedup.one_of_each_group(make_docs(spark, ODD, True))
+    assert out.columns == make_docs(spark, [], True).columns
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id) == [9001, 9002, 9003, 9004, 9006, 9007]
+
+
+def test_super_minhash_estimates(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    b = np.concatenate([a[:200], rng.integers(0, 1 << 62, 100).astype(np.uint64)])
+    s = minhash_dedup.super_minhash([a, b, a[:1]])
+    assert abs((s[0] == s[1]).mean() - 0.5) < 0.1
+    assert (s != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(30)] + [(7, 7), (3, 2), (2, 3)] + [(1000, 1000 + k) for k in range(1, 60)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    assert got == {x: top(x) for x in up}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+
+
+def test_resharding(spark):
+    rng = random.Random(4)
+    rows = [(k, "x" * rng.randrange(0, 300)) for k in range(900)]
+    df = make_docs(spark, rows + ODD, True)
+    got = sharding.reshard(df, F.when(F.col("doc_id") < 500, 0).otherwise(F.coalesce(F.col("doc_id"), F.lit(0)) % 5), 5, 7).collect()
+    assert len(got) == len(rows) + len(ODD)
+    by, sizes = defaultdict(list), defaultdict(int)
+    for r in got:
+        by[r.shard].append(r.slot)
+        sizes[r.shard] += r.size
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    mean = sum(sizes.values()) / 7
+    assert max(abs(s - mean) for s in sizes.values()) <= 60001  # a row at each end of a run
+    text = {i: t or "" for i, t in rows + ODD}
+    assert all(r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got)
+    assert sharding.reshard(make_docs(spark, []), F.lit(0), 3, 4).count() == 0
+
+
+def test_min_cost_transfers_are_least():
+    rng = random.Random(6)
+    for _ in range(30):
+        n, m = rng.randrange(1, 6), rng.randrange(1, 6)
+        supply = [rng.randrange(0, 50) for _ in range(n)]
+        ends = np.floor(np.cumsum(np.ones(m)) / m * sum(supply)).astype(int)
+        capacity = np.diff(ends, prepend=0).tolist()
+        capacity[-1] += sum(supply) - sum(capacity)
+        plan = sharding.min_cost_transfers(supply, capacity)
+        assert [sum(v for (i, _), v in plan.items() if i == k) for k in range(n)] == supply
+        assert all(sum(v for (_, j), v in plan.items() if j == k) <= capacity[k] for k in range(m))
+        stays = sum(v for (i, j), v in plan.items() if i == j)
+        assert stays == sum(min(supply[k], capacity[k]) for k in range(min(n, m)))
+
+
+def test_rewrite_shards(spark, tmp_path):
+    docs = make_docs(spark, [(k, "t" * k) for k in range(40)])
+    placed = sharding.reshard(docs, F.col("doc_id") % 2, 2, 4)
+    touched = {r.shard for r in sharding.rewrite_shards(spark, docs, placed, str(tmp_path / "shards")).collect()}
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert {r.shard for r in back.select("shard").distinct().collect()} <= touched
+    assert back.count() == placed.where(F.col("shard").isin(*touched)).count()
+
+
+def brute_lines(rows, similarity=0.8, min_words=5):
+    """Groups by the same SimHash and edit distance over all pairs of lines."""
+    found = []
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", line.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+            if len(w) >= min_words:
+                found.append(((i, k), " ".join(w)))
+    return found
+
+
+def test_line_dedup(spark):
+    rng = random.Random(8)
+    lines = [" ".join(words(rng, 60)) for _ in range(6)]
+    edited = [line.replace(line.split()[30], "zz", 1) for line in lines]
+    rows = [(k, "\n".join([f"short {k}", lines[k % 6], rng.choice(edited) if k % 2 else lines[(k + 1) % 6].upper() + "!"])) for k in range(20)]
+    docs = make_docs(spark, rows + ODD, True)
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns[:-1] == docs.columns
+    text = {r.doc_id: r.text for r in got.collect()}
+    kept = [(d, line) for d in sorted(x for x in text if x is not None and x < 100) for line in text[d].split("\n") if len(line.split()) > 5]
+    normal = [re.sub(r"[^0-9a-z]+", " ", line.lower()).strip() for _, line in kept]
+    assert len(set(normal)) == len(normal)  # no exact repeat stays
+    assert {re.sub(r"[^0-9a-z]+", " ", x.lower()).strip() for x in lines} & set(normal)  # a first one does
+    assert all(f"short {k}" in text[k] for k in range(20))
+    assert text[0].split("\n")[1] == lines[0]
+    assert text[9001] is None and text[9002] == ""
+    assert line_dedup.dedup_lines(make_docs(spark, [])).count() == 0
+
+
+def test_line_dedup_finds_what_brute_force_finds(spark):
+    rng = random.Random(9)
+    base = " ".join(words(rng, 80))
+    rows = []
+    for k in range(90):
+        w = base.split()
+        for _ in range(rng.randrange(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice(["aa", "bb", "cc"])
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, " ".join(words(rng, 30))) for k in range(20)]
+    lines = {r.doc_id: r for r in make_docs(spark, rows).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(line_dedup._lines(5), "doc_id long, row_key long, line_no long, node long, simhash long").collect()}
+    up = {i: i for i, _ in rows}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in rows:
+        for j, b in rows:
+            if j < i:
+                near = bin((lines[i].simhash ^ lines[j].simhash) & (2**64 - 1)).count("1") <= 3
+                if lines[i].node == lines[j].node or near and line_dedup.edit_within(a, b, int(round(max(len(a), len(b)) * 0.2, 6))):
+                    x, y = top(i), top(j)
+                    up[max(x, y)] = min(x, y)
+    got = {r.doc_id for r in line_dedup.dedup_lines(make_docs(spark, rows)).where("lines_removed = 0").collect()}
+    assert got == {i for i in up if top(i) == i}
+
+
+def test_edit_within():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("ab ") for _ in range(rng.randrange(14))) for _ in "ab")
+        for most in (0, 2, 5):
+            assert line_dedup.edit_within(a, b, most) == (distance(a, b) <= most)
+
+
+VOCABULARY = {"en": "the and of to in that it was for with his they this have from".split(), "de": "der die und das nicht ein sich mit auf für dem werden über schön".split(), "ru": "и в не на что он как это по но они мы этот быть".split()}
+
+
+def test_language_id(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(VOCABULARY[lang]) for _ in range(30)), lang) for k in range(240) for lang in [list(VOCABULARY)[k % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    held = [r.doc_id for r in docs.where(language_id.held_out()).select("doc_id").collect()]
+    assert held and sum(got[i].lang_pred == rows[i][2] for i in held) >= 0.95 * len(held)
+    mixed = " ".join(VOCABULARY["en"] * 2) + ". " + " ".join(VOCABULARY["de"] * 2)
+    odd = language_id.predict(make_docs(spark, [*ODD, (1, mixed), (2, "123 !?")], True), model).collect()
+    by = {r.doc_id: r for r in odd}
+    assert by[9001].lang_pred == by[9002].lang_pred == by[2].lang_pred == "und" and by[2].score == 0
+    assert [s.lang for s in by[1].spans] == ["en", "de"] and mixed[: by[1].spans[0].end].startswith(" ".join(VOCABULARY["en"]))
+    assert len(odd) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in odd)
+    empty = language_id.train(docs.where("false"))
+    assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
+    assert language_id.predict(make_docs(spark, []), model).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    begins = np.array([0, 4, 4, 9, 10])
+    scores = rng.normal(size=(10, 3)) * 4
+    path = language_id.viterbi(scores, begins, 3.0)
+    for low, high in zip(begins[:-1], begins[1:]):
+        if high == low:
+            continue
+        value = lambda p: sum(scores[low + k, x] for k, x in enumerate(p)) - 3.0 * sum(a != b for a, b in zip(p, p[1:]))
+        best = max(value(p) for p in np.ndindex(*([3] * (high - low))))
+        assert abs(value(path[low:high].tolist()) - best) < 1e-9
+
+
+ITEM = "A shop sold 12 boxes of tea to Maria on a rainy day and then sold 7 more boxes weighing 12 kg to her friend Paul before closing"
+
+
+def test_decontamination(spark):
+    bench = spark.createDataFrame([(1, ITEM), (2, "an item about the slow growth of green moss under old stones by the river bank"), (3, None), (4, ""), (5, "too short")], "item_id long, text string")
+    other = ITEM.replace("12", "30").replace("7", "9").replace("Maria", "Olga").replace("Paul", "Ivan")
+    jumbled = ITEM.replace("12 boxes", "30 boxes").replace("12 kg", "45 kg").replace("7", "9")
+    filler = " ".join(words(random.Random(1), 200))
+    rows = [(1, f"{filler} {ITEM} {filler}"), (2, f"{filler}. {other} {filler}"), (3, filler), (4, jumbled), (5, f"x {other} y {ITEM.replace('12', '99')}")]
+    docs = make_docs(spark, rows + ODD, True)
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (5, 1)}
+    assert not got[1, 1].reparameterised and got[2, 1].reparameterised and got[1, 1].coverage > 0.9  # its first word looks like a name inside a sentence
+    clean = decontamination.clean(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == len(rows) + len(ODD) - 3
+    assert decontamination.contaminated(make_docs(spark, []), bench).count() == 0
+    assert decontamination.contaminated(docs, bench.where("false")).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for c in range(6):
+        base = rng.normal(size=16)
+        for _ in range(40):
+            rows.append((len(rows), (base + rng.normal(size=16) * rng.choice([0.05, 0.2, 1.0])).tolist(), c % 2))
+    odd = [(900, None, 1), (901, [], 1), (902, [0.0] * 16, 1), (903, [float("nan")] * 16, 1), (904, rows[0][1], None), (905, rows[0][1][:8], 0), (906, [None] + rows[0][1][1:], 0), (0, rows[0][1], 0)]
+    kind = "vec_id long, embedding array<float>, label int"
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows + odd, kind).withColumn("rid", F.lit("x"))).collect()
+    assert len(got) == len(rows) + len(odd)
+    x = np.array([r[1] for r in rows + odd[-1:]], np.float32).astype(float)
+    label = np.array([r[2] for r in rows + odd[-1:]])
+    ids = [r[0] for r in rows + odd[-1:]]
+    norm = np.linalg.norm(x, axis=1)
+    link = ((x @ x.T) / (norm[:, None] * norm) >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    up = list(range(len(x)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in np.argwhere(link):
+        p, q = top(a), top(b)
+        up[max(p, q)] = min(p, q)
+    expect = sorted((i, int(n), min(ids[j] for j in range(len(x)) if top(j) == top(k))) for k, (i, n) in enumerate(zip(ids, link.sum(axis=1))))
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id < 900)
+    assert sum(n for _, n, _ in found) >= 0.99 * sum(n for _, n, _ in expect) and found == expect
+    assert all(r.n_links == 0 and r.kept for r in got if r.vec_id >= 900)
+    assert embedding_dedup.near_vectors(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_e8_points_are_lattice_points_and_near():
+    x = np.random.default_rng(2).normal(size=(200, 8)) * 3
+    first, second = embedding_dedup.e8_points(x, 2)
+    for p in (first, second):
+        assert ((p % 2 == 0).all(axis=1) | (p % 2 == 1).all(axis=1)).all() and (p.sum(axis=1) % 4 == 0).all()
+    assert (np.linalg.norm(first / 2 - x, axis=1) <= 1 + 1e-9).all()  # the covering radius
+
+
+def test_chat_format(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "one two three four"), (1, 2, "user", "bye"), (2, 0, "user", "x"), (3, 0, None, None), (3, 1, "assistant", ""), (3, 1, "assistant", ""), (None, 0, "user", "lost"), (4, 0, "assistant", "word")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
+    talks = chat_format.conversations(df)
+    got = {r.conv_id: r for r in chat_format.format_preferences(chat_format.truncated_negatives(talks)).collect()}
+    assert set(got) == {1, 3, 4}
+    r = got[1]
+    assert r.prompt_turns == 1 and r.prompt == "<|user|>\nhi<|end|>\n"
+    assert [r.chosen_completion[a:b] for a, b in r.chosen_mask] == ["one two three four<|end|>\n"]
+    assert [r.rejected_completion[a:b] for a, b in r.rejected_mask] == ["one two<|end|>\n"]
+    assert got[3].prompt_turns == 2 and got[3].chosen_completion == got[3].rejected_completion == "" and got[3].chosen_mask == []
+    t = lambda *x: [{"turn": k, "role": a, "text": b} for k, (a, b) in enumerate(x)]
+    a = t(("user", "q"), ("assistant", "a"), ("user", "r"), ("assistant", "b"))
+    pairs = spark.createDataFrame([(1, a, t(("user", "q"), ("assistant", "a"), ("user", "s"), ("assistant", "c"))), (2, a, None), (3, a, a[:2])], "conv_id long, chosen array<struct<turn:bigint,role:string,text:string>>, rejected array<struct<turn:bigint,role:string,text:string>>")
+    got = {r.conv_id: r for r in chat_format.format_preferences(pairs).collect()}
+    assert got[1].prompt_turns == 2 and [got[1].chosen_completion[a:b] for a, b in got[1].chosen_mask] == ["b<|end|>\n"]
+    assert got[2].prompt_turns == 0 and got[2].rejected_completion == "" and len(got[2].chosen_mask) == 2
+    assert got[3].prompt_turns == 2 and got[3].rejected_completion == ""
+    assert chat_format.format_preferences(chat_format.truncated_negatives(chat_format.conversations(df.where("false")))).count() == 0
+
+
+def test_license_scan(spark):
+    rng = random.Random(2)
+    plain = [(k, "\n".join(" ".join(words(rng, 12)) for _ in range(4))) for k in range(60)]
+    marked = [(100, plain[0][1] + "\nReleased under the MIT License.\nmore words here"), (101, "Licensed under the Apache License, Version 2.0."), (102, "All rights reserved."), (103, "x\nThis work is licensed under the GNU General Public License, version 3.")]
+    docs = make_docs(spark, plain + marked + ODD, True)
+    model = license_scan.train(spark, docs, 200)
+    got = {(r.doc_id, r.line_no): (r.family, r.confirmed) for r in license_scan.scan(docs, model).collect()}
+    assert got == {(100, 4): ("mit", True), (101, 0): ("apache-2.0", True), (102, 0): ("proprietary", True), (103, 1): ("gpl-3.0", True)}
+    assert license_scan.scan(make_docs(spark, []), model).count() == 0
+
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_packing(spark):
+    rng = random.Random(7)
+    rows = [(k, " ".join(words(rng, rng.choice([1, 3, 20, 60])))) for k in range(120)] + [(500, "Don't <|endoftext|> stop here é İ ﬁ ½ 日本語   x"), *ODD]
+    got = packing.pack(make_docs(spark, rows, True), TOKENIZER, 64, per_task=40).collect()
+    tokenizer, text = Tokenizer.from_file(TOKENIZER), dict(rows)
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for i, found in pieces.items():
+        ids = np.array([*tokenizer.encode(text[i] or "", add_special_tokens=False).ids, 0], "<u4")
+        times = sum(1 for j, _ in rows if j == i)
+        found.sort(key=lambda r: r.piece)
+        for r in found:
+            assert r.start == 64 * r.piece and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        assert sum(r.length for r in found) == times * len(ids)
+    for v in sequences.values():
+        v.sort()
+        assert [o for o, _ in v] == [sum(n for _, n in v[:k]) for k in range(len(v))] and sum(n for _, n in v) <= 64
+    assert len(sequences) <= -(-sum(r.length for r in got) // 64) * 1.05 + 2
+    assert packing.pack(make_docs(spark, []), TOKENIZER).count() == 0
+
+
+def test_best_fit():
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 101, 500)
+    into = packing.best_fit(sizes, 100)
+    assert np.bincount(into, weights=sizes).max() <= 100
+    assert into.max() + 1 <= max(np.ceil(sizes.sum() / 100), (sizes > 50).sum()) * 1.05
+
+
+def test_url_filter(spark):
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), (None, "/", "block"), ("example.com", "/en/", "block")]
+    urls = ["http://a.Example.com/en/x?q#f", "https://www.example.com/en/", "http://x.net/es/1", "http://x.net/fr", "no scheme", None, "", "http://", "http://com/en/", "http://notexample.com/en/", "ftp://b.www.example.com/en/y", "http://example.com", "http://a.com?x=://b.net/es/", "http://x.net/es/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"rule": F.lit(1), "short": F.lit(2)})
+    got = {r.page_id: r for r in url_filter.judge_urls(df, url_filter.rules_table(spark, rules)).collect()}
+
+    def expect(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h) + len(p), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
+
+    for k, url in enumerate(urls):
+        assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == expect(url)
+    assert url_filter.judge_urls(df, url_filter.rules_table(spark, [])).where("verdict != 'allow'").count() == 0
+    assert url_filter.judge_urls(df.where("false"), url_filter.rules_table(spark, rules)).count() == 0
+    plan = url_filter.judge_urls(df, url_filter.rules_table(spark, rules))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|InArrow|CartesianProduct|NestedLoop", plan.split("Physical Plan")[-1])
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = [" ".join(rng.choice(VOCABULARY["en"]) + str(rng.randrange(50)) for _ in range(60)) for _ in range(30)]
+    rows = [(k, t) for k, t in enumerate(text)] + [(100, text[0]), (101, text[1] + " and a few more"), (102, ITEM + " " + text[2]), (103, "123 456"), (104, None), (105, "")]
+    make_docs(spark, rows, True).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, left = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        left.append({r.doc_id for r in docs.select("doc_id").collect()})
+    assert left[0] == set(range(30)) | {100, 101, 102}
+    assert left[1] == left[0] - {100} and left[2] <= left[1] and 102 not in left[3] and left[3] == left[4] and set(range(3, 30)) <= left[4]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left[4]
