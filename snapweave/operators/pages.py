@@ -157,6 +157,12 @@ def favorites_search(pages: DataFrame, favorites: DataFrame, keyword: str) -> Da
     return rows.where(search_filter(keyword) if keyword.strip() else F.lit(False)).select(*LIST_COLUMNS, "favorited_at")
 
 
+def favorites_count(pages: DataFrame, favorites: DataFrame, keyword: str | None = None) -> DataFrame:
+    """How many favourites there are, or match the keyword."""
+    rows = pages.join(favorites.select(F.col("page_id").alias("id")), "id") if keyword is None else favorites_search(pages, favorites, keyword)
+    return rows.agg(F.count("*").alias("total"))
+
+
 def add_favorites(favorites: DataFrame, new: DataFrame, pages: DataFrame) -> DataFrame:
     """Favourites with those of `new` (page_id, created_at) whose page exists; the first created_at stays."""
     fresh = new.groupBy("page_id").agg(F.min("created_at").alias("created_at")).join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .extract import SRCSET, join_url
+from .extract import SRCSET, join_srcset, join_url, parse_srcset
 
 _ATTR = re.compile(r"""(?i)(\s(?:src|href|poster|data|action)\s*=\s*)(["'])([^"']*)\2""")
 _SETS = re.compile(r"""(?i)(\s(?:srcset|imagesrcset)\s*=\s*)(["'])([^"']*)\2""")
@@ -67,6 +67,12 @@ def resolve_relative_refs(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else absolute(h, b) for h, b in zip(html, base, strict=True)], dtype=object)
 
 
+def rewrite_srcset(value: Column, paths: Column, prefix: Column) -> Column:
+    """A srcset value whose urls that are keys of the map `paths` stand behind prefix; descriptors stay. Native."""
+    kept = F.transform(parse_srcset(value), lambda c: F.struct(F.when(F.map_contains_key(paths, c["url"]), F.concat(prefix, c["url"])).otherwise(c["url"]).alias("url"), c["descriptor"].alias("descriptor")))
+    return join_srcset(kept)
+
+
 @F.pandas_udf(StringType())
 def _mapped(html: pd.Series, base: pd.Series, urls: pd.Series, paths: pd.Series, prefix: pd.Series) -> pd.Series:
     rows = zip(html, base, urls, paths, prefix, strict=True)

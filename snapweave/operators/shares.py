@@ -44,6 +44,14 @@ def protected_html(shares: DataFrame, as_of: Column) -> DataFrame:
     return shares.where(active(as_of)).select("html_path").distinct()
 
 
+def shared_resource_lookup(refs: DataFrame, pins: DataFrame, resources: DataFrame) -> DataFrame:
+    """For refs (share_id, ref) the pinned resource that the ladder of resolve_page_resource finds; nothing outside the pinned set."""
+    from .resources import resolve_page_resource
+
+    own = resolve_page_resource(refs.withColumnRenamed("share_id", "page_id"), pins.withColumnRenamed("share_id", "page_id"), resources)
+    return own.withColumnRenamed("page_id", "share_id")
+
+
 def rewrite_for_share(html: Column, token: Column) -> Column:
     """Archive paths of a page and of resources under the share's own root."""
     root = F.concat(F.lit("/share/"), F.url_encode(token))

@@ -290,6 +290,16 @@ def favorites_search(t):
     return pages.favorites_search(t.snapshots, t.favorites, KEYWORD).select("id", "favorited_at")
 
 
+@query("SELECT count(*) AS total FROM favorites")
+def favorites_count(t):
+    return pages.favorites_count(t.snapshots, t.favorites)
+
+
+@query(f"SELECT count(*) AS total FROM snapshots JOIN favorites f ON f.page_id = id WHERE {_FOUND}")
+def favorites_search_count(t):
+    return pages.favorites_count(t.snapshots, t.favorites, KEYWORD)
+
+
 @query("SELECT id, id % 3 = 0 AS is_favorite FROM snapshots")
 def favorite_flags(t):
     return pages.favorite_flags(t.snapshots.select("id"), t.favorites)

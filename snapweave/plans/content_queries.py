@@ -65,6 +65,15 @@ def resolve_page_resource(t):
     return resources.resolve_page_resource(refs, linked(t), ranked(t))
 
 
+@query(f"""SELECT page_id AS share_id, ref, arg_max(id, (last_seen, id)) AS resource_id, 1 AS step FROM (SELECT l.page_id, r.url AS ref, r.id, r.last_seen FROM {L} l JOIN {R} r ON r.id = l.resource_id WHERE l.page_id % 4 = 0 AND l.resource_id % 3 != 0) GROUP BY ALL""")
+def shared_resource_lookup(t):
+    from ..operators import shares
+
+    pins = linked(t).where("page_id % 4 = 0 and resource_id % 3 != 0").withColumnRenamed("page_id", "share_id")
+    refs = t.hrefs.select(F.col("page_id").alias("share_id"), F.concat(F.lit("https://static.example.com"), "path").alias("ref")).distinct()
+    return shares.shared_resource_lookup(refs, pins, ranked(t))
+
+
 @query(f"""SELECT page_id, ref, coalesce(own, anywhere) AS resource_id, own IS NOT NULL AS linked FROM (SELECT DISTINCT page_id, 'https://static.example.com' || path AS ref FROM hrefs)
     LEFT JOIN (SELECT l.page_id, r.url AS ref, arg_max(r.id, (r.last_seen, r.id)) AS own FROM {L} l JOIN {R} r ON r.id = l.resource_id WHERE l.page_id % 2 = 0 GROUP BY ALL) USING (page_id, ref)
     LEFT JOIN (SELECT url AS ref, arg_max(id, (last_seen, id)) AS anywhere FROM {R} GROUP BY url) USING (ref)""")
@@ -194,7 +203,9 @@ def css_subresources(t):
     return extract.css_subresources(*_sheets(t))
 
 
-@query()
+@query(r"""SELECT page_id, CASE WHEN x.e = '.js' THEN 'https://cdn.example.org' WHEN x.e = '.html' THEN origin || up || 'frames' ELSE origin END || path || x.e AS resource_url, x.t AS type
+    FROM (SELECT DISTINCT page_id, path, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*/)', 1), '[^/]+/$', '') AS up FROM hrefs) CROSS JOIN (VALUES ('.png', 'image'), ('@2x.png', 'image'), ('.css', 'css'), ('.ico', 'image'),
+    ('.woff2', 'font'), ('.js', 'js'), ('.html', 'html'), ('.jpg', 'image'), ('.mp4', 'other'), ('-bg.png', 'image')) x(e, t)""")
 def extract_resources(t):
     return extract.extract_resources(t.rich)
 

@@ -58,11 +58,19 @@ def sql_functions(t):
     return t.pages_raw.select("page_id", F.expr("extract_domain(url)").alias("domain"), F.expr("guess_type(url)").alias("type"), F.expr("is_fetchable(url)").alias("fetchable"))
 
 
-def _events_stream(t):
-    """The events as files that arrive in a folder."""
+def _arriving(t, rows):
+    """Rows as files that arrive in a folder."""
     path = f"{shared_root(t.spark)}/arrivals-{uuid.uuid4().hex}"
-    t.events.write.parquet(path)
-    return t.spark.readStream.schema(t.events.schema).parquet(path)
+    rows.write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _events_stream(t):
+    return _arriving(t, t.events)
+
+
+def _root(t):
+    return f"{shared_root(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("""SELECT url, content_hash, epoch_us(min(ts)) AS first_visited, epoch_us(max(ts)) AS last_visited, count(*) AS visits FROM (SELECT 'u' || (user_id % 50) AS url, event_type AS content_hash, ts FROM events) GROUP BY ALL""")
@@ -84,3 +92,52 @@ def freshness_join(t):
 @query()
 def lifecycle_fold(t):
     return jobs.fold_lifecycle(t.lifecycle.select("page_id", F.col("event_id").alias("seq"), "event"))
+
+
+@query("SELECT CAST(user_id % 50 AS VARCHAR) AS url, 1 AS captures FROM events GROUP BY 1")
+def stream_recent_capture(t):
+    """Within a span longer than the table's, one capture of each url is let through."""
+    rows = t.events.select(F.expr("CAST(user_id % 50 AS STRING)").alias("url"), F.col("ts").cast("timestamp").alias("captured_at"))
+    return jobs.run_available(jobs.stream_recent_capture(_arriving(t, rows), "100 days"), _root(t)).groupBy("url").agg(F.count("*").cast("int").alias("captures"))
+
+
+@query()
+def stream_lifecycle(t):
+    """The last state of each page after the stream."""
+    stream = jobs.stream_lifecycle(_arriving(t, t.lifecycle.select("page_id", F.col("event_id").alias("seq"), "event")))
+    path = _root(t)
+    jobs.run_batches(stream, path, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), "update")
+    return t.spark.read.parquet(f"{path}/out").groupBy("page_id").agg(F.max_by("snapshot_state", "seq").alias("snapshot_state"), F.max("seq").alias("seq"))
+
+
+@query()
+def stream_change_bursts(t):
+    rows = t.events.select(F.expr("user_id % 20").alias("page_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, cast(event_id % 400 as decimal(18,6)))")).cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("hidden"))
+    return jobs.stream_change_bursts(_arriving(t, rows), _root(t))
+
+
+@query("SELECT file, line FROM log_lines WHERE contains(line, 'failed')")
+def stream_log_follow(t):
+    path = _root(t)
+    t.log_lines.select(F.concat("file", F.lit("\t"), "line").alias("value")).write.text(path)
+    at = F.split("line", "\t")
+    return jobs.run_available(jobs.stream_log_follow(t.spark, path, "FAILED"), _root(t)).select(at[0].alias("file"), at[1].alias("line"))
+
+
+@query("SELECT html_path, page_id FROM deletion_queue WHERE timestamp < TIMESTAMP '2024-01-30' - INTERVAL 1 DAY AND html_path NOT IN (SELECT html_path FROM shares WHERE revoked_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-20'))")
+def stream_retention(t):
+    from ..operators.shares import protected_html
+
+    held = protected_html(t.shares, ntz("2024-01-20"))
+    return jobs.stream_retention(_arriving(t, t.deletion_queue), held, ntz("2024-01-30"), 1, _root(t)).select("html_path", "page_id")
+
+
+@query("""SELECT request_id, max_by(fetch_id, fetched_at) AS fetch_id FROM (SELECT r.event_id AS request_id, f.event_id AS fetch_id, f.ts AS fetched_at FROM events r JOIN events f
+    ON f.user_id = r.user_id AND f.event_type NOT IN ('view', 'error') AND f.ts <= r.ts AND f.ts >= r.ts - INTERVAL 2 HOUR WHERE r.event_type = 'view') GROUP BY request_id""")
+def stream_freshness_join(t):
+    """Requests that a fetch can serve, and the newest such fetch."""
+    e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    r = _arriving(t, e.where("event_type = 'view'").select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("url"), F.col("ts").alias("requested_at")))
+    f = _arriving(t, e.where("event_type not in ('view', 'error')").select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("fetch_id")))
+    found = jobs.run_available(jobs.stream_freshness_join(r, f), _root(t)).where("fetch_id is not null")
+    return jobs.newest_fresh(found).select("request_id", "fetch_id")

@@ -129,3 +129,23 @@ def resolve_frame_tree(t):
     tag = F.concat(F.lit('<iframe data-snapweave-frame-key="k'), follow.cast("string"), F.lit('" src="old"></iframe>'))
     frames = rows.select("capture_id", F.concat(F.lit("k"), F.col("k").cast("string")).alias("key"), F.concat(F.lit("https://frames.example.com"), "path").alias("url"), F.concat(F.lit("<p>"), F.coalesce(tag, F.lit("")), F.lit("</p>")).alias("html"))
     return rewrite.resolve_frame_tree(frames, F.lit("/archive/1/2mp_/"))
+
+
+for _name in text.CLEANERS:
+    query(name=_name)(lambda t, n=_name: t.rich.select("page_id", text.cleaning_step(n)("html").alias("html")))
+
+
+@query()
+def drop_embeds(t):
+    return t.rich.select("page_id", text.drop_embeds(F.col("html")).alias("html"))
+
+
+@query("""SELECT page_id, '/p/' || url || ' 1x, ' || url || '.b 2x' AS srcset FROM pages""")
+def rewrite_srcset(t):
+    value = F.concat("url", F.lit(" 1x, "), "url", F.lit(".b 2x"))
+    return t.pages_raw.select("page_id", rewrite.rewrite_srcset(value, F.create_map(F.col("url"), F.lit("path")), F.lit("/p/")).alias("srcset"))
+
+
+@query()
+def rewrite_with_resource_rows(t):
+    return rewrite.rewrite_html(_dated(t), _paths(t), with_page=False)

@@ -21,8 +21,8 @@ def run_available(stream: DataFrame, root: str, mode: str = "append") -> DataFra
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def run_batches(stream: DataFrame, root: str, each: Callable[[DataFrame, int], None]) -> None:
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+def run_batches(stream: DataFrame, root: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{root}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
