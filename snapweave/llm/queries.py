@@ -40,9 +40,26 @@ def op5_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation with an assistant turn, against itself with that reply cut short."""
+    """Every conversation with an assistant turn, against itself with that reply cut short. Masks are written start-end, with commas."""
     talks = chat_format.conversations(table(spark, sf_dir, "conversations"))
-    return chat_format.format_preferences(chat_format.truncated_negatives(talks))
+    out = chat_format.format_preferences(chat_format.truncated_negatives(talks))
+    mask = lambda c: F.array_join(F.transform(c, lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ",").alias(c)
+    return out.select("conv_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", "chosen_completion", mask("chosen_mask"), "rejected_completion", mask("rejected_mask"))
+
+
+OP6_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown FROM t),
+l AS (SELECT conv_id, max(k) AS last_k FROM n WHERE role = 'assistant' GROUP BY conv_id),
+r AS (SELECT n.conv_id, last_k, n.text AS full_text, array_to_string(string_split(n.text, ' ')[1:len(string_split(n.text, ' ')) // 2], ' ') AS half FROM n JOIN l ON n.conv_id = l.conv_id AND n.k = l.last_k),
+p AS (SELECT n.conv_id, string_agg(CASE WHEN n.k < r.last_k OR (r.half = r.full_text AND n.k = r.last_k) THEN shown ELSE '' END, '' ORDER BY n.k) AS prompt FROM n JOIN r USING (conv_id) GROUP BY n.conv_id)
+SELECT conv_id, CASE WHEN half = full_text THEN last_k ELSE last_k - 1 END AS prompt_turns, prompt,
+  CASE WHEN half = full_text THEN '' ELSE '<|assistant|>' || chr(10) || full_text || '<|end|>' || chr(10) END AS chosen_completion,
+  CASE WHEN half = full_text THEN '' ELSE '14-' || (14 + length(full_text) + 8) END AS chosen_mask,
+  CASE WHEN half = full_text THEN '' ELSE '<|assistant|>' || chr(10) || half || '<|end|>' || chr(10) END AS rejected_completion,
+  CASE WHEN half = full_text THEN '' ELSE '14-' || (14 + length(half) + 8) END AS rejected_mask
+FROM r JOIN p USING (conv_id)
+"""
 
 
 def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +116,4 @@ SELECT s.doc_id, len(s.s) AS n_shingles, f.component_id, f.component_id = s.doc_
 """
 
 QUERIES = {f.__name__: f for f in (op1_min_cost_resharding, op2_fuzzy_line_dedup, op3_language_spans, op4_template_decontamination, op5_lattice_embedding_dedup, op6_preference_format, op7_license_paragraphs, op8_hierarchical_packing, op9_url_filter, op10_minhash_dedup)}
-ORACLE_SQL: dict[str, str] = {"op5_lattice_embedding_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_minhash_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_lattice_embedding_dedup": OP5_SQL, "op6_preference_format": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_minhash_dedup": OP10_SQL}
