@@ -324,7 +324,7 @@ def log_grep(t):
     return logs.log_grep(t.log_lines, "UPDATE").select("file", "line_no")
 
 
-@query("""SELECT file, line_no, stop - strlen(line) - 1 AS start, min(stop - strlen(line) - 1) OVER (PARTITION BY file) > 0 AS has_more_before, max(stop) OVER (PARTITION BY file) < total AS has_more_after
+@query("""SELECT file, line_no, CAST(stop - strlen(line) - 1 AS BIGINT) AS start, min(stop - strlen(line) - 1) OVER (PARTITION BY file) > 0 AS has_more_before, max(stop) OVER (PARTITION BY file) < total AS has_more_after
     FROM (SELECT *, max(stop) OVER (PARTITION BY file) AS total FROM (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY line_no) AS stop FROM log_lines)) WHERE stop - strlen(line) - 1 >= 500 AND stop <= 2500""")
 def log_range(t):
     return logs.log_range(t.log_lines, 500, 2000).select("file", "line_no", "start", "has_more_before", "has_more_after")
