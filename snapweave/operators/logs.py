@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-NAME = r"^wayback-(\d{4}-\d{2}-\d{2})\.\d+\.log$"
+NAME = r"^[a-z]+-(\d{4}-\d{2}-\d{2})\.\d+\.log$"
 
 
 def log_tail(lines: DataFrame, n: int = 2000) -> DataFrame:

@@ -123,7 +123,7 @@ class Tables:
         """file, line_no and line of events written as a server would log them, one file a day."""
         line = F.expr("""CASE event_type WHEN 'view' THEN '[HTTP] GET /view/' || CAST(user_id AS STRING) WHEN 'click' THEN '[Update] page ' || CAST(user_id AS STRING)
             WHEN 'error' THEN 'download failed for ' || CAST(user_id AS STRING) WHEN 'signup' THEN 'resource not found, fallback used' ELSE 'archive success ' || CAST(event_id AS STRING) END""")
-        rows = self.events.select(F.concat(F.lit("wayback-"), F.expr("CAST(CAST(ts AS DATE) AS STRING)"), F.lit(".001.log")).alias("file"), F.col("event_id").alias("seq"), line.alias("line"))
+        rows = self.events.select(F.concat(F.lit("archive-"), F.expr("CAST(CAST(ts AS DATE) AS STRING)"), F.lit(".001.log")).alias("file"), F.col("event_id").alias("seq"), line.alias("line"))
         from pyspark.sql.window import Window
 
         return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("seq")).cast("long").alias("line_no"), "line")
@@ -161,7 +161,7 @@ SQL: dict[str, str] = {
     "lifecycle": """SELECT event_id, user_id % 400 AS page_id, ts, CASE event_type WHEN 'view' THEN 'created' WHEN 'click' THEN 'finalized' WHEN 'signup' THEN 'updated'
         WHEN 'purchase' THEN 'retried' ELSE 'failed' END AS event FROM events""",
     "deletion_queue": """SELECT html_path, last_visited AS timestamp, id AS page_id FROM (SELECT *, max(first_visited) OVER (PARTITION BY url) AS newest FROM snapshots) WHERE first_visited < newest""",
-    "log_lines": """SELECT 'wayback-' || CAST(CAST(ts AS DATE) AS VARCHAR) || '.001.log' AS file, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS line_no,
+    "log_lines": """SELECT 'archive-' || CAST(CAST(ts AS DATE) AS VARCHAR) || '.001.log' AS file, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS line_no,
         CASE event_type WHEN 'view' THEN '[HTTP] GET /view/' || user_id WHEN 'click' THEN '[Update] page ' || user_id WHEN 'error' THEN 'download failed for ' || user_id
         WHEN 'signup' THEN 'resource not found, fallback used' ELSE 'archive success ' || event_id END AS line FROM events""",
     "rich": f"SELECT page_id, url, regexp_replace(html, {_lit(HREF)}, {_lit(RICH.replace('{0}', chr(92) + '1'))}, 'g') AS html FROM pages",

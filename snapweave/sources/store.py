@@ -84,7 +84,7 @@ def rewrite_deletion_queue(remaining: DataFrame, new_path: str) -> None:
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """file, size, day and line of log files."""
     rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"))
-    return rows.withColumn("day", F.try_to_date(F.regexp_extract("file", r"^wayback-(\d{4}-\d{2}-\d{2})\.", 1), "yyyy-MM-dd"))
+    return rows.withColumn("day", F.try_to_date(F.regexp_extract("file", r"^[a-z]+-(\d{4}-\d{2}-\d{2})\.", 1), "yyyy-MM-dd"))
 
 
 def list_logs(logs: DataFrame) -> DataFrame:

@@ -219,7 +219,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "q/x.json").write_text('{"html_path":"a","timestamp":"2024-01-01T00:00:00","page_id":1}\n{bad\n')
     assert store.read_deletion_queue(spark, str(tmp_path / "q")).count() == 1
     (tmp_path / "logs").mkdir()
-    (tmp_path / "logs/wayback-2024-01-02.001.log").write_text("a\nb\n")
+    (tmp_path / "logs/archive-2024-01-02.001.log").write_text("a\nb\n")
     assert [(r.file[8:18], r.size, r.lines) for r in store.list_logs(store.read_logs(spark, str(tmp_path / "logs"))).collect()] == [("2024-01-02", 4, 2)]
     (tmp_path / "files").mkdir()
     (tmp_path / "files/r.bin").write_bytes(b"x")
@@ -267,7 +267,7 @@ def test_stream_joins_and_bursts(spark, tmp_path):
     stream = jobs.stream_change_bursts(stream_of(spark, tmp_path, "ch", df, 1), str(tmp_path / "b"), 5)
     assert {tuple(r) for r in stream.collect()} == {tuple(r) for r in ingest.change_bursts(df.where("page_id = 1").withColumn("ts", F.col("ts").cast("timestamp_ntz")), 5).collect()}
     (tmp_path / "lg").mkdir()
-    (tmp_path / "lg/wayback-2024-01-01.001.log").write_text("one\nError two\n")
+    (tmp_path / "lg/archive-2024-01-01.001.log").write_text("one\nError two\n")
     assert [r.line for r in jobs.run_available(jobs.stream_log_follow(spark, str(tmp_path / "lg"), "error"), str(tmp_path / "o")).collect()] == ["Error two"]
 
 
