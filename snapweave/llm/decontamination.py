@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, join_counted, without
-from .words import _SPOT, hash_runs, mix, pieces, runs, text_bytes
+from .words import _SPOT, hash_runs, mix, pieces, runs, text_bytes, trimmed
 
 WINDOW, LITERALS = 8, 4
 #: Bits of the filter that documents' windows pass before the join: 2 MB, however large the benchmark is.
@@ -138,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, e
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.xxhash64("item_id", "text").alias("row_key"), "text")
     every = lambda: lambda win: np.ones(len(win), bool)
     run, schema = _emit(every, list(range(LITERALS, WINDOW + 1)), True)
-    bench = items.mapInArrow(run, schema).select(F.col("doc_id").alias("item_id"), F.col("row_key").alias("item_key"), F.col("pos").alias("b_pos"), "win", F.col("slots").alias("b_slots"), (F.lit(1)).alias("one"))
+    bench = items.mapInArrow(trimmed(run), schema).select(F.col("doc_id").alias("item_id"), F.col("row_key").alias("item_key"), F.col("pos").alias("b_pos"), "win", F.col("slots").alias("b_slots"), (F.lit(1)).alias("one"))
     total = bench.groupBy("item_key").agg(F.count("*").alias("item_windows"))
     bench = scratch.table(bench.drop("one").join(total, "item_key"), "bench")
     # short items are windows of their whole length: their sizes are looked for in documents too
@@ -163,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, e
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     run, schema = _emit(passes, sizes, False)
-    found = join_counted(texts.mapInArrow(run, schema), bench, "win")
+    found = join_counted(texts.mapInArrow(trimmed(run), schema), bench, "win")
     found = found.where(F.size("slots") == F.size("b_slots")).withColumn("diagonal", F.col("pos") - F.col("b_pos"))
     slots = F.arrays_zip(F.col("b_slots").alias("old"), F.col("slots").alias("new"))
     copy = found.groupBy("doc_id", "row_key", "item_id", "item_key", "item_windows", "diagonal").agg(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .blocks import sorted_groups
 from .components import connected_components
 from .scratch import Scratch
-from .words import mix
+from .words import mix, trimmed
 
 TABLES, PROBES, SCALE = 7, 3, 8.0
 #: Members of a cell that are compared with as many others at once.
@@ -145,7 +145,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, scratch: Scratch |
     """
     scratch = scratch or Scratch(vectors.sparkSession, "vectors")
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
-    rows = scratch.table(rows.mapInArrow(_cells, "rid long, vec_id long, label long, vector array<double>, cells array<long>"), "rows")
+    rows = scratch.table(rows.mapInArrow(trimmed(_cells), "rid long, vec_id long, label long, vector array<double>, cells array<long>"), "rows")
     member = rows.where("cells is not null").select("rid", F.explode(F.array_distinct("cells")).alias("cell"))
     size = member.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
     member = member.join(size, "cell").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -154,7 +154,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, scratch: Scratch |
     member = member.join(rows.select("rid", "label", "vector", "cells"), "rid").select("cell", "i", "j", "own", "rid", "label", "vector", "cells")
     tasks = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = member.repartition(tasks, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "rid")
-    part = scratch.table(dealt.mapInArrow(_compare(threshold), "rid long, links long, reached long"), "parts")
+    part = scratch.table(dealt.mapInArrow(trimmed(_compare(threshold)), "rid long, links long, reached long"), "parts")
     label = connected_components(part.where("rid != reached").select(F.col("rid").alias("a"), F.col("reached").alias("b")), scratch)
     links = part.groupBy("rid").agg(F.sum("links").alias("n_links"))
     told = rows.select("rid", "vec_id").join(links, "rid", "left").join(label.withColumnRenamed("node", "rid"), "rid", "left")

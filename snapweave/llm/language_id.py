@@ -18,16 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, without
-from .words import mix
+from .words import mix, trimmed
 
 BUCKETS = 1 << 14
 SWITCH = 6.0
 #: Languages a model may hold, those of most documents first; this bounds what reaches the driver to BUCKETS x LANGUAGES counts.
 LANGUAGES = 64
 #: Characters that are looked at together.
-CHARS = 1 << 20
+CHARS = 1 << 19
 #: Weights that are looked up together.
-WIDE = 1 << 22
+WIDE = 1 << 21
 
 # First and last code point of scripts' ranges.
 SCRIPTS = {
@@ -140,7 +140,7 @@ def train(labelled: DataFrame, languages: int = LANGUAGES) -> dict:
             k, bucket = np.nonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), what)), pa.array(k), pa.array(bucket), pa.array(table[k, bucket])], ["what", "k", "bucket", "n"])
 
-    found = rows.mapInArrow(count, "what long, k long, bucket long, n long").groupBy("what", "k", "bucket").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(trimmed(count), "what long, k long, bucket long, n long").groupBy("what", "k", "bucket").agg(F.sum("n").alias("n"))
     total, letters = np.zeros((BUCKETS, len(names))), np.zeros((len(names), len(NAMES)))
     for r in found.collect():  # a number for each bucket and language at most
         (total.T if r.what == 0 else letters)[r.k, r.bucket] = r.n
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row:stop], batch.column(1)[row:stop], named, pa.array(score), pa.ListArray.from_arrays(pa.array(whole, pa.int32()), spans)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, row_key long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, row_key long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
 
 
 def held_out(doc_id="doc_id"):

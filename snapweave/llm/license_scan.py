@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import _PART, _line_pieces
-from .words import _SPOT, hash_runs, mix, runs, text_bytes
+from .words import _SPOT, hash_runs, mix, runs, text_bytes, trimmed
 
 BUCKETS = 1 << 13
 #: Corpus paragraphs of the unknown class that training sees: those of the least hash.
@@ -155,7 +155,7 @@ def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS
                 best = sorted({c: (c, w) for c, w in best}.values())[:unknown_rows]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in best], pa.int64()), pa.array([w for _, w in best], pa.list_(pa.int64()))], ["code", "words"])
 
-    sample = docs.select("text").mapInArrow(plain, "code long, words array<long>").dropDuplicates(["code"]).orderBy("code").limit(unknown_rows).collect()
+    sample = docs.select("text").mapInArrow(trimmed(plain), "code long, words array<long>").dropDuplicates(["code"]).orderBy("code").limit(unknown_rows).collect()
     rows = []
 
     def add(words: np.ndarray, begins: np.ndarray, labels: list[int]) -> None:
@@ -231,4 +231,4 @@ def scan(docs: DataFrame, model: dict, least: float = 0.5, confirm: float = 0.6)
                 share = np.array(share)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[hits])), pa.array(line[hits].astype(np.int64)), pa.array(named), pa.array(chance[hits, best[hits]]), pa.array(share), pa.array(share >= confirm)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, line_no long, family string, probability double, template_share double, confirmed boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, line_no long, family string, probability double, template_share double, confirmed boolean")

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch, fresh, join_counted
-from .words import hash_runs, mix, pieces, runs, text_bytes
+from .words import hash_runs, mix, pieces, runs, text_bytes, trimmed
 
 BITS, BLOCKS, DISTANCE = 64, 5, 3
 #: Groups of one key up to which all pairs are looked at, and rows that larger ones are cut into.
-SMALL, BLOCK = 32, 1024
+SMALL, BLOCK = 32, 512
 #: Bytes that part words of a normalised line: all of ASCII but letters and digits.
 _PART = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -225,7 +225,7 @@ def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, sc
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    lines = scratch.table(texts.mapInArrow(_lines(min_words), "doc_id long, row_key long, line_no long, node long, simhash long"), "lines")
+    lines = scratch.table(texts.mapInArrow(trimmed(_lines(min_words)), "doc_id long, row_key long, line_no long, node long, simhash long"), "lines")
     place = F.struct("doc_id", "row_key", "line_no")
     nodes = scratch.table(lines.groupBy("node").agg(F.first("simhash").alias("simhash"), F.min(place).alias("first"), F.count("*").alias("n")), "nodes")
 
@@ -238,7 +238,7 @@ def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, sc
 
     def meet(rows: DataFrame, every: bool) -> DataFrame:
         dealt = rows.select("key", "node", "simhash", "component").repartition(tasks, "key").sortWithinPartitions("key")
-        return dealt.mapInArrow(_meet(every), "key long, a long, b long")
+        return dealt.mapInArrow(trimmed(_meet(every)), "key long, a long, b long")
 
     found = scratch.table(meet(each.withColumn("component", F.col("node")), False), "found")
     pairs = scratch.table(found.select("a", "b").distinct(), "pairs")
@@ -251,7 +251,7 @@ def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, sc
         clean = F.trim(F.regexp_replace(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
         body = scratch.table(body.select("node", clean.alias("line")).dropDuplicates(["node"]), f"body-{name}")
         both = pairs.join(body.toDF("a", "l_a"), "a").join(body.toDF("b", "l_b"), "b").select("a", "b", "l_a", "l_b")
-        links = both.mapInArrow(_similar(similarity), "a long, b long")
+        links = both.mapInArrow(trimmed(_similar(similarity)), "a long, b long")
         return scratch.table(links.select("a", "b"), f"links-{name}")
 
     links = verified(pairs, "1")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .blocks import sorted_groups
 from .components import connected_components
 from .scratch import Scratch, fresh, join_counted, without
-from .words import column_words, mix, shingles
+from .words import column_words, mix, shingles, trimmed
 
 REGISTERS, BANDS = 512, 24
 #: Registers of the longer sketch that members of large, mixed buckets get.
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, scratch: Scratch | None
     scratch = scratch or Scratch(spark, "minhash")
     run, schema = _features(percent)
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    rows = scratch.table(texts.mapInArrow(run, schema), "rows")
+    rows = scratch.table(texts.mapInArrow(trimmed(run), schema), "rows")
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"))
     nodes = rows.where(F.size("bands") > 0).join(classes.select("node", "row_key"), ["node", "row_key"])
     nodes = scratch.table(nodes.select("node", "row_key", "n", "bands", "bits").dropDuplicates(["node"]), "nodes")
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, scratch: Scratch | None
 
     def verified(pairs: DataFrame) -> DataFrame:
         long = pairs.join(body.toDF("a", "text_a"), "a").join(body.toDF("b", "text_b"), "b")
-        return long.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+        return long.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(check), "a long, b long")
 
     links = scratch.table(verified(first), "links-1")
     label = connected_components(links, scratch, "label-1")
@@ -190,14 +190,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, scratch: Scratch | None
     told = full.select("bucket", "node", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = told.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
     told = scratch.table(told.join(mixed, "bucket").where("size > 3"), "mixed")  # two centres have met all of three
-    fine = scratch.table(body.join(told.select("node").distinct(), "node", "left_semi").mapInArrow(_fine, "node long, n long, bits array<long>"), "fine")
+    fine = scratch.table(body.join(told.select("node").distinct(), "node", "left_semi").mapInArrow(trimmed(_fine), "node long, n long, bits array<long>"), "fine")
     own = told.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # a bucket for each band at most
     told = told.join(fine.join(own, "node"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     told = told.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     told = told.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits", "buckets")
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     told = told.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    second = told.mapInArrow(_meet(percent), "a long, b long")
+    second = told.mapInArrow(trimmed(_meet(percent)), "a long, b long")
     second = scratch.table(second.join(first, ["a", "b"], "left_anti"), "second")
     links = scratch.table(verified(second).unionByName(links), "links-2")
     label = connected_components(links, scratch, "label-2")

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .words import trimmed
 
 #: Chunks between white space whose ids a worker remembers.
-REMEMBERED = 400_000
-_memory: dict[str, dict[str, np.ndarray]] = {}
+REMEMBERED = 250_000
+_memory: dict[str, dict[str, bytes]] = {}
 _loaded: dict[str, object] = {}
 
 
@@ -27,8 +28,8 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def _encode(path: str, chunks: list[str]) -> list[np.ndarray]:
-    """Ids of each chunk. The tokenizer splits at white space before anything else, so a text's ids are those of its chunks."""
+def _encode(path: str, chunks: list[str]) -> list[bytes]:
+    """Ids of each chunk, as the bytes of 32-bit numbers. The tokenizer splits at white space before anything else, so a text's ids are those of its chunks."""
     memory = _memory.setdefault(path, {})
     out: list = [memory.get(c) for c in chunks]
     new = [k for k, x in enumerate(out) if x is None]
@@ -40,9 +41,9 @@ def _encode(path: str, chunks: list[str]) -> list[np.ndarray]:
         ids = np.array(got.ids, np.uint32)
         at = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), np.append(begins, begins[-1] + sizes[-1]))
         for k, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            out[k] = ids[a:b]
+            out[k] = ids[a:b].tobytes()
             if len(memory) < REMEMBERED:
-                memory[chunks[k]] = out[k].copy()
+                memory[chunks[k]] = out[k]
     return out
 
 
@@ -51,8 +52,8 @@ def token_ids(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
     words = lists.flatten().dictionary_encode()
     known = _encode(path, words.dictionary.to_pylist())
-    sizes = np.array([len(x) for x in known] or [0], np.int64)
-    flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
+    sizes = np.array([len(x) for x in known] or [0], np.int64) // 4
+    flat = np.frombuffer(b"".join(known), np.uint32)
     begins = np.cumsum(sizes) - sizes
     use = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     n = sizes[use]
@@ -148,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, nearly: float =
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "pack")
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer, capacity), kinds)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_cut(tokenizer, capacity)), kinds)
     rows = scratch.table(rows.withColumn("sequence_id", F.monotonically_increasing_id()), "pieces")
     rows = rows.withColumn("fill", F.col("length")).withColumn("offset", F.lit(0).cast("long"))
     done = [rows.where(F.col("fill") >= capacity)]
@@ -156,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, nearly: float =
     tasks, merge, k = -(-n // per_task), _merge(capacity), 0
     while n:
         dealt = rest.repartition(tasks, F.xxhash64("sequence_id")) if tasks > 1 else rest.repartition(1)
-        out = scratch.table(dealt.mapInArrow(merge, dealt.schema), f"round-{k}")
+        out = scratch.table(dealt.mapInArrow(trimmed(merge), dealt.schema), f"round-{k}")
         enough = F.col("fill") >= int(nearly * capacity)
         was, n = n, out.where(~enough & (F.col("offset") == 0)).count()
         if tasks == 1 or n > 0.99 * was:
