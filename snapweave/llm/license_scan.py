@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import _PART, _line_pieces
+from .scratch import Scratch
 from .words import _SPOT, hash_runs, mix, runs, text_bytes, trimmed
 
 BUCKETS = 1 << 13
@@ -132,7 +133,7 @@ def _forms(seed: int) -> list[tuple[str, int]]:
     return out
 
 
-def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS, steps: int = 30) -> dict:
+def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS, steps: int = 30, scratch: Scratch | None = None) -> dict:
     """Weights (BUCKETS x families), intercepts and temperature. Corpus paragraphs are a bounded sample: the `unknown_rows` of least hash."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -155,7 +156,11 @@ def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS
                 best = sorted({c: (c, w) for c, w in best}.values())[:unknown_rows]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in best], pa.int64()), pa.array([w for _, w in best], pa.list_(pa.int64()))], ["code", "words"])
 
-    sample = docs.select("text").mapInArrow(trimmed(plain), "code long, words array<long>").dropDuplicates(["code"]).orderBy("code").limit(unknown_rows).collect()
+    scratch = scratch or Scratch(spark, "licence")
+    best = scratch.table(docs.select("text").mapInArrow(trimmed(plain), "code long, words array<long>"), "best")
+    last = best.select("code").distinct().orderBy("code").limit(unknown_rows).agg(F.max("code").alias("code")).first().code
+    sample = best.where(F.col("code") <= (0 if last is None else last)).dropDuplicates(["code"]).collect()  # unknown_rows at most
+    sample.sort(key=lambda r: r.code)
     rows = []
 
     def add(words: np.ndarray, begins: np.ndarray, labels: list[int]) -> None:
