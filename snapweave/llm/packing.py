@@ -15,7 +15,7 @@ from .scratch import Scratch
 from .words import trimmed
 
 #: Chunks between white space whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _memory: dict[str, dict[str, bytes]] = {}
 _loaded: dict[str, object] = {}
 
