@@ -1,9 +1,8 @@
-"""Fuzzy line dedup: SimHash of normalised lines, a join on pigeonhole blocks, edit similarity, one occurrence per group kept."""
+"""Fuzzy line dedup: minima of hashed words and character grams, a join on tables of them, edit similarity, one occurrence per group kept."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 from os.path import commonprefix
 
 import numpy as np
@@ -15,30 +14,68 @@ from .components import connected_components
 from .scratch import Scratch, fresh, join_counted
 from .words import hash_runs, mix, pieces, runs, text_bytes, trimmed
 
-BITS, BLOCKS, DISTANCE = 64, 5, 3
+#: Tables that lines meet in, by words and by grams of GRAM bytes, and the minima that a key of one is made of.
+BY_WORDS, BY_GRAMS, MINIMA, GRAM = 10, 8, 4, 5
+#: A sketch: one bit each of BITS minima over grams, and below them the length as a power of STEP. What is further apart isn't looked at.
+BITS, DISTANCE, STEP, STEPS = 56, 21, 1.05, 6
 #: Groups of one key up to which all pairs are looked at, and rows that larger ones are cut into.
 SMALL, BLOCK = 32, 512
 #: Bytes that part words of a normalised line: all of ASCII but letters and digits.
 _PART = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
-def sim_hash(features: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """64 signs of the sums over a row's features of their bits (set +1, else -1).
+_rng = np.random.Generator(np.random.PCG64(20250301))
+_TURN = _rng.integers(0, 1 << 63, (2, max(BITS, BY_WORDS * MINIMA, BY_GRAMS * MINIMA)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    Eight bits of a feature at a time are spread over the bytes of a number, whose bytes then count up to
-    255 features in one sum; longer rows are summed in parts.
-    """
-    sizes = np.diff(np.append(begins, len(features)))
-    parts = -(-sizes // 255)
-    row = np.repeat(np.arange(len(sizes)), parts)
-    first = np.cumsum(parts) - parts
-    cut = begins[row] + 255 * (np.arange(len(row)) - first[row])
-    ones = np.empty((len(sizes), 8, 8), np.int32)  # row, byte, bit in the byte
-    for bit in range(8):
-        sums = np.add.reduceat((features >> np.uint64(bit)) & np.uint64(0x0101010101010101), cut)
-        count = sums.view(np.uint8).reshape(-1, 8)
-        ones[:, :, bit] = np.add.reduceat(count, first, axis=0, dtype=np.int32) if len(row) > len(sizes) else count
-    return np.packbits(2 * ones > sizes[:, None, None], axis=2, bitorder="little").reshape(-1, 8).view(np.uint64).reshape(-1)
+
+def minima(features: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
+    """Of each row the least of its hashed features under n orders: n x rows."""
+    out = np.empty((n, len(begins)), np.uint64)
+    for k in range(n):
+        out[k] = np.minimum.reduceat((features ^ _TURN[0, k]) * _TURN[1, k], begins)
+    return out
+
+
+def table_keys(least: np.ndarray, tables: int) -> np.ndarray:
+    """32 bits for each row and table, each table from MINIMA minima of its own: rows x tables."""
+    out = np.zeros((tables, least.shape[1]), np.uint64)
+    for k in range(MINIMA):
+        out = mix(out + least[k : tables * MINIMA : MINIMA], k)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32).T
+
+
+def sketches(least: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bit of each of BITS minima, over eight bits of the length."""
+    out = np.minimum(np.log(sizes) / np.log(STEP), 255).astype(np.uint64)
+    for k in range(BITS):
+        out |= (least[k] >> np.uint64(20) & np.uint64(1)) << np.uint64(k + 8)
+    return out
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """May lines of these sketches be alike?"""
+    apart = (x & np.uint64(255)).astype(np.int16) - (y & np.uint64(255)).astype(np.int16)
+    return (np.bitwise_count((x ^ y) >> np.uint64(8)) <= DISTANCE) & (np.abs(apart) <= STEPS)
+
+
+def _text_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the GRAM bytes in a row of lines, whose words start at `cut` and are parted by one space; where each line's begin; its bytes."""
+    sizes = ends - starts + 1
+    place = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.sum())) - np.repeat(place, sizes)
+    text = np.full(len(at), 32, np.uint8)
+    inner = at < np.repeat(sizes - 1, sizes)
+    text[inner] = data[(at + np.repeat(starts, sizes))[inner]]
+    text[(text >= 65) & (text <= 90)] += 32
+    total = np.add.reduceat(sizes, cut) - 1  # without the space at the end
+    n = np.maximum(total - GRAM + 1, 1)
+    first = np.cumsum(n) - n
+    spot = np.arange(int(n.sum())) + np.repeat(place[cut] - first, n)
+    wide = np.append(text, np.full(GRAM, 32, np.uint8)).astype(np.uint64)
+    gram = wide[spot]
+    for k in range(1, GRAM):
+        gram = gram << np.uint64(8) | wide[spot + k]
+    return mix(gram, 9), first, total
 
 
 def _tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +97,7 @@ def _tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(every: bool):
-    """Of rows sorted by key (key, node, simhash, component): pairs of one key and different components that are near.
+    """Of rows sorted by key (key, node, sketch, component): pairs of one key and different components that are near.
 
     Of a large group only the edges of a forest over its near pairs, unless `every` pair is asked for.
     """
@@ -75,7 +112,7 @@ def _meet(every: bool):
             at = np.flatnonzero((key[d:] == key[:-d]) & (each[:-d] <= SMALL))
             if not len(at):
                 break
-            at = at[(np.bitwise_count(sketch[at] ^ sketch[at + d]) <= DISTANCE) & (own[at] != own[at + d])]
+            at = at[_near(sketch[at], sketch[at + d]) & (own[at] != own[at + d])]
             p.append(at)
             q.append(at + d)
         for k in np.flatnonzero(size > SMALL).tolist():
@@ -85,7 +122,7 @@ def _meet(every: bool):
                     part = np.arange(low + i, low + min(i + BLOCK, n))
                     if j > i:
                         part = np.append(part, np.arange(low + j, low + min(j + BLOCK, n)))
-                    near = np.bitwise_count(sketch[part][:, None] ^ sketch[part]) <= DISTANCE
+                    near = _near(sketch[part][:, None], sketch[part])
                     near &= own[part][:, None] != own[part]
                     a, b = np.nonzero(np.triu(near, 1)) if every else _tree(near)
                     p.append(part[a])
@@ -111,9 +148,11 @@ def _meet(every: bool):
     return run
 
 
-def _lines(min_words: int):
+def _lines(min_words: int, keyed: bool = False):
+    """doc_id, row_key, line_no, node and sketch (named simhash) of every line; with `keyed` its keys too, one for each table."""
     names = ("doc_id", "row_key", "line_no", "node", "simhash")
-    schema = pa.schema([(n, pa.int64()) for n in names])
+    tables = BY_WORDS + BY_GRAMS
+    schema = pa.schema([(n, pa.int64()) for n in names] + [("keys", pa.list_(pa.int32()))] * keyed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,16 +174,22 @@ def _lines(min_words: int):
                 words = hash_runs(part, starts, ends)
                 cut = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (word_row[1:] != word_row[:-1])))
                 size = np.diff(np.append(cut, len(words)))
+                long = size >= min_words
+                if not long.any():
+                    continue
+                inside = np.repeat(long, size)
+                where, line = row + word_row[cut][long], line[cut][long]
+                words, starts, ends, size = words[inside], starts[inside], ends[inside], size[long]
+                cut = np.cumsum(size) - size
                 at = np.arange(len(words)) - np.repeat(cut, size)
-                pair = mix(words * np.uint64(0x9E3779B97F4A7C15) + np.append(words[1:], np.uint64(0)), 4)
-                last = at == np.repeat(size, size) - 1
-                pair[last] = words[last]
                 node = mix(np.add.reduceat(mix(words + at.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), 6), cut) + size.astype(np.uint64))
-                features = np.stack([mix(words, 9), pair], axis=1).reshape(-1)
-                sketch = sim_hash(features, 2 * cut)
-                keep = size >= min_words
-                where = row + word_row[cut][keep]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), keys.take(pa.array(where)), pa.array(line[cut][keep].astype(np.int64)), pa.array(node[keep].view(np.int64)), pa.array(sketch[keep].view(np.int64))], schema=schema)
+                grams, first, total = _text_grams(part, starts, ends, cut)
+                least = minima(grams, first, BITS)
+                columns = [ids.take(pa.array(where)), keys.take(pa.array(where)), pa.array(line.astype(np.int64)), pa.array(node.view(np.int64)), pa.array(sketches(least, total).view(np.int64))]
+                if keyed:
+                    found = np.concatenate([table_keys(minima(words, cut, BY_WORDS * MINIMA), BY_WORDS), table_keys(least, BY_GRAMS)], axis=1)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * tables), pa.array(found.reshape(-1))))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
@@ -215,32 +260,30 @@ def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, sc
 
     A line is what stands between line feeds; normalised, it is its words (runs of letters, digits and
     bytes above ASCII, A-Z lower-cased). Lines under `min_words` words are never repeats. Equal normalised
-    lines are one node. Two nodes link if their SimHashes differ in at most 3 of 64 bits and
-    levenshtein <= (1 - similarity) * longer length on the normalised lines; the first occurrence of a
-    connected group, by doc_id (nulls first), row_key and line_no, stays. 64 bits are cut into five
-    blocks: of two hashes that differ in three bits, two whole blocks are equal, so nodes meet on pairs of
-    blocks, about 25 bits. Of a large group of one key (variants of one line, say) a spanning forest of the near
-    pairs is verified first; only where an edge of it fails are all pairs of that key looked at.
+    lines are one node. Two nodes link if levenshtein <= (1 - similarity) * longer length on the normalised
+    lines; the first occurrence of a connected group, by doc_id (nulls first), row_key and line_no, stays.
+    Nodes meet in tables keyed by four minima each of their hashed words, or of their grams of five bytes,
+    and those whose sketches and lengths are too far apart are passed over before the edit distance: that
+    is a search with a recall, measured in the README, no further rule. Of a large group of one key
+    (variants of one line, say) a spanning forest of the near pairs is verified first; only where an edge of it
+    fails are all pairs of that key looked at.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    lines = scratch.table(texts.mapInArrow(trimmed(_lines(min_words)), "doc_id long, row_key long, line_no long, node long, simhash long"), "lines")
+    lines = scratch.table(texts.mapInArrow(trimmed(_lines(min_words, True)), "doc_id long, row_key long, line_no long, node long, simhash long, keys array<int>"), "lines")
     place = F.struct("doc_id", "row_key", "line_no")
-    nodes = scratch.table(lines.groupBy("node").agg(F.first("simhash").alias("simhash"), F.min(place).alias("first"), F.count("*").alias("n")), "nodes")
+    nodes = scratch.table(lines.groupBy("node").agg(F.first("simhash").alias("sketch"), F.first("keys").alias("keys"), F.min(place).alias("first"), F.count("*").alias("n")), "nodes")
 
-    width = [BITS // BLOCKS + (k < BITS % BLOCKS) for k in range(BLOCKS)]
-    begin = [sum(width[:k]) for k in range(BLOCKS)]
-    block = [F.shiftrightunsigned("simhash", b).bitwiseAND(F.lit((1 << w) - 1)) for b, w in zip(begin, width, strict=True)]
-    keys = [F.shiftleft(F.shiftleft(block[x], width[y]).bitwiseOR(block[y]), 4).bitwiseOR(F.lit(k)) for k, (x, y) in enumerate(combinations(range(BLOCKS), 2))]
-    each = nodes.select("node", "simhash", F.explode(F.array(*keys)).alias("key"))
+    key = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    each = nodes.select("node", "sketch", F.posexplode("keys")).select("node", "sketch", key.alias("key"))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def meet(rows: DataFrame, every: bool) -> DataFrame:
-        dealt = rows.select("key", "node", "simhash", "component").repartition(tasks, "key").sortWithinPartitions("key")
+        dealt = rows.repartition(tasks, "key").sortWithinPartitions("key").select("key", "node", "sketch", F.col("component") if every else F.col("node").alias("component"))
         return dealt.mapInArrow(trimmed(_meet(every)), "key long, a long, b long")
 
-    found = scratch.table(meet(each.withColumn("component", F.col("node")), False), "found")
+    found = scratch.table(meet(each, False), "found")
     pairs = scratch.table(found.select("a", "b").distinct(), "pairs")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:

@@ -449,3 +449,21 @@ def test_pipeline(spark, tmp_path):
     assert left[0] == set(range(30)) | {100, 101, 102}
     assert left[1] == left[0] - {100} and left[2] <= left[1] and 102 not in left[3] and left[3] == left[4] and set(range(3, 30)) <= left[4]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left[4]
+
+
+def test_line_dedup_finds_word_edits_of_short_lines(spark):
+    """Against edit similarity alone: lines of 5 to 30 words, one to a fifth of whose words are others."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        w = words(rng, rng.randrange(5, 31))
+        v = list(w)
+        for at in rng.sample(range(len(v)), rng.randrange(1, max(2, len(v) // 8))):
+            v[at] = words(rng, 1)[0]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    most = lambda a, b: int(round(max(len(a), len(b)) * 0.2, 6))
+    alike = {k for k in range(0, 300, 2) if line_dedup.edit_within(rows[k][1], rows[k + 1][1], most(rows[k][1], rows[k + 1][1]))}
+    gone = {r.doc_id for r in line_dedup.dedup_lines(make_docs(spark, rows)).where("lines_removed > 0").collect()}
+    assert len(alike) > 100
+    assert len(alike & {i - 1 for i in gone}) >= 0.95 * len(alike)
+    assert all(i % 2 and i - 1 in alike for i in gone)
