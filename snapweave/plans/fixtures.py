@@ -55,7 +55,7 @@ class Tables:
         rows = self.hashed.groupBy("url", "content_hash").agg(
             F.min("capture_id").alias("id"), F.min("title").alias("title"), F.min("captured_at").alias("captured_at"), F.max("captured_at").alias("last_visited"), F.count("*").alias("visits"), F.min("html").alias("html"))
         state = F.expr("CASE id % 10 WHEN 7 THEN 'pending' WHEN 9 THEN 'failed' ELSE 'ready' END")
-        text = F.trim(F.regexp_replace(F.regexp_replace(F.substring("html", 1, 4000), TAGS, " "), r"\s+", " "))
+        text = F.trim(F.regexp_replace(F.regexp_replace("html", TAGS, " "), r"\s+", " "))
         return rows.select(
             "id", "url", "title", F.concat(F.lit("html/"), F.col("id").cast("string"), F.lit(".html")).alias("html_path"), "content_hash", "captured_at", F.col("captured_at").alias("first_visited"),
             "last_visited", "visits", extract_domain(F.col("url")).alias("domain"), state.alias("snapshot_state"), F.when(F.col("id") % 5 != 0, text).alias("body_text"), "html",

@@ -284,3 +284,24 @@ def test_plans_stay_in_the_jvm(spark):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
     assert "TakeOrderedAndProject" in QUERIES["list_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def small_tables(spark, folder, page):
+    """pages and events of the driver's form: three pages, the first of them with `page` in its body, and forty events."""
+    html = [f"<html><head><title>T{k}</title></head><body><p>{page if k == 0 else 'short'}</p></body></html>" for k in range(3)]
+    spark.createDataFrame([(k, f"https://www.example.com/{k}", h) for k, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    rows = [(k, T0 + dt.timedelta(minutes=k), k % 5, "view", 1.0) for k in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_search_reads_whole_pages(spark, tmp_path):
+    from snapweave.plans.fixtures import Tables
+    from snapweave.plans.queries import QUERIES
+
+    at = small_tables(spark, tmp_path, "word " * 2000 + "last")
+    text = {r.id: r.body_text for r in Tables(spark, at).snapshots.where("url like '%/0' and id % 5 != 0").collect()}
+    assert text and all(t == "T0 " + "word " * 2000 + "last" for t in text.values())
+    got = {r.id: r.body_text for r in QUERIES["catalog_pages"](spark, at).collect()}
+    assert all(got[i] == t for i, t in text.items())
+    assert pages.search_count(Tables(spark, at).snapshots, "last").first()[0] == len(text)
