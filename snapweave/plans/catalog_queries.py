@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ingest, pages, shares
+from ..operators import ingest, pages, shares, text
 from .fixtures import DOMAIN_SQL
 from .registry import ntz, query
 
@@ -179,8 +179,7 @@ def touch_pages(t):
 
 @query("SELECT id, title AS body_text, title IS NOT NULL AS found FROM (SELECT id, CASE WHEN id % 10 = 0 THEN nullif(title, '') END AS title FROM snapshots WHERE body_text IS NULL)")
 def backfill_body_text(t):
-    html = t.snapshots.where("id % 10 = 0").select("html_path", F.col("title").alias("html"))
-    return ingest.backfill_body_text(t.snapshots, html, lambda c: c)
+    return ingest.backfill_body_text(t.snapshots, t.snapshots.select("html_path", "html"), text.body_text)
 
 
 @query(f"SELECT id, {DOMAIN_SQL.format('url')} AS domain, CASE WHEN id % 2 = 0 THEN snapshot_state ELSE 'ready' END AS snapshot_state, epoch_us(captured_at) AS captured_at FROM snapshots")

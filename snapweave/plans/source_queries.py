@@ -22,7 +22,7 @@ def shared_root(spark) -> str:
 
 @query("SELECT capture_id, url, title, sha256(html) AS content_hash FROM captures WHERE capture_id % 10 = 0 AND capture_id % 3 != 0")
 def read_captures(t):
-    rows = t.captures.where("capture_id % 10 = 0").select(F.to_json(F.struct(F.when(F.col("capture_id") % 3 != 0, F.col("url")).alias("url"), F.concat(F.col("capture_id").cast("string"), F.lit("|"), "title").alias("title"), "html")).alias("value"))
+    rows = t.captures.select(F.to_json(F.struct(F.when(F.col("capture_id") % 3 != 0, F.col("url")).alias("url"), F.concat(F.col("capture_id").cast("string"), F.lit("|"), "title").alias("title"), "html")).alias("value"))
     good, _ = store.captures_from_json(rows)
     at = F.split("title", r"\|", 2)
     return good.select(at[0].cast("long").alias("capture_id"), "url", at[1].alias("title"), F.sha2("html", 256).alias("content_hash"))

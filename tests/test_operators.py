@@ -305,3 +305,14 @@ def test_search_reads_whole_pages(spark, tmp_path):
     got = {r.id: r.body_text for r in QUERIES["catalog_pages"](spark, at).collect()}
     assert all(got[i] == t for i, t in text.items())
     assert pages.search_count(Tables(spark, at).snapshots, "last").first()[0] == len(text)
+
+
+def test_all_captures_and_pages_are_read(spark, tmp_path):
+    from snapweave.plans.fixtures import Tables
+    from snapweave.plans.queries import QUERIES
+
+    at = small_tables(spark, tmp_path, "word " * 20 + "last")
+    assert {r.capture_id for r in QUERIES["read_captures"](spark, at).collect()} == {k for k in range(40) if k % 3}
+    todo = {r.id: "word " * 20 + "last" if r.url.endswith("/0") else "short" for r in Tables(spark, at).snapshots.where("body_text is null").collect()}
+    got = {r.id: (r.body_text, r.found) for r in QUERIES["backfill_body_text"](spark, at).collect()}
+    assert todo and got == {i: (t, True) for i, t in todo.items()}
