@@ -15,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents lie in 12 shards by their source and go to 16 of nearly equal bytes."""
-    docs = table(spark, sf_dir, "documents")
-    out = sharding.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(12)), 12, 16)
+    docs = table(spark, sf_dir, "documents").select("*", F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_at"))
+    out = sharding.resharded_files(docs, F.pmod(F.xxhash64("source"), F.lit(12)), 12, 16, ["row_file", "row_at"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 #: Rows of a block: the unit that keeps sums over a shard from being one task's work.
 BLOCK_ROWS = 4096
@@ -57,11 +57,11 @@ def min_cost_transfers(supply: list[int], capacity: list[int], cost: np.ndarray
     return {(i, j): int(flow[i, j]) for i in range(n) for j in range(m) if flow[i, j]}
 
 
-def reshard(docs: DataFrame, old_shard, old_shards: int, new_shards: int, weights: list[float] | None = None, scratch: Scratch | None = None) -> DataFrame:
+def reshard(docs: DataFrame, old_shard, old_shards: int, new_shards: int, weights: list[float] | None = None, scratch: Scratch | None = None, key: list[str] | None = None) -> DataFrame:
     """Put every row in a new shard, moving the fewest bytes that make the shards' bytes nearly equal (or as `weights`).
 
     Returns doc_id, size (UTF-8 bytes of the text, none for a null one, plus 1), text_crc32, old_shard,
-    shard and slot (gapless from 0 in each shard). old_shard: a column expression, 0 to old_shards - 1;
+    shard and slot (gapless from 0 in each shard), and the columns `key` of docs, for rewrite_shards. old_shard: a column expression, 0 to old_shards - 1;
     null counts as 0. A shard's rows are dealt to blocks by a hash, and blocks, then rows in a block, are
     laid in a fixed order, so that a transfer is a run of that order and a shard misses its share by less
     than a row at each end of a run. Rows of equal doc_id and text are rows of their own. An empty table
@@ -70,7 +70,7 @@ def reshard(docs: DataFrame, old_shard, old_shards: int, new_shards: int, weight
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "reshard")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    rows = docs.select(F.col("doc_id"), size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"))
+    rows = docs.select(F.col("doc_id"), size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), *(key or []))
     rows = scratch.table(rows, "rows")
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)))
@@ -91,7 +91,7 @@ def reshard(docs: DataFrame, old_shard, old_shards: int, new_shards: int, weight
 
     before = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("ahead", F.coalesce(F.sum("bytes").over(before), F.lit(0))).drop("bytes")
-    order = [F.col("size").desc(), "doc_id", "text_crc32"]
+    order = [F.col("size").desc(), "doc_id", "text_crc32", *(key or [])]
     inner = Window.partitionBy("old_shard", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(inner)).join(each, ["old_shard", "block"]).join(F.broadcast(runs), "old_shard")
     middle = F.col("ahead") + F.col("upto") - F.col("size") / 2
@@ -103,17 +103,61 @@ def reshard(docs: DataFrame, old_shard, old_shards: int, new_shards: int, weight
     before = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     out = placed.join(counts, ["shard", "old_shard", "block"])
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"))
+    return out.select(*(key or []), "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"))
 
 
-def rewrite_shards(spark: SparkSession, docs: DataFrame, placed: DataFrame, path: str) -> DataFrame:
+def rewrite_shards(spark: SparkSession, docs: DataFrame, placed: DataFrame, path: str, key: list[str] | None = None) -> DataFrame:
     """Write the shards that rows leave or enter, one folder shard=<n> each; the others stay as they are. Returns (shard) rewritten.
 
-    docs and placed are joined on doc_id, which must identify a row here.
+    Each file row holds docs' columns without `key`, and slot; docs' own columns named shard or slot get underscores after
+    their names. `key` names columns of docs and placed that identify a row; without it, rows of equal doc_id, size and
+    crc32 of the text are numbered on both sides and paired. Null and repeated ids are rows like others. The
+    folder of a shard that all rows leave is deleted.
     """
     moved = placed.where("old_shard != shard")
     touched = moved.select("shard").unionByName(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    rows = placed.join(F.broadcast(touched), "shard").select("doc_id", "shard", "slot")  # a row per shard at most
-    body = docs.select([F.col(c) for c in docs.columns if c not in ("shard", "slot")]).join(rows, "doc_id")
+    shards = {r.shard for r in touched.collect()}  # a number per shard at most
+    rows = placed.join(F.broadcast(touched), "shard")
+    kept = [c for c in docs.columns if c not in (key or [])]
+    names = [fresh(docs, c) if c.lower() in ("shard", "slot") else c for c in kept]
+    own = [F.col(c).alias(f"own_{k}") for k, c in enumerate(kept)]
+    if key:
+        body = docs.select(*[F.col(c).alias(f"key_{k}") for k, c in enumerate(key)], *own)
+        rows = rows.select(*[F.col(c).alias(f"key_{k}") for k, c in enumerate(key)], "shard", "slot")
+        on = [f"key_{k}" for k in range(len(key))]
+    else:
+        size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+        each = F.to_json(F.struct(F.col("doc_id").alias("i"), size.alias("s"), F.crc32(F.coalesce("text", F.lit(""))).alias("c")))
+        nth = lambda *by: F.row_number().over(Window.partitionBy("key_0").orderBy(*by))
+        body = docs.select(each.alias("key_0"), *own).withColumn("key_1", nth("key_0"))
+        at = F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("size").alias("s"), F.col("text_crc32").alias("c")))
+        rows = placed.select(at.alias("key_0"), "shard", "slot").withColumn("key_1", nth("shard", "slot")).join(F.broadcast(touched), "shard")
+        on = ["key_0", "key_1"]
+    body = body.join(rows, on).select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(names)], "shard", "slot")
     body.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    jvm = spark._jvm
+    for n in sorted(shards - {r.shard for r in rows.select("shard").distinct().collect()}):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={n}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return touched
+
+
+def resharded_files(docs: DataFrame, old_shard, old_shards: int, new_shards: int, key: list[str]) -> DataFrame:
+    """As reshard(), with the touched shards written; doc_id, size, text_crc32, shard and slot of their rows are read from the files.
+
+    Rows of untouched shards are not written; theirs are as placed.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "reshard")
+    placed = scratch.table(reshard(docs, old_shard, old_shards, new_shards, None, scratch, key), "slots")
+    came = fresh(docs, "came_from")
+    whole = docs.withColumn(came, F.coalesce(old_shard.cast("int"), F.lit(0)))
+    path = f"{scratch.root}/shards"
+    touched = rewrite_shards(spark, whole, placed, path, key)
+    names = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
+    rest = placed.join(F.broadcast(touched), "shard", "left_anti").select(names)
+    if not placed.where("old_shard != shard").limit(1).count():
+        return rest
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    back = spark.read.parquet(path)
+    return back.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.col(came).alias("old_shard"), F.col("shard").cast("int").alias("shard"), "slot").unionByName(rest)

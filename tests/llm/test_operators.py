@@ -467,3 +467,33 @@ def test_line_dedup_finds_word_edits_of_short_lines(spark):
     assert len(alike) > 100
     assert len(alike & {i - 1 for i in gone}) >= 0.95 * len(alike)
     assert all(i % 2 and i - 1 in alike for i in gone)
+
+
+def test_rewrite_keeps_every_row(spark, tmp_path):
+    """Null and repeated ids, columns of clashing names, and shards that all rows leave."""
+    rows = [(None if k % 7 == 0 else k % 20, "t" * (k % 9)) for k in range(60)]
+    docs = make_docs(spark, rows).withColumn("shard", F.lit("own")).withColumn("slot", F.lit("mine"))
+    path = str(tmp_path / "shards")
+    old = F.pmod(F.xxhash64("doc_id", "text"), F.lit(6))
+    docs.select("doc_id", "text", old.cast("int").alias("shard")).write.partitionBy("shard").parquet(path)
+    placed = sharding.reshard(docs, old, 6, 2)
+    sharding.rewrite_shards(spark, docs, placed, path)
+    back = spark.read.option("mergeSchema", "true").parquet(path)
+    assert {r.shard for r in back.select("shard").distinct().collect()} <= {0, 1}
+    got = [(r.doc_id, r.text) for r in back.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, rows))
+    assert {(r.shard_, r.slot_) for r in back.collect()} == {("own", "mine")}
+
+
+def test_op1_moves_text(spark, tmp_path):
+    from snapweave.llm.queries import op1_min_cost_resharding
+
+    rows = [(k % 50 if k % 11 else None, "x" * (k % 83)) for k in range(300)]
+    docs = make_docs(spark, rows).withColumn("source", F.concat(F.lit("s"), (F.length("text") % 5).cast("string")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = op1_min_cost_resharding(spark, str(tmp_path))
+    assert any("/shards/shard=" in f for f in out.inputFiles())
+    got = out.collect()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(i), len(t) + 1, zlib.crc32(t.encode())) for i, t in rows)
+    for n in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == n) == list(range(sum(r.shard == n for r in got)))
