@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,44 +16,104 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import trimmed
 
-#: Chunks between white space whose ids a worker remembers.
-REMEMBERED = 150_000
-_memory: dict[str, dict[str, bytes]] = {}
-_loaded: dict[str, object] = {}
+#: Chunks that each half of a worker's memory of ids holds, and the longest that is remembered (so it is bounded in bytes too).
+REMEMBERED, LONGEST = 200_000, 40
+#: Bytes of text that are tokenised together.
+TOGETHER = 4 << 20
+#: Letters (of blocks where every letter stands for itself under NFC and has one lower case), then ASCII marks other than ' < |.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]*)([!-&(-/:;=>?@\[-`{}~]*)")
+_loaded: dict[str, _Ids] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
-        from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: itself, or the next free one above 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = (k for k in range(256) if k not in shown)
+    return {k: chr(k) for k in shown} | {k: chr(256 + n) for n, k in enumerate(other)}
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
 
+_BYTES = _byte_letters()
 
-def _encode(path: str, chunks: list[str]) -> list[bytes]:
-    """Ids of each chunk, as the bytes of 32-bit numbers. The tokenizer splits at white space before anything else, so a text's ids are those of its chunks."""
-    memory = _memory.setdefault(path, {})
-    out: list = [memory.get(c) for c in chunks]
-    new = [k for k, x in enumerate(out) if x is None]
-    for low in range(0, len(new), 2000):
-        part = new[low : low + 2000]
-        got = _tokenizer(path).encode(" ".join(chunks[k] for k in part), add_special_tokens=False)
-        sizes = np.array([len(chunks[k]) + 1 for k in part])
-        begins = np.cumsum(sizes) - sizes
-        ids = np.array(got.ids, np.uint32)
-        at = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), np.append(begins, begins[-1] + sizes[-1]))
-        for k, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            out[k] = ids[a:b].tobytes()
-            if len(memory) < REMEMBERED:
-                memory[chunks[k]] = out[k]
-    return out
+
+class _Ids:
+    """Ids of chunks by one tokenizer, with a memory in two generations: the older goes when the younger is full, and what it is asked for moves to the younger."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        probe = ["Ab", "\u00c9t\u00e9,", "na\u00efve!", "x-", "y\u01ce#"]
+        found = b"".join(self._parts(c, _PLAIN.fullmatch(c).groups()) for c in probe)
+        self.plain = found == np.array(self.tokenizer.encode(" ".join(probe), add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _parts(self, chunk: str, parts: tuple[str, ...]) -> bytes:
+        """Ids of letters and of the marks after them, by the model alone."""
+        out = b""
+        for part in parts:
+            if not part:
+                continue
+            part = part.lower()
+            ids = self.young.get(part)
+            if ids is None:
+                ids = self.old.get(part)
+                if ids is None:
+                    shown = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+                    ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+                if len(part) <= LONGEST:
+                    self.young[part] = ids
+            out = out + ids if out else ids
+        if len(chunk) <= LONGEST:
+            self.young[chunk] = out
+        return out
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, as the bytes of 32-bit numbers. The tokenizer splits at white space before anything else, so a text's ids are those of its chunks.
+
+        A chunk of letters and then marks would only be lower-cased and parted into these two by the tokenizer's own
+        rules, so its parts go to the model at once; all others are encoded in full, many together.
+        """
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        out: list = list(map(self.young.get, chunks))
+        rest = []
+        for k, ids in enumerate(out):
+            if ids is None:
+                chunk = chunks[k]
+                ids = self.old.get(chunk)
+                if ids is not None:
+                    self.young[chunk] = out[k] = ids
+                elif self.plain and (fit := _PLAIN.fullmatch(chunk)):
+                    out[k] = self._parts(chunk, fit.groups())
+                else:
+                    rest.append(k)
+        for low in range(0, len(rest), 2000):
+            part = rest[low : low + 2000]
+            got = self.tokenizer.encode(" ".join(chunks[k] for k in part), add_special_tokens=False)
+            sizes = np.array([len(chunks[k]) + 1 for k in part])
+            begins = np.cumsum(sizes) - sizes
+            ids = np.array(got.ids, np.uint32)
+            at = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), np.append(begins, begins[-1] + sizes[-1]))
+            for k, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out[k] = ids[a:b].tobytes()
+                if len(chunks[k]) <= LONGEST:
+                    self.young[chunks[k]] = out[k]
+        return out
+
+
+def _ids(path: str) -> _Ids:
+    if path not in _loaded:
+        _loaded[path] = _Ids(path)
+    return _loaded[path]
 
 
 def token_ids(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and where each begins; a null text has none."""
     lists = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
     words = lists.flatten().dictionary_encode()
-    known = _encode(path, words.dictionary.to_pylist())
+    known = _ids(path).of(words.dictionary.to_pylist())
     sizes = np.array([len(x) for x in known] or [0], np.int64) // 4
     flat = np.frombuffer(b"".join(known), np.uint32)
     begins = np.cumsum(sizes) - sizes
@@ -71,8 +133,8 @@ def _cut(path: str, capacity: int):
         for batch in batches:
             sizes = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()))
             row = 0
-            while row < batch.num_rows:  # some two MB of text at a time
-                stop = max(row + 1, int(np.searchsorted(sizes, sizes[row] + (2 << 20), "right")) - 1)
+            while row < batch.num_rows:  # some of the text at a time
+                stop = max(row + 1, int(np.searchsorted(sizes, sizes[row] + TOGETHER, "right")) - 1)
                 out: list[tuple] = []
                 docs, texts = batch.column(0)[row:stop].to_pylist(), batch.column(1)[row:stop]
                 ids, begins = token_ids(path, texts)
