@@ -19,7 +19,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     a, b = edges.columns
     star = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     star, mark = scratch.table(star, f"{name}-0"), None
-    for k in range(1, 200):
+    k = 0
+    while True:
+        k += 1
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))

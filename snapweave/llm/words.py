@@ -83,16 +83,18 @@ def runs(data: np.ndarray, gap: np.ndarray, begins: np.ndarray) -> tuple[np.ndar
     return starts, ends
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(row, row after the last, from byte, to byte): whole rows of about PIECE bytes; a longer row alone, cut at white space."""
+def pieces(data: np.ndarray, offsets: np.ndarray, at: np.ndarray = _GAP) -> Iterator[tuple[int, int, int, int]]:
+    """(row, row after the last, from byte, to byte): whole rows of about PIECE bytes; a longer row alone, cut before a byte of `at` (white space)."""
     row, n = 0, len(offsets) - 1
     while row < n:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, "right")) - 1)
         low, high = int(offsets[row]), int(offsets[stop])
         while high - low > PIECE:
             cut = low + PIECE
-            while cut < high and not _GAP[data[cut]]:
+            while cut < high and not at[data[cut]]:
                 cut += 1
+            if cut == high:
+                break
             yield row, stop, low, cut
             low = cut
         yield row, stop, low, high
