@@ -6,7 +6,8 @@ typed placeholders number, unit and name; neighbours of one type are one placeho
 template tokens are joined on their hash. Matches of one document and item on one diagonal (document
 place less item place) are one copy, and count only if each value of the item's slots always has the same
 value in the copy: so a question with other numbers is caught, a text of the same frame but jumbled values
-is not.
+is not. An item with hardly any plain words (a sum, a list of names) has no template to speak of and is looked for as it
+is: a line of the text must have its very tokens.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _JOIN = np.isin(np.arange(256), np.frombuffer(b".,:/-", np.uint8))
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?:;\n", np.uint8))
+_BREAK = np.isin(np.arange(256), np.frombuffer(b"!?;\n", np.uint8))  # stops that are never inside a token
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
@@ -45,16 +47,31 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(hash_runs(data, *runs(data, data == 32, np.array([0]))))
 
 
-def template(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that begin at `begins` in data: each template token's row, its value and (a placeholder's) literal, else 0."""
+def tokens(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts that begin at `begins` in data: which bytes are in no token, tokens' starts and ends, their rows and hashes."""
     gap, digit = _GAP[data], _DIGIT[data]
     if len(data) > 2:
         gap[1:-1] &= ~(_JOIN[data[1:-1]] & digit[:-2] & digit[2:])
     starts, ends = runs(data, gap, begins)
+    return gap, starts, ends, np.searchsorted(begins, starts, "right") - 1, hash_runs(data, starts, ends)
+
+
+def whole_lines(data: np.ndarray, starts: np.ndarray, row: np.ndarray, literal: np.ndarray, by_line: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of all tokens of each line with tokens (or of each text, lines taken together)."""
+    if not len(starts):
+        return row, literal
+    line = np.append(0, np.cumsum(data == 10))[starts] if by_line else row
+    cut = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (row[1:] != row[:-1])))
+    size = np.diff(np.append(cut, len(starts)))
+    at = (np.arange(len(starts)) - np.repeat(cut, size)).astype(np.uint64)
+    return row[cut], mix(np.add.reduceat(mix(literal + at * np.uint64(0xD1342543DE82EF95), 17), cut) + size.astype(np.uint64), 18)
+
+
+def template(data: np.ndarray, gap: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each template token's row, its value and (a placeholder's) literal, else 0."""
     if not len(starts):
         return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 2
-    literal = hash_runs(data, starts, ends)
-    row = np.searchsorted(begins, starts, "right") - 1
+    digit = _DIGIT[data]
     stops = np.append(0, np.cumsum(_STOP[data] & gap))
     opens = np.append(True, (row[1:] != row[:-1]) | (stops[starts[1:]] > stops[ends[:-1]]))
     follow = data[np.minimum(starts + 1, len(data) - 1)]
@@ -84,20 +101,37 @@ def windows(row: np.ndarray, value: np.ndarray, literal: np.ndarray, size: int)
     return at, mix(total[at], size)
 
 
-_NAMES = ("doc_id", "row_key", "pos", "win", "slots")
+_NAMES = ("doc_id", "row_key", "pos", "size", "win", "slots")
+
 
+def _emit(passes, sizes: list[int], items: bool):
+    """Rows of windows of `sizes`. passes() -> (hashes -> which to keep).
 
-def _emit(passes, sizes: list[int], short_only: bool):
-    """Rows of windows. passes(hashes) -> which to keep; short_only: sizes under WINDOW only for rows of just that many tokens."""
+    Size 0 stands for whole lines. Of `items`, sizes under WINDOW are only for rows of just that many tokens, and size 0 is the whole of a row
+    with under LITERALS plain words.
+    """
     schema = pa.schema([(n, pa.list_(pa.int64()) if n == "slots" else pa.int64()) for n in _NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = passes()
+
+        def told(batch: pa.RecordBatch, where: np.ndarray, pos: np.ndarray, size: int, win: np.ndarray, slots: list) -> pa.RecordBatch:
+            where = pa.array(where)
+            columns = [pa.array(pos.astype(np.int64)), pa.array(np.full(len(pos), size)), pa.array(win.view(np.int64)), pa.array(slots, schema.field("slots").type)]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *columns], schema=schema)
+
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             held: list[tuple] = []
-            for row, stop, low, high in pieces(data, offsets):
-                got = template(data[low:high], np.clip(offsets[row:stop] - low, 0, high - low))
+            for row, stop, low, high in pieces(data, offsets, _BREAK):
+                part = data[low:high]
+                found = tokens(part, np.clip(offsets[row:stop] - low, 0, high - low))
+                got = template(part, *found)
+                lines = whole_lines(part, found[1], found[3], found[4], not items) if 0 in sizes else None
+                if lines and not items:
+                    good = keep(lines[1])
+                    if good.any():
+                        yield told(batch, row + lines[0][good], np.full(int(good.sum()), -1), 0, lines[1][good], [[]] * int(good.sum()))
                 if stop == row + 1:  # pieces of a long text are one text
                     held.append(got)
                     if high < offsets[stop]:
@@ -105,11 +139,17 @@ def _emit(passes, sizes: list[int], short_only: bool):
                     got = tuple(np.concatenate(x) for x in zip(*held, strict=True))
                     held = []
                 own, value, literal = got
+                if lines and items:
+                    few = np.bincount(own, literal == 0, stop - row)[lines[0]] < LITERALS
+                    if few.any():
+                        yield told(batch, row + lines[0][few], np.full(int(few.sum()), -1), 0, lines[1][few], [[]] * int(few.sum()))
                 first = np.searchsorted(own, np.arange(stop - row))
                 count = np.bincount(own, minlength=stop - row)
                 for size in sizes:
+                    if not size:
+                        continue
                     at, win = windows(own, value, literal, size)
-                    if short_only and size < WINDOW:
+                    if items and size < WINDOW:
                         good = count[own[at]] == size
                         at, win = at[good], win[good]
                     good = keep(win)
@@ -117,11 +157,9 @@ def _emit(passes, sizes: list[int], short_only: bool):
                     if not len(at):
                         continue
                     around = literal[at[:, None] + np.arange(size)].view(np.int64)
-                    slots = [x[x != 0].tolist() for x in around]
-                    where = pa.array(row + own[at])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(at - first[own[at]]), pa.array(win.view(np.int64)), pa.array(slots, schema.field("slots").type)], schema=schema)
+                    yield told(batch, row + own[at], at - first[own[at]], size, win, [x[x != 0].tolist() for x in around])
 
-    return run, "doc_id long, row_key long, pos long, win long, slots array<long>"
+    return run, "doc_id long, row_key long, pos long, size long, win long, slots array<long>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, enough: int = 8, scratch: Scratch | None = None) -> DataFrame:
@@ -129,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, e
 
     An item is held if `coverage` of its windows, or `enough` of them (15 words in a row), are in the text,
     in copies whose slots are consistent. An item of fewer than eight template tokens is one window of all
-    of them; one with fewer than four plain words can't be held. reparameterised: no copy has the item's
+    of them; one with fewer than four plain words is held where a line of the text has just its tokens. reparameterised: no copy has the item's
     own values throughout. Null and empty texts and items match nothing; rows of equal doc_id and text give
     one row; items of equal id and other text are taken together. Only doc_id, text and item_id are read.
     """
@@ -137,12 +175,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, e
     scratch = scratch or Scratch(spark, "decontaminate")
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.xxhash64("item_id", "text").alias("row_key"), "text")
     every = lambda: lambda win: np.ones(len(win), bool)
-    run, schema = _emit(every, list(range(LITERALS, WINDOW + 1)), True)
-    bench = items.mapInArrow(trimmed(run), schema).select(F.col("doc_id").alias("item_id"), F.col("row_key").alias("item_key"), F.col("pos").alias("b_pos"), "win", F.col("slots").alias("b_slots"), (F.lit(1)).alias("one"))
+    run, schema = _emit(every, [0, *range(LITERALS, WINDOW + 1)], True)
+    bench = items.mapInArrow(trimmed(run), schema).select(F.col("doc_id").alias("item_id"), F.col("row_key").alias("item_key"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size"), "win", F.col("slots").alias("b_slots"))
     total = bench.groupBy("item_key").agg(F.count("*").alias("item_windows"))
-    bench = scratch.table(bench.drop("one").join(total, "item_key"), "bench")
-    # short items are windows of their whole length: their sizes are looked for in documents too
-    sizes = [WINDOW] if not _has_short(bench) else list(range(LITERALS, WINDOW + 1))
+    bench = scratch.table(bench.join(total, "item_key"), "bench")
+    sizes = [r.b_size for r in bench.select("b_size").distinct().collect()]  # from 0 to WINDOW
 
     mask = (1 << FILTER_BITS) - 1
     low = F.col("win").bitwiseAND(F.lit(mask))
@@ -163,8 +200,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, e
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     run, schema = _emit(passes, sizes, False)
-    found = join_counted(texts.mapInArrow(trimmed(run), schema), bench, "win")
-    found = found.where(F.size("slots") == F.size("b_slots")).withColumn("diagonal", F.col("pos") - F.col("b_pos"))
+    found = join_counted(texts.mapInArrow(trimmed(run), schema), bench, "win", values=F.size("b_slots") + 5)
+    found = found.where((F.size("slots") == F.size("b_slots")) & (F.col("size") == F.col("b_size"))).withColumn("diagonal", F.col("pos") - F.col("b_pos"))
     slots = F.arrays_zip(F.col("b_slots").alias("old"), F.col("slots").alias("new"))
     copy = found.groupBy("doc_id", "row_key", "item_id", "item_key", "item_windows", "diagonal").agg(
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs"), F.collect_set("b_pos").alias("places"))  # no more than the item has
@@ -179,12 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, e
     return scratch.table(out, "held")
 
 
-def _has_short(bench: DataFrame) -> bool:
-    """Does any item have just one window? Only then can it be shorter than the window."""
-    return bench.where("item_windows = 1").limit(1).count() > 0
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """docs without those that hold an item; all columns as they are."""
     scratch = scratch or Scratch(docs.sparkSession, "clean")
-    return without(docs, scratch.table(contaminated(docs, benchmark, scratch=scratch).select("row_key").distinct(), "gone"))
+    return without(docs, scratch.table(contaminated(docs, benchmark, scratch=scratch).select("doc_id", "row_key").distinct(), "gone"))
