@@ -1,9 +1,13 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams, a calibrated unknown class, and template comparison.
 
+A paragraph is a run of lines with words; marks of comments are no words. What is judged are its windows: each line, runs of
+lines of up to WIDE words together, and stretches of WIDE words of longer lines, so that a notice is found where it is
+wrapped and where it stands in a line among others.
+
 The classifier is a multinomial logistic regression (Spark ML) over hashed one- and two-word grams. It learns from
-the templates below, each in many cut and embedded forms, and from paragraphs of the corpus that share
-no three words in a row with any template, which are the unknown class. A temperature, chosen on forms
-held out from training, calibrates the probabilities. A prediction is confirmed if the paragraph holds a large part
+the templates below, each in many cut and embedded forms, and from windows of the corpus that share
+no three words in a row with any template, which are the unknown class. A temperature calibrates the probabilities: it is chosen
+on templates that the classifier (trained without them) has not seen. A prediction is confirmed if the window holds a large part
 of the three-word grams of a template of the predicted family.
 """
 
@@ -21,40 +25,72 @@ from .scratch import Scratch
 from .words import _SPOT, hash_runs, mix, runs, text_bytes, trimmed
 
 BUCKETS = 1 << 13
-#: Corpus paragraphs of the unknown class that training sees: those of the least hash.
+#: Corpus windows of the unknown class that training sees: those of the least hash.
 UNKNOWN_ROWS = 2000
+#: Words of a window at most, lines of one of several lines, and words between the stretches of a longer line.
+WIDE, LINES, STRIDE = 96, 12, 24
 #: Forms made of each template.
 FORMS = 60
 
-# Sentences by which licence families are named or granted.
+# Sentences by which licence families are named or granted, from the public texts of the licences.
 TEMPLATES: dict[str, list[str]] = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ],
     "mit": [
         "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ],
+    "lgpl": [
+        "This library is licensed under the GNU Lesser General Public License.",
+        "You can redistribute this library under the terms of the GNU Lesser General Public License version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ],
+    "bsd": [
+        "Released under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License.", "You can redistribute this library under the terms of the GNU Lesser General Public License version 2.1."],
-    "bsd": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "public-domain": ["This work has been dedicated to the public domain under CC0 1.0.", "No rights reserved. This work is in the public domain."],
+    "public-domain": [
+        "This work has been dedicated to the public domain under CC0 1.0.",
+        "No rights reserved. This work is in the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this work may be reproduced without written permission."],
 }
 UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
 
 
-def paragraphs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, line from 0, word hashes, where each paragraph's words begin and the last end) of all lines with words."""
+def paragraphs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, line from 0, word hashes, where each line's words begin and the last end, number of each line's paragraph) of all lines with words.
+
+    A text of over a MiB comes in several parts, cut at line ends; a notice across such a cut is judged in two parts.
+    """
     data, offsets = text_bytes(column)
     ahead: dict[int, int] = {}
     for row, stop, low, high in _line_pieces(data, offsets):
@@ -63,12 +99,30 @@ def paragraphs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         newline = np.flatnonzero(part == 10) + 1
         starts, ends = runs(part, _PART[part], np.concatenate([begins[:-1], newline[newline < len(part)]]))
         own = np.searchsorted(begins, starts, "right") - 1
-        line = np.searchsorted(newline, starts, "right") - np.searchsorted(newline, begins[:-1], "right")[own] + ahead.get(row, 0)
+        line = np.searchsorted(newline, starts, "right") - np.searchsorted(newline, begins[:-1], "right")[own] + ahead.get(row, 0) * (own == 0)
         if stop == row + 1:
             ahead[row] = ahead.get(row, 0) + len(newline)
         if len(starts):
             cut = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (own[1:] != own[:-1])))
-            yield row + own[cut], line[cut], hash_runs(part, starts, ends), np.append(cut, len(starts))
+            row_of, line = row + own[cut], line[cut]
+            fresh = np.append(True, (row_of[1:] != row_of[:-1]) | (line[1:] != line[:-1] + 1))
+            yield row_of, line, hash_runs(part, starts, ends), np.append(cut, len(starts)), np.cumsum(fresh)
+
+
+def windows(begins: np.ndarray, paragraph: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word (past it), first line and number of lines of all windows."""
+    size = np.diff(begins)
+    short, long = np.flatnonzero(size <= WIDE), np.flatnonzero(size > WIDE)
+    out = [(begins[short], begins[short + 1], short, np.ones(len(short), np.int64))]
+    for k in long.tolist():
+        at = np.append(np.arange(begins[k], begins[k + 1] - WIDE, STRIDE), begins[k + 1] - WIDE)
+        out.append((at, at + WIDE, np.full(len(at), k), np.ones(len(at), np.int64)))
+    for n in range(2, min(LINES, len(size)) + 1):
+        at = np.flatnonzero((paragraph[n - 1 :] == paragraph[: len(size) - n + 1]) & (begins[n:] - begins[: len(begins) - n] <= WIDE))
+        if not len(at):
+            break
+        out.append((begins[at], begins[at + n], at, np.full(len(at), n)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def grams(words: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
@@ -84,21 +138,25 @@ def grams(words: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _features(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of one- and two-word grams of all paragraphs, two for each word (-1: none), and their weights 1 / sqrt(number)."""
+def _buckets(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the one- and the two-word gram that begin at each word (-1: none); `begins` are those of paragraphs."""
     two = grams(words, begins, 2)
     low = np.uint64(BUCKETS - 1)
-    bucket = np.stack([(mix(words, 21) & low).astype(np.int64), np.where(two == 0, -1, (two & low).astype(np.int64))], axis=1)
-    return bucket, 1 / np.sqrt(np.repeat(2 * np.diff(begins) - 1, np.diff(begins)))
+    return (mix(words, 21) & low).astype(np.int64), np.where(two == 0, -1, (two & low).astype(np.int64))
 
 
 def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    found = [(w, b) for _, _, w, b in paragraphs(pa.array([t.replace("\n", " ") for t in texts]))]
+    found = [(w, b) for _, _, w, b, _ in paragraphs(pa.array([t.replace("\n", " ") for t in texts]))]
     words = np.concatenate([w for w, _ in found])
     sizes = np.concatenate([np.diff(b) for _, b in found])
     return words, np.append(0, np.cumsum(sizes))
 
 
+def _ends_of(begins: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
+    """Where each paragraph's words begin and the last end."""
+    return np.append(begins[:-1][np.append(True, paragraph[1:] != paragraph[:-1])], begins[-1])
+
+
 def _template_grams(size: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct grams over all templates with the number of each template that holds them (as pairs), templates' families and sizes."""
     pairs, family, sizes = set(), [], []
@@ -113,12 +171,12 @@ def _template_grams(size: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.array([g for g, _ in flat], np.uint64), np.array([t for _, t in flat]), np.array(family), np.array(sizes)
 
 
-def _forms(seed: int) -> list[tuple[str, int]]:
-    """Training texts of the families: a template whole, cut short, or with other words around it."""
+def _forms(seed: int) -> list[tuple[str, int, bool]]:
+    """Training texts of the families, a template whole, cut short, or with other words around it; and whether it is of its family's last template of several."""
     random = np.random.Generator(np.random.PCG64(seed))
     out = []
     for k, texts in enumerate(TEMPLATES.values()):
-        for text in texts:
+        for at, text in enumerate(texts):
             words = text.split()
             for n in range(FORMS):
                 part = list(words)
@@ -129,12 +187,29 @@ def _forms(seed: int) -> list[tuple[str, int]]:
                 if n % 3 == 2:
                     noise = [f"w{x}" for x in random.integers(0, 10**9, 8)]
                     part = noise[: int(random.integers(0, 5))] + part + noise[4 : 4 + int(random.integers(0, 5))]
-                out.append((" ".join(part), k))
+                out.append((" ".join(part), k, at == len(texts) - 1 > 0))
     return out
 
 
+def _least(rows: int):
+    """Of each task the rows of least code, `rows` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            best = (now if best is None else pa.concat_tables([best, now])).sort_by("code").slice(0, rows)
+        if best is not None:
+            yield from best.to_batches()
+
+    return run
+
+
 def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS, steps: int = 30, scratch: Scratch | None = None) -> dict:
-    """Weights (BUCKETS x families), intercepts and temperature. Corpus paragraphs are a bounded sample: the `unknown_rows` of least hash."""
+    """Weights (BUCKETS x families), intercepts and temperature. Of the corpus's windows training sees a bounded sample: the `unknown_rows` of least hash.
+
+    A corpus without text leaves the unknown class without examples; it then is never predicted.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import SparseVector, VectorUDT
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
@@ -142,47 +217,56 @@ def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS
     known = _template_grams()[0]
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each task the paragraphs of least hash that share no gram with a template; a bounded number."""
+        """Of each task the windows of least hash that share no gram with a template; a bounded number."""
         best: list[tuple[int, list[int]]] = []
         for batch in batches:
-            for _, _, words, begins in paragraphs(batch.column(0)):
-                three = np.isin(grams(words, begins, 3), known)
-                shared = np.add.reduceat(three, begins[:-1]) > 0
-                code = mix(np.add.reduceat(mix(words, 31), begins[:-1])).view(np.int64)
+            for _, _, words, begins, paragraph in paragraphs(batch.column(0)):
+                start, end, _, _ = windows(begins, paragraph)
+                three = np.append(0, np.cumsum(np.isin(grams(words, _ends_of(begins, paragraph), 3), known)))
+                shared = three[np.maximum(end - 2, start)] > three[start]
+                total = np.append(np.uint64(0), np.cumsum(mix(words, 31), dtype=np.uint64))
+                code = mix(total[end] - total[start]).view(np.int64)
                 worst = best[-1][0] if len(best) >= unknown_rows else 2**63 - 1
                 fresh = np.flatnonzero(~shared & (code < worst))
                 fresh = fresh[np.argsort(code[fresh])][:unknown_rows]
-                best += [(int(code[k]), words[begins[k] : min(begins[k + 1], begins[k] + 400)].view(np.int64).tolist()) for k in fresh.tolist()]
+                best += [(int(code[k]), words[start[k] : end[k]].view(np.int64).tolist()) for k in fresh.tolist()]
                 best = sorted({c: (c, w) for c, w in best}.values())[:unknown_rows]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in best], pa.int64()), pa.array([w for _, w in best], pa.list_(pa.int64()))], ["code", "words"])
 
     scratch = scratch or Scratch(spark, "licence")
-    best = scratch.table(docs.select("text").mapInArrow(trimmed(plain), "code long, words array<long>"), "best")
+    kind = "code long, words array<long>"
+    best = scratch.table(docs.select("text").mapInArrow(trimmed(plain), kind), "best")
+    while (tasks := len(best.inputFiles())) > 16:  # a tree, so that no task sees the rows of all
+        best = scratch.table(best.repartition(-(-tasks // 16), "code").mapInArrow(trimmed(_least(unknown_rows)), kind), f"best-{tasks}")
     last = best.select("code").distinct().orderBy("code").limit(unknown_rows).agg(F.max("code").alias("code")).first().code
     sample = best.where(F.col("code") <= (0 if last is None else last)).dropDuplicates(["code"]).collect()  # unknown_rows at most
     sample.sort(key=lambda r: r.code)
     rows = []
 
-    def add(words: np.ndarray, begins: np.ndarray, labels: list[int]) -> None:
-        bucket, weight = _features(words, begins)
+    def add(words: np.ndarray, begins: np.ndarray, labels: list[int], held: list[bool]) -> None:
+        one, two = _buckets(words, begins)
         for k, label in enumerate(labels):
             a, b = begins[k], begins[k + 1]
-            own = bucket[a:b].reshape(-1)
+            own = np.concatenate([one[a:b], two[a:b]])
             index, number = np.unique(own[own >= 0], return_counts=True)
-            rows.append((float(label), SparseVector(BUCKETS, index.tolist(), (number * weight[a]).tolist()), len(rows) % 4 == 3))
+            rows.append((float(label), SparseVector(BUCKETS, index.tolist(), (number / np.sqrt(2 * (b - a) - 1)).tolist()), held[k]))
 
     forms = _forms(1)
-    add(*_words_of([t for t, _ in forms]), [k for _, k in forms])
+    add(*_words_of([t for t, _, _ in forms]), [k for _, k, _ in forms], [h for _, _, h in forms])
     if sample:
-        add(np.concatenate([np.array(r.words, np.int64) for r in sample]).view(np.uint64), np.append(0, np.cumsum([len(r.words) for r in sample])), [len(TEMPLATES)] * len(sample))
+        add(np.concatenate([np.array(r.words, np.int64) for r in sample]).view(np.uint64), np.append(0, np.cumsum([len(r.words) for r in sample])), [len(TEMPLATES)] * len(sample), [k % 4 == 3 for k in range(len(sample))])
     kind = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT()), StructField("held", BooleanType())])
     data = spark.createDataFrame(rows, kind)  # the bounded sample
-    model = LogisticRegression(maxIter=steps, regParam=1e-4, family="multinomial", standardization=False).fit(data.where("not held"))
-    families = model.coefficientMatrix.numRows
-    weights = np.zeros((BUCKETS, len(FAMILIES)), np.float32)
-    weights[:, :families] = model.coefficientMatrix.toArray().T
-    bias = np.full(len(FAMILIES), -30.0)
-    bias[:families] = model.interceptVector.toArray()
+
+    def fitted(data: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        model = LogisticRegression(maxIter=steps, regParam=1e-4, family="multinomial", standardization=False).fit(data)
+        families = model.coefficientMatrix.numRows
+        weights, bias = np.zeros((BUCKETS, len(FAMILIES))), np.full(len(FAMILIES), -30.0)
+        weights[:, :families] = model.coefficientMatrix.toArray().T
+        bias[:families] = model.interceptVector.toArray()
+        return weights, bias
+
+    weights, bias = fitted(data.where("not held"))
     logits = np.array([bias + weights[f.indices].T @ f.values for _, f, held in rows if held])
     truth = np.array([int(y) for y, _, held in rows if held])
 
@@ -191,49 +275,55 @@ def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS
         z -= z.max(axis=1, keepdims=True)
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
 
-    return {"weights": weights, "bias": bias, "temperature": min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)}
+    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
+    weights, bias = fitted(data)
+    return {"weights": weights.astype(np.float32), "bias": bias, "temperature": temperature}
 
 
 def scan(docs: DataFrame, model: dict, least: float = 0.5, confirm: float = 0.6) -> DataFrame:
-    """One row per paragraph (line) that is of a licence family: doc_id, line_no, family, probability, template_share, confirmed.
+    """One row per window that is of a licence family: doc_id, line_no (its first line), n_lines, family, probability, template_share, confirmed.
 
-    Every paragraph of every whole text is scored. It is reported if its best family is not unknown and has a
-    calibrated probability of at least `least`; confirmed if it holds the share `confirm` of the three-word grams of one
+    Every window of every whole text is scored. It counts if its best family is not unknown and has a
+    calibrated probability of at least `least`. Of windows that overlap one is reported: that of the largest template_share,
+    then the one of fewest words. It is confirmed if it holds the share `confirm` of the three-word grams of one
     template of that family. Null and empty texts and lines without words have none. Columns other than doc_id and text are
     not read. Empty in, empty out.
     """
     known, template, family, sizes = _template_grams()
     held = docs.sparkSession.sparkContext.broadcast(model["weights"])  # BUCKETS x families
     bias, temperature = model["bias"], model["temperature"]
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("template_share", pa.float64()), ("confirmed", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("n_lines", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("template_share", pa.float64()), ("confirmed", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.vstack([held.value, np.zeros((1, len(FAMILIES)), np.float32)])  # the last row is for no gram
         for batch in batches:
-            for row, line, words, begins in paragraphs(batch.column(1)):
-                bucket, weight = _features(words, begins)
-                logits = np.empty((len(line), len(FAMILIES)))
-                step = max(1, (1 << 21) // len(FAMILIES))
-                cuts = np.unique(np.searchsorted(begins[:-1], np.arange(0, len(words) + step, step)))
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    at = slice(begins[a], begins[b])
-                    logits[a:b] = np.add.reduceat((weights[bucket[at, 0]] + weights[bucket[at, 1]]) * weight[at, None], begins[a:b] - begins[a], axis=0)
+            for row, line, words, begins, paragraph in paragraphs(batch.column(1)):
+                start, end, first, lines = windows(begins, paragraph)
+                one, two = _buckets(words, _ends_of(begins, paragraph))
+                sums = [np.zeros((len(words) + 1, len(FAMILIES))) for _ in range(2)]
+                for total, bucket in zip(sums, (one, two), strict=True):
+                    np.cumsum(weights[bucket], axis=0, dtype=np.float64, out=total[1:])
+                logits = (sums[0][end] - sums[0][start] + sums[1][np.maximum(end - 1, start)] - sums[1][start]) / np.sqrt(2 * (end - start) - 1)[:, None]
                 logits = (logits + bias) / temperature
-                logits -= logits.max(axis=1, keepdims=True)
-                chance = np.exp(logits)
-                chance /= chance.sum(axis=1, keepdims=True)
-                best = chance.argmax(axis=1)
-                hits = np.flatnonzero((best < len(TEMPLATES)) & (chance[np.arange(len(best)), best] >= least))
-                if not len(hits):
-                    continue
-                share = []
-                for k in hits.tolist():
-                    part, ends = words[begins[k] : begins[k + 1]], np.array([0, begins[k + 1] - begins[k]])
+                best = logits.argmax(axis=1)
+                hits = np.flatnonzero(best < len(TEMPLATES))
+                chance = np.exp(logits[hits] - logits[hits].max(axis=1, keepdims=True))
+                chance = chance.max(axis=1) / chance.sum(axis=1)
+                hits, chance = hits[chance >= least], chance[chance >= least]
+                found = []
+                for k, p in zip(hits.tolist(), chance.tolist(), strict=True):
+                    part, ends = words[start[k] : end[k]], np.array([0, end[k] - start[k]])
                     own = np.concatenate([grams(part, ends, s) for s in (1, 2, 3)])
                     count = np.bincount(template[np.isin(known, own)], minlength=len(sizes)) / np.maximum(sizes, 1)
-                    share.append(count[family == best[k]].max())
-                named = [FAMILIES[x] for x in best[hits].tolist()]
-                share = np.array(share)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[hits])), pa.array(line[hits].astype(np.int64)), pa.array(named), pa.array(chance[hits, best[hits]]), pa.array(share), pa.array(share >= confirm)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, line_no long, family string, probability double, template_share double, confirmed boolean")
+                    found.append((-count[family == best[k]].max(), end[k] - start[k], start[k], p, k))
+                taken = np.zeros(len(words), bool)
+                out = []
+                for share, _, _, p, k in sorted(found):
+                    if not taken[start[k] : end[k]].any():
+                        taken[start[k] : end[k]] = True
+                        out.append((row[first[k]], line[first[k]], lines[k], FAMILIES[best[k]], p, -share, -share >= confirm))
+                if out:
+                    columns = list(zip(*sorted(out), strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *(pa.array(c, f.type) for c, f in zip(columns[1:], list(schema)[1:], strict=True))], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, line_no long, n_lines long, family string, probability double, template_share double, confirmed boolean")
