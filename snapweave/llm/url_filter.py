@@ -56,5 +56,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"),
     )
     best = found.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    out = sites.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    out = sites.where("host != ''").join(best, ["host", "path"], "left")
+    out = out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # rows without a host may be very many, and no rule fits them
+    return out.unionByName(sites.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
