@@ -11,6 +11,8 @@ from .scratch import Scratch, fresh
 
 #: Rows of a block: the unit that keeps sums over a shard from being one task's work.
 BLOCK_ROWS = 4096
+#: Blocks that are summed up together.
+RUN = 1024
 
 
 def min_cost_transfers(supply: list[int], capacity: list[int], cost: np.ndarray | None = None) -> dict[tuple[int, int], int]:
@@ -57,6 +59,19 @@ def min_cost_transfers(supply: list[int], capacity: list[int], cost: np.ndarray
     return {(i, j): int(flow[i, j]) for i in range(n) for j in range(m) if flow[i, j]}
 
 
+def sum_before(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """rows with the sum of `value` over the rows of equal keys whose `order` (a number from 0) is less.
+
+    In two levels, so that the rows of one key are no single task's: sums of RUN numbers of the order first, and within these the rows.
+    """
+    part = rows.withColumn("run", F.floor(F.col(order) / RUN))
+    ahead = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = part.groupBy(*keys, "run").agg(F.sum(value).alias("of_run")).select(*keys, "run", F.coalesce(F.sum("of_run").over(ahead), F.lit(0)).alias("before_run"))
+    inner = Window.partitionBy(*keys, "run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn(name, F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return part.join(runs, [*keys, "run"]).withColumn(name, F.col(name) + F.col("before_run")).drop("run", "before_run")
+
+
 def reshard(docs: DataFrame, old_shard, old_shards: int, new_shards: int, weights: list[float] | None = None, scratch: Scratch | None = None, key: list[str] | None = None) -> DataFrame:
     """Put every row in a new shard, moving the fewest bytes that make the shards' bytes nearly equal (or as `weights`).
 
@@ -89,8 +104,7 @@ def reshard(docs: DataFrame, old_shard, old_shards: int, new_shards: int, weight
     runs = spark.createDataFrame(runs or [(0, 0, 0)], "old_shard int, until long, shard int")
     runs = runs.groupBy("old_shard").agg(F.sort_array(F.collect_list(F.struct("until", "shard"))).alias("runs"))  # a list of new shards at most
 
-    before = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("ahead", F.coalesce(F.sum("bytes").over(before), F.lit(0))).drop("bytes")
+    each = sum_before(each, ["old_shard"], "block", "bytes", "ahead").drop("bytes")
     order = [F.col("size").desc(), "doc_id", "text_crc32", *(key or [])]
     inner = Window.partitionBy("old_shard", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(inner)).join(each, ["old_shard", "block"]).join(F.broadcast(runs), "old_shard")
@@ -100,8 +114,8 @@ def reshard(docs: DataFrame, old_shard, old_shards: int, new_shards: int, weight
     nth = F.row_number().over(Window.partitionBy("old_shard", "block", "shard").orderBy(*order))
     placed = scratch.table(placed.withColumn("nth", nth), "placed")
     counts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    counts = counts.withColumn("place", F.col("old_shard") * F.lit(blocks).cast("long") + F.col("block"))
+    counts = sum_before(counts, ["shard"], "place", "n", "first").drop("n", "place")
     out = placed.join(counts, ["shard", "old_shard", "block"])
     return out.select(*(key or []), "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"))
 
