@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rewrite, shares, text
+from ..operators import cleaning, pages, rewrite, shares, text
 from .registry import ntz, query
 
 TS = "20240101000000"
@@ -30,15 +30,19 @@ def to_markdown(t):
     return text.to_markdown(t.rich)
 
 
-@query(r"""SELECT page_id, length(h) AS n, md5(h) AS digest FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '\s+on\w+\s*=\s*"[^"]*"', '', 'gi'), '\s+on\w+\s*=\s*''[^'']*''', '', 'gi'),
-    'href\s*=\s*["'']javascript:[^"'']*["'']', 'href="#"', 'gi'), '<embed\b[^>]*/?>', '', 'gis') AS h FROM rich)""")
+#: What the steps that are patterns alone make of a page of `rich`.
+NATIVE = r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '\s+on\w+\s*=\s*"[^"]*"', '', 'gi'), '\s+on\w+\s*=\s*''[^'']*''', '', 'gi'),
+    'href\s*=\s*["'']javascript:[^"'']*["'']', 'href="#"', 'gi'), '<embed\b[^>]*/?>', '', 'gis') AS h FROM rich"""
+
+
+@query(f"SELECT page_id, length(h) AS n, md5(h) AS digest FROM ({NATIVE})")
 def sanitize_native(t):
-    return t.rich.select("page_id", text.sanitize_native(F.col("html")).alias("h")).select("page_id", F.length("h").cast("long").alias("n"), F.md5("h").alias("digest"))
+    return t.rich.select("page_id", cleaning.drop_external_css_refs(cleaning.cleaning_step("drop_active", "drop_frames")("html")).alias("h")).select("page_id", F.length("h").cast("long").alias("n"), F.md5("h").alias("digest"))
 
 
-@query()
+@query(f"SELECT page_id, md5(replace(h, ' autoplay></video>', ' controls></video>')) AS digest FROM ({NATIVE})")
 def sanitize_pages(t):
-    return text.sanitize_pages(t.rich)
+    return cleaning.sanitize_pages(t.rich).select("page_id", F.md5("html").alias("digest"))
 
 
 def _linked_css(t):
@@ -47,23 +51,23 @@ def _linked_css(t):
 
 @query("""SELECT page_id, '<style>a{background:url("")} b{background:url(/archive/x.png)}</style>' AS css FROM pages""")
 def drop_external_css_refs(t):
-    return _linked_css(t).select("page_id", text.drop_external_css_refs(F.col("css")).alias("css"))
+    return _linked_css(t).select("page_id", cleaning.drop_external_css_refs(F.col("css")).alias("css"))
 
 
 @query("SELECT page_id, html FROM rich".replace("html FROM", "length(regexp_replace(html, '<script\\b[^>]*src\\s*=\\s*[\"''](?:https?:)?//[^\"''/]*cdn[^\"''/]*/[^\"'']*[\"''][^>]*>\\s*</script>', '', 'gis')) AS n FROM"))
 def drop_third_party(t):
-    return t.rich.select("page_id", F.length(text.drop_third_party(F.col("html"))).cast("long").alias("n"))
+    return t.rich.select("page_id", F.length(cleaning.drop_third_party(F.col("html"))).cast("long").alias("n"))
 
 
 @query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS digest FROM pages""")
 def escape_html(t):
-    return t.pages_raw.select("page_id", F.md5(text.escape_html(F.col("html"))).alias("digest"))
+    return t.pages_raw.select("page_id", F.md5(pages.escape_html(F.col("html"))).alias("digest"))
 
 
 @query()
 def shared_content(t):
     html = t.snapshots.select("html_path", "html")
-    return shares.shared_content(t.shares, html, ntz("2024-01-20"), text.sanitize_html, text.markdown)
+    return shares.shared_content(t.shares, html, ntz("2024-01-20"), cleaning.sanitize_html, text.markdown)
 
 
 def _dated(t):
@@ -76,9 +80,9 @@ def _paths(t):
     return extract_resources(t.rich).select("page_id", "resource_url", F.concat(F.lit("resources/"), F.sha2("resource_url", 256)).alias("path"))
 
 
-@query()
+@query(r"""SELECT page_id, md5(replace(html, 'src="../frames', 'src="' || regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*/)', 1), '[^/]+/$', '') || 'frames')) AS digest FROM rich""")
 def resolve_relative_refs(t):
-    return t.rich.select("page_id", rewrite.resolve_relative_refs("html", "url").alias("html"))
+    return t.rich.select("page_id", F.md5(rewrite.resolve_relative_refs("html", "url")).alias("digest"))
 
 
 @query()
@@ -131,13 +135,38 @@ def resolve_frame_tree(t):
     return rewrite.resolve_frame_tree(frames, F.lit("/archive/1/2mp_/"))
 
 
-for _name in text.CLEANERS:
-    query(name=_name)(lambda t, n=_name: t.rich.select("page_id", text.cleaning_step(n)("html").alias("html")))
+@query()
+def strip_non_content(t):
+    return t.rich.select("page_id", text.content_text("html").alias("html"))
 
 
-@query()
+#: Steps, html that is put behind a page's, and what each makes of it; all else of a page stays as it is.
+SHAPES = {
+    "drop_picture_sources": ("<picture><source srcset='a'><img src='b'></picture><source src='c'>", "<picture><img src='b'></picture><source src='c'>"),
+    "drop_overlays": ("<div id='placeholder'><div>a</div>b</div><div id='x'>c</div>", "<div id='x'>c</div>"),
+    "fix_nested_buttons": ("<button>a<button class='k'>b</button></button>", "<button>a<span class='k'>b</span></button>"),
+    "fix_hidden_animation": ("<p data-animate='up' style='opacity: 0; color:red; rotate:3deg'>a</p><path style='scale: 2'/>", "<p data-animate='up' style='color:red'>a</p><path style='scale: 2'/>"),
+    "drop_frames": ("<frame src='a'><object><object>b</object>c</object><embed src='d'/>e", "e"),
+}
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+for _name, (_given, _made) in SHAPES.items():
+    query(f"SELECT page_id, md5(html || {_sql_text(_made)}) AS digest FROM rich", name=_name)(lambda t, n=_name, g=_given: t.rich.select("page_id", F.md5(cleaning.cleaning_step(n)(F.concat("html", F.lit(g)))).alias("digest")))
+
+
+@query("SELECT page_id, md5(replace(html, ' autoplay></video>', ' controls></video>')) AS digest FROM rich")
+def fix_video(t):
+    return t.rich.select("page_id", F.md5(cleaning.cleaning_step("fix_video")("html")).alias("digest"))
+
+
+@query(f"SELECT page_id, md5(html || {_sql_text(SHAPES['drop_picture_sources'][1] + 'e')}) AS digest FROM rich")
 def drop_embeds(t):
-    return t.rich.select("page_id", text.drop_embeds(F.col("html")).alias("html"))
+    given = SHAPES["drop_picture_sources"][0] + SHAPES["drop_frames"][0]
+    return t.rich.select("page_id", F.md5(cleaning.drop_embeds(F.concat("html", F.lit(given)))).alias("digest"))
 
 
 @query("""SELECT page_id, '/p/' || url || ' 1x, ' || url || '.b 2x' AS srcset FROM pages""")
