@@ -137,7 +137,12 @@ def change_bursts(changes: DataFrame, least: int = 10, life: str = "5 minutes")
     Ticks are summed first, so a page's state walks over few rows, not over its changes.
     """
     first = changes.groupBy("page_id").agg(F.min("ts").alias("first"))
-    ticks = tick_counts(changes).join(first, "page_id").where(F.col("tick") < F.col("first") + F.expr(f"INTERVAL {life}")).select("page_id", "tick", "changes")
+    return bursts_of_ticks(tick_counts(changes).join(first, "page_id"), least, life)
+
+
+def bursts_of_ticks(ticks: DataFrame, least: int = 10, life: str = "5 minutes") -> DataFrame:
+    """change_bursts from ticks (page_id, tick, changes, and `first`, the time of the page's first change)."""
+    ticks = ticks.where((F.col("changes") > 0) & (F.col("tick") < F.col("first") + F.expr(f"INTERVAL {life}"))).select("page_id", "tick", "changes")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         page, held = None, 0

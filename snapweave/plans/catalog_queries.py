@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest, pages, shares, text
-from .fixtures import DOMAIN_SQL
+from .fixtures import BURSTS, DOMAIN_SQL
 from .registry import ntz, query
 
 LIST = "id, url, title, content_hash, epoch_us(captured_at) AS captured_at, epoch_us(first_visited) AS first_visited, epoch_us(last_visited) AS last_visited, domain, snapshot_state"
@@ -108,10 +108,9 @@ def shrink_guard(t):
     return ingest.shrink_guard(rows).select("update_id")
 
 
-@query()
+@query(BURSTS)
 def change_bursts(t):
-    rows = t.events.select(F.expr("user_id % 20").alias("page_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, cast(event_id % 400 as decimal(18,6)))")).alias("ts"), (F.col("event_type") == "error").alias("hidden"))
-    return ingest.change_bursts(rows)
+    return ingest.change_bursts(t.changes)
 
 
 @query("""SELECT page_id, seq, key, html FROM (SELECT d.*, row_number() OVER (PARTITION BY d.page_id, d.key ORDER BY seq) AS r, coalesce(k, 0) AS k
@@ -155,9 +154,13 @@ def content_hash_frames(t):
     return _framed(t).select("capture_id", ingest.content_hash(F.col("html"), F.col("frames")).alias("content_hash"))
 
 
-@query()
+@query("SELECT page_id, ['ok', 'placeholder', 'empty'][page_id % 3 + 1] AS status FROM pages")
 def frame_status(t):
-    return t.pages_raw.select("page_id", ingest.frame_status(F.col("html")).alias("status"))
+    """Pages as they are, with a hidden body, and with a body of which only a script and a link are left."""
+    hidden = F.regexp_replace("html", F.lit("(?i)<body"), F.lit("<body style='display: none'"))
+    bare = F.concat(F.lit("<body><script>"), F.regexp_replace("html", "(?i)</?(script|body)", ""), F.lit("</script><link rel='x'> \n</body>"))
+    html = F.when(F.col("page_id") % 3 == 1, hidden).when(F.col("page_id") % 3 == 2, bare).otherwise(F.col("html"))
+    return t.pages_raw.select("page_id", ingest.frame_status(html).alias("status"))
 
 
 @query("SELECT id FROM snapshots WHERE id % 7 != 0")
@@ -177,7 +180,7 @@ def touch_pages(t):
     return ingest.touch_pages(t.snapshots, visits).select("id", "last_visited", "body_text")
 
 
-@query("SELECT id, title AS body_text, title IS NOT NULL AS found FROM (SELECT id, CASE WHEN id % 10 = 0 THEN nullif(title, '') END AS title FROM snapshots WHERE body_text IS NULL)")
+@query()
 def backfill_body_text(t):
     return ingest.backfill_body_text(t.snapshots, t.snapshots.select("html_path", "html"), text.body_text)
 

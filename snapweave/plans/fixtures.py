@@ -20,6 +20,11 @@ RICH = (
 )
 
 
+def path_id(column):
+    """48 bits of a link's md5, as a number that SQL can make too."""
+    return F.conv(F.substring(F.md5(column), 1, 12), 16, 10).cast("long")
+
+
 class Tables:
     """The driver's tables and what is derived from them, each made when first asked for."""
 
@@ -86,14 +91,14 @@ class Tables:
         kind = F.expr("element_at(array('image','css','js','font','other'), cast(first_page % 5 as int) + 1)")
         day = F.lit("2024-01-01").cast("timestamp_ntz")
         return rows.select(
-            (F.expr("crc32(path) * 2 + v")).alias("id"), F.concat(F.lit("https://static.example.com"), F.col("path")).alias("url"), F.sha2(F.concat(F.col("path"), F.expr("CAST(v * (last_page % 2) AS STRING)")), 256).alias("content_hash"),
+            (path_id("path") * 2 + F.col("v")).alias("id"), F.concat(F.lit("https://static.example.com"), F.col("path")).alias("url"), F.sha2(F.concat(F.col("path"), F.expr("CAST(v * (last_page % 2) AS STRING)")), 256).alias("content_hash"),
             F.concat(F.lit("resources/"), F.col("path")).alias("file_path"), kind.alias("resource_type"), (F.length("path") * 1000).cast("long").alias("file_size"), day.alias("first_seen"),
             (day + F.expr("make_dt_interval(0, 0, cast((last_page + v) % 1440 as int))")).alias("last_seen"), (F.col("first_page") % 17 == 0).alias("is_quarantined"), F.lit("").alias("quarantine_reason"),
         )
 
     @cached_property
     def page_resources(self) -> DataFrame:
-        return self.hrefs.select("page_id", F.explode(F.array(F.expr("crc32(path) * 2"), F.expr("crc32(path) * 2 + 1"))).alias("resource_id")).distinct()
+        return self.hrefs.select("page_id", F.explode(F.array(path_id("path") * 2, path_id("path") * 2 + 1)).alias("resource_id")).distinct()
 
     @cached_property
     def fetch_log(self) -> DataFrame:
@@ -112,6 +117,12 @@ class Tables:
         """Events of 400 pages; the type of event says what happened."""
         return self.events.select("event_id", F.expr("user_id % 400").alias("page_id"), "ts", F.expr("CASE event_type WHEN 'view' THEN 'created' WHEN 'click' THEN 'finalized' WHEN 'signup' THEN 'updated' WHEN 'purchase' THEN 'retried' ELSE 'failed' END").alias("event"))
 
+    @cached_property
+    def changes(self) -> DataFrame:
+        """Events as changes of 20 pages within 400 seconds; errors are hidden ones."""
+        at = F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, cast(event_id % 400 as decimal(18,6)))")
+        return self.events.select(F.expr("user_id % 20").alias("page_id"), at.alias("ts"), (F.col("event_type") == "error").alias("hidden"))
+
     @cached_property
     def deletion_queue(self) -> DataFrame:
         """Every snapshot that a later one of its url has replaced."""
@@ -134,6 +145,15 @@ class Tables:
         return self.pages_raw.select("page_id", "url", F.regexp_replace("html", F.lit(HREF), F.lit(RICH.replace("{0}", "$1"))).alias("html"))
 
 
+#: The walk over ticks of 5 seconds, one after the other; emits are the rows at which the sum is let go.
+BURSTS = """WITH RECURSIVE c AS (SELECT user_id % 20 AS page_id, TIMESTAMP '2024-01-01' + to_seconds(event_id % 400) AS ts, event_type = 'error' AS hidden FROM events),
+f AS (SELECT page_id, min(ts) AS first FROM c GROUP BY page_id),
+k AS (SELECT page_id, time_bucket(INTERVAL 5 SECOND, ts) AS tick, count(*) AS n FROM c WHERE NOT hidden GROUP BY ALL),
+o AS (SELECT page_id, tick, n, row_number() OVER (PARTITION BY page_id ORDER BY tick) AS i FROM k JOIN f USING (page_id) WHERE tick < first + INTERVAL 5 MINUTE),
+w(page_id, i, tick, s) AS (SELECT page_id, i, tick, n FROM o WHERE i = 1 UNION ALL SELECT o.page_id, o.i, o.tick, CASE WHEN w.s >= 10 THEN o.n ELSE w.s + o.n END FROM w JOIN o ON o.page_id = w.page_id AND o.i = w.i + 1)
+SELECT page_id, epoch_us(tick) AS tick, CAST(s AS BIGINT) AS changes FROM w WHERE s >= 10"""
+
+
 def _lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -148,7 +168,7 @@ SQL: dict[str, str] = {
     "hashed": "SELECT *, sha256(html) AS content_hash FROM captures",
     "snapshots": rf"""SELECT id, url, title, 'html/' || id || '.html' AS html_path, content_hash, captured_at, captured_at AS first_visited, last_visited, visits, {DOMAIN_SQL.format("url")} AS domain,
         CASE id % 10 WHEN 7 THEN 'pending' WHEN 9 THEN 'failed' ELSE 'ready' END AS snapshot_state,
-        CASE WHEN id % 5 != 0 THEN trim(regexp_replace(regexp_replace(substr(html, 1, 4000), '{TAGS}', ' ', 'g'), '\s+', ' ', 'g')) END AS body_text, html
+        CASE WHEN id % 5 != 0 THEN trim(regexp_replace(regexp_replace(html, '{TAGS}', ' ', 'g'), '\s+', ' ', 'g')) END AS body_text, html
         FROM (SELECT url, content_hash, min(capture_id) AS id, min(title) AS title, min(captured_at) AS captured_at, max(captured_at) AS last_visited, count(*) AS visits, min(html) AS html FROM hashed GROUP BY url, content_hash)""",
     "favorites": "SELECT id AS page_id, last_visited AS created_at FROM snapshots WHERE id % 3 = 0",
     "shares": """SELECT id, id AS page_id, sha256('t' || id) AS token_hash, url, title, html_path, content_hash, captured_at, id % 16 != 0 AS allow_markdown, last_visited AS created_at,

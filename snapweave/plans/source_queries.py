@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.registry import register_functions
+from ..functions.shared import shared_folder
 from ..sources import store
 from ..streaming import jobs
-from .fixtures import DOMAIN_SQL
+from .fixtures import BURSTS, DOMAIN_SQL
 from .registry import ntz, query
 
 
-def shared_root(spark) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return root.rstrip("/") if root else tempfile.mkdtemp(prefix="snapweave-")
-
-
-@query("SELECT capture_id, url, title, sha256(html) AS content_hash FROM captures WHERE capture_id % 10 = 0 AND capture_id % 3 != 0")
+@query("SELECT capture_id, url, title, sha256(html) AS content_hash FROM captures WHERE capture_id % 3 != 0")
 def read_captures(t):
     rows = t.captures.select(F.to_json(F.struct(F.when(F.col("capture_id") % 3 != 0, F.col("url")).alias("url"), F.concat(F.col("capture_id").cast("string"), F.lit("|"), "title").alias("title"), "html")).alias("value"))
     good, _ = store.captures_from_json(rows)
@@ -39,6 +34,53 @@ def resource_path(t):
     return t.snapshots.select("id", store.resource_path(F.col("content_hash"), kind).alias("path"))
 
 
+@query("SELECT id, strlen(html) AS bytes, CAST(captured_at AS DATE) AS capture_date FROM snapshots WHERE CAST(captured_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+def html_snapshots(t):
+    """The html store written, and a range of its days read."""
+    path = _root(t)
+    store.write_html_snapshots(t.snapshots.select("id", "url", "captured_at", "html"), path)
+    return store.read_html_snapshots(t.spark, path, "2024-01-05", "2024-01-20").select("id", F.octet_length("html").alias("bytes"), "capture_date")
+
+
+@query("SELECT sha256(html) AS content_hash, any_value(strlen(html)) AS bytes FROM pages GROUP BY 1")
+def stored_resources(t):
+    """Contents written twice, the second time with some that are stored: each is held once."""
+    path = _root(t)
+    rows = t.pages_raw.select(F.sha2("html", 256).alias("content_hash"), F.octet_length("html").alias("bytes"))
+    empty = t.spark.createDataFrame([], "content_hash string")
+    store.write_resources(rows.unionByName(rows).where(F.col("content_hash") < "8"), empty, path)
+    store.write_resources(rows, t.spark.read.parquet(path), path)
+    return t.spark.read.parquet(path)
+
+
+@query("SELECT page_id FROM favorites WHERE page_id % 7 != 0")
+def catalog_favorites(t):
+    """Catalog tables written and read; favourites of pages that aren't there are left out."""
+    path = _root(t)
+    store.write_catalog({"pages": t.snapshots.where("id % 7 != 0"), "favorites": t.favorites}, path)
+    return store.read_catalog(t.spark, path, "favorites").select("page_id")
+
+
+def _log_files(t):
+    """Log lines as files of a day each, named as a server names them."""
+    path = _root(t)
+    lines = t.log_lines.withColumn("day", F.substring("file", 9, 10))
+    lines.select("line", "day").repartition("day").sortWithinPartitions("day").write.partitionBy("day").text(path)
+    return path
+
+
+@query("SELECT day, count(*) AS lines, sum(strlen(line)) AS bytes, count(*) FILTER (contains(line, 'failed')) AS failed FROM (SELECT substr(file, 9, 10) AS day, line FROM log_lines) GROUP BY day")
+def read_logs(t):
+    logs = store.read_logs(t.spark, _log_files(t)).withColumn("day", F.regexp_extract(F.col("_metadata.file_path"), r"day=([\d-]+)", 1))
+    return logs.groupBy("day").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line")).alias("bytes"), F.count_if(F.contains("line", F.lit("failed"))).alias("failed"))
+
+
+@query("SELECT file, count(*) AS lines, sum(strlen(line) + 1) AS size, CAST(substr(file, 9, 10) AS DATE) AS day FROM log_lines GROUP BY file")
+def list_logs(t):
+    rows = t.log_lines.withColumn("size", F.sum(F.octet_length("line") + 1).over(Window.partitionBy("file"))).withColumn("day", F.substring("file", 9, 10).cast("date"))
+    return store.list_logs(rows)
+
+
 @query("SELECT id, url, domain, snapshot_state, body_text FROM snapshots")
 def catalog_pages(t):
     return store.conform(t.snapshots, "pages").select("id", "url", "domain", "snapshot_state", "body_text")
@@ -46,7 +88,7 @@ def catalog_pages(t):
 
 @query("SELECT html_path, page_id FROM deletion_queue")
 def deletion_queue(t):
-    root = f"{shared_root(t.spark)}/queue"
+    root = f"{shared_folder(t.spark)}/queue"
     path = f"{root}-{uuid.uuid4().hex}"
     store.append_deletion_queue(t.deletion_queue, path)
     return store.read_deletion_queue(t.spark, path).select("html_path", "page_id")
@@ -60,7 +102,7 @@ def sql_functions(t):
 
 def _arriving(t, rows):
     """Rows as files that arrive in a folder."""
-    path = f"{shared_root(t.spark)}/arrivals-{uuid.uuid4().hex}"
+    path = f"{shared_folder(t.spark)}/arrivals-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return t.spark.readStream.schema(rows.schema).parquet(path)
 
@@ -70,13 +112,13 @@ def _events_stream(t):
 
 
 def _root(t):
-    return f"{shared_root(t.spark)}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("""SELECT url, content_hash, epoch_us(min(ts)) AS first_visited, epoch_us(max(ts)) AS last_visited, count(*) AS visits FROM (SELECT 'u' || (user_id % 50) AS url, event_type AS content_hash, ts FROM events) GROUP BY ALL""")
 def stream_dedup_captures(t):
     rows = _events_stream(t).select(F.concat(F.lit("u"), F.expr("CAST(user_id % 50 AS STRING)")).alias("url"), F.col("event_type").alias("content_hash"), F.col("ts").alias("captured_at"))
-    return jobs.stream_dedup_captures(rows, f"{shared_root(t.spark)}/dedup-{uuid.uuid4().hex}")
+    return jobs.stream_dedup_captures(rows, f"{shared_folder(t.spark)}/dedup-{uuid.uuid4().hex}")
 
 
 @query("""SELECT count(*) AS requests, count(fetch_id) AS fresh FROM (SELECT request_id, max(fetch_id) AS fetch_id FROM (SELECT r.event_id AS request_id, f.event_id AS fetch_id FROM events r LEFT JOIN events f
@@ -89,7 +131,11 @@ def freshness_join(t):
     return jobs.newest_fresh(r.join(f, near, "left").select("request_id", "url", "requested_at", "fetch_id", "fetched_at")).agg(F.count("*").alias("requests"), F.count("fetch_id").alias("fresh"))
 
 
-@query()
+FOLD = """SELECT page_id, max(event_id) AS seq, CASE WHEN arg_max(event, event_id) FILTER (event != 'failed') IN ('finalized', 'updated') THEN 'ready'
+    WHEN max(event_id) FILTER (event = 'failed') > coalesce(max(event_id) FILTER (event != 'failed'), -1) THEN 'failed' ELSE 'pending' END AS snapshot_state FROM lifecycle GROUP BY page_id"""
+
+
+@query(FOLD)
 def lifecycle_fold(t):
     return jobs.fold_lifecycle(t.lifecycle.select("page_id", F.col("event_id").alias("seq"), "event"))
 
@@ -101,7 +147,7 @@ def stream_recent_capture(t):
     return jobs.run_available(jobs.stream_recent_capture(_arriving(t, rows), "100 days"), _root(t)).groupBy("url").agg(F.count("*").cast("int").alias("captures"))
 
 
-@query()
+@query(FOLD)
 def stream_lifecycle(t):
     """The last state of each page after the stream."""
     stream = jobs.stream_lifecycle(_arriving(t, t.lifecycle.select("page_id", F.col("event_id").alias("seq"), "event")))
@@ -110,10 +156,12 @@ def stream_lifecycle(t):
     return t.spark.read.parquet(f"{path}/out").groupBy("page_id").agg(F.max_by("snapshot_state", "seq").alias("snapshot_state"), F.max("seq").alias("seq"))
 
 
-@query()
+@query(BURSTS)
 def stream_change_bursts(t):
-    rows = t.events.select(F.expr("user_id % 20").alias("page_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, cast(event_id % 400 as decimal(18,6)))")).cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("hidden"))
-    return jobs.stream_change_bursts(_arriving(t, rows), _root(t))
+    """A last, hidden change an hour later lets the watermark pass all ticks."""
+    late = t.spark.range(1).select(F.lit(-1).cast("long").alias("page_id"), F.lit("2024-01-01 01:00:00").cast("timestamp_ntz").alias("ts"), F.lit(True).alias("hidden"))
+    rows = t.changes.unionByName(late).withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.stream_change_bursts(_arriving(t, rows), _root(t)).withColumn("tick", F.col("tick").cast("timestamp_ntz"))
 
 
 @query("SELECT file, line FROM log_lines WHERE contains(line, 'failed')")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,37 +13,52 @@ from ..operators import ingest, logs, resources
 
 
 def run_available(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what its source has now, into a new folder under root, and read that."""
-    path = f"{root}/{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    """Run a stream over what its source has now, and read all that it has written under root.
+
+    Its progress is kept there too: run again with the same root, it goes on where it (or a run that broke off) stopped.
+    """
+    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 def run_batches(stream: DataFrame, root: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{root}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    """As run_available, with each micro-batch handed to `each`, which must give the same when a batch comes again."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def merge_snapshots(held: DataFrame | None, captures: DataFrame) -> DataFrame:
-    """url, content_hash, first and last capture and visits after more captures; late ones only widen the span."""
-    new = captures.groupBy("url", "content_hash").agg(F.min("captured_at").alias("first_visited"), F.max("captured_at").alias("last_visited"), F.count("*").alias("visits"))
+def merge_snapshots(held: DataFrame | None, captures: DataFrame | None) -> DataFrame:
+    """url, content_hash, first and last capture and visits after more captures; late ones only widen the span. Of `held` alone, its rows added up."""
+    new = captures and captures.groupBy("url", "content_hash").agg(F.min("captured_at").alias("first_visited"), F.max("captured_at").alias("last_visited"), F.count("*").alias("visits"))
     if held is None:
         return new
-    return held.unionByName(new).groupBy("url", "content_hash").agg(F.min("first_visited").alias("first_visited"), F.max("last_visited").alias("last_visited"), F.sum("visits").alias("visits"))
+    rows = held if new is None else held.unionByName(new)
+    return rows.groupBy("url", "content_hash").agg(F.min("first_visited").alias("first_visited"), F.max("last_visited").alias("last_visited"), F.sum("visits").alias("visits"))
 
 
 def stream_dedup_captures(captures: DataFrame, path: str) -> DataFrame:
-    """Snapshots of a stream of captures (url, content_hash, captured_at). Each batch writes the next version of the table from the one before, so a batch that is run again gives the same."""
-    spark, last = captures.sparkSession, []
+    """Snapshots of a stream of captures (url, content_hash, captured_at).
+
+    Each batch writes what it adds to each snapshot, in a folder of its own number, so that a batch that is run again replaces its own rows; readers add these
+    up. compact_snapshots puts the parts of a stopped stream together. A source without rows gives an empty table.
+    """
+    spark, schema = captures.sparkSession, merge_snapshots(None, captures).schema
 
     def each(batch: DataFrame, number: int) -> None:
-        held = spark.read.parquet(f"{path}/version={number - 1}") if number else None
-        merge_snapshots(held, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
-        last.append(number)
+        merge_snapshots(None, batch).write.mode("overwrite").parquet(f"{path}/parts/batch={number}")
 
     run_batches(captures, path, each)
-    return spark.read.parquet(f"{path}/version={max(last)}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/parts")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return merge_snapshots(spark.read.schema(schema).parquet(f"{path}/parts"), None)
+
+
+def compact_snapshots(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """The parts of stream_dedup_captures as one table at `to`, which a reader may use in their place."""
+    merge_snapshots(spark.read.parquet(f"{path}/parts").drop("batch"), None).write.mode("errorifexists").parquet(to)
+    return spark.read.parquet(to)
 
 
 def first_of_content(captures: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -87,11 +101,16 @@ def fold_lifecycle(events: DataFrame) -> DataFrame:
 
 
 def stream_change_bursts(changes: DataFrame, root: str, least: int = 10, delay: str = "10 seconds") -> DataFrame:
-    """Emits of change_bursts over a stream of changes (page_id, ts, hidden): ticks close by watermark, then the walk runs on closed ticks."""
-    ticks = changes.where("not hidden").withWatermark("ts", delay).groupBy("page_id", F.window("ts", "5 seconds").alias("w")).agg(F.count("*").alias("changes"))
-    closed = run_available(ticks.select("page_id", F.col("w.start").alias("tick"), "changes"), root)
-    rows = closed.select("page_id", F.explode(F.sequence(F.lit(1), F.col("changes").cast("int"))).alias("_k"), F.col("tick").alias("ts"), F.lit(False).alias("hidden"))
-    return ingest.change_bursts(rows, least)
+    """Emits of change_bursts over a stream of changes (page_id, ts, hidden).
+
+    Ticks are summed on the stream and written once the watermark has passed them; those still open wait in its state for a later run with the same root. The walk
+    runs over the written ticks, of which a page has few.
+    """
+    tick = F.window("ts", "5 seconds").alias("w")
+    ticks = changes.withWatermark("ts", delay).groupBy("page_id", tick).agg(F.count_if(~F.col("hidden")).alias("changes"), F.min("ts").alias("first"))
+    closed = run_available(ticks.select("page_id", F.col("w.start").alias("tick"), "changes", "first"), root)
+    first = closed.groupBy("page_id").agg(F.min("first").alias("first"))
+    return ingest.bursts_of_ticks(closed.drop("first").join(first, "page_id"), least)
 
 
 def stream_log_follow(spark: SparkSession, path: str, keyword: str | None = None, files: int = 50) -> DataFrame:
