@@ -142,11 +142,13 @@ def found_references(pages: DataFrame) -> DataFrame:
 def extract_resources(pages: DataFrame) -> DataFrame:
     """page_id, resource_url and type: every fetchable reference resolved against its page; the last type of a url wins.
 
-    References that are absolute and without dot segments skip the UDF.
+    References that are absolute and without dot segments aren't resolved.
     """
     rows = found_references(pages)
     plain = F.col("raw").rlike(r"^https?://[^/?#]+/") & ~F.col("raw").contains("/.")
-    rows = rows.where(plain).withColumn("target", F.col("raw")).unionByName(rows.where(~plain).withColumn("target", resolve_url("url", "raw")))
+    # the pages are scanned once; the UDF gets a null for what needs no resolving, and returns one at once
+    target = F.coalesce(F.when(plain, F.col("raw")), resolve_url(F.col("url"), F.when(~plain, F.col("raw"))))
+    rows = rows.withColumn("target", target)
     return rows.where(is_fetchable(F.col("target"))).groupBy("page_id", F.col("target").alias("resource_url")).agg(F.max_by("type", "ord").alias("type"))
 
 

@@ -136,11 +136,14 @@ def timeline_changes(pages: DataFrame) -> DataFrame:
 
 
 def snapshot_neighbors(pages: DataFrame) -> DataFrame:
-    """Nearest strictly earlier and later snapshot of the url (of equal times the highest id), and how many it has."""
-    rows = pages.withColumn("_us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', first_visited)"))
-    order = Window.partitionBy("url").orderBy("_us")
-    before, behind = order.rangeBetween(Window.unboundedPreceding, -1), order.rangeBetween(1, Window.unboundedFollowing)
-    return rows.select("id", "url", F.max_by("id", F.struct("_us", "id")).over(before).alias("prev_id"), F.min_by("id", F.struct(F.col("_us"), -F.col("id"))).over(behind).alias("next_id"), F.count("*").over(Window.partitionBy("url")).alias("total"))
+    """Nearest strictly earlier and later snapshot of the url (of equal times the highest id), and how many it has.
+
+    Times are numbered within a url, so that one row of each is looked at from its neighbours; both frames grow row by row.
+    """
+    each = pages.groupBy("url", "first_visited").agg(F.max("id").alias("_top"), F.count("*").alias("_n"))
+    order = Window.partitionBy("url").orderBy("first_visited")
+    each = each.select(F.col("url").alias("_url"), F.col("first_visited").alias("_at"), F.lag("_top").over(order).alias("prev_id"), F.lead("_top").over(order).alias("next_id"), F.sum("_n").over(Window.partitionBy("url")).alias("total"))
+    return pages.join(each, F.col("url").eqNullSafe(F.col("_url")) & F.col("first_visited").eqNullSafe(F.col("_at"))).select("id", "url", "prev_id", "next_id", "total")
 
 
 def favorites_list(pages: DataFrame, favorites: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.shared import shared_folder
 from .extract import SRCSET, join_srcset, join_url, parse_srcset
 
 _ATTR = re.compile(r"""(?i)(\s(?:src|href|poster|data|action)\s*=\s*)(["'])([^"']*)\2""")
@@ -19,6 +20,9 @@ _SETS = re.compile(r"""(?i)(\s(?:srcset|imagesrcset)\s*=\s*)(["'])([^"']*)\2""")
 _CSS = re.compile(r"""(?i)url\(\s*(&quot;|["']?)([^"')]+?)\1\s*\)""")
 _IMPORT = re.compile(r"""(?i)(@import\s+)(["'])([^"']+)\2""")
 _CANDIDATE = re.compile(SRCSET)
+_ORIGIN = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+")
+_DOUBLE = re.compile(r"""(?i)(\s(?:src|href|poster)\s*=\s*["'])//(?=[^/"'])""")
+_ROOTED = re.compile(r"""(?i)(\s(?:src|href|poster)\s*=\s*["'])/(?!/|archive/)""")
 _KEEP = re.compile(r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:|//|#|$)")
 
 
@@ -79,16 +83,17 @@ def _mapped(html: pd.Series, base: pd.Series, urls: pd.Series, paths: pd.Series,
     return pd.Series([None if h is None else mapped(h, b, dict(zip(u if u is not None else (), p if p is not None else (), strict=True)), x or "") for h, b, u, p, x in rows], dtype=object)
 
 
-def rewrite_html(pages: DataFrame, links: DataFrame, with_page: bool = True) -> DataFrame:
-    """pages (page_id, url, html, timestamp) rewritten by links (page_id, resource_url, path); one path per url, the smallest.
-
-    A page's links are gathered next to its html: as many as the page has references.
-    """
+def _rewritten(pages: DataFrame, links: DataFrame, change, prefix: Column) -> DataFrame:
+    """pages with html changed by their links, one path for a url, the smallest. A page's links are gathered next to its html: as many as the page has references."""
     one = links.groupBy("page_id", "resource_url").agg(F.min("path").alias("path"))
     held = one.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("resource_url", "path"))).alias("links"))
-    prefix = archive_prefix(F.col("page_id"), F.col("timestamp")) if with_page else F.lit("")
     rows = pages.join(held, "page_id", "left")
-    return rows.withColumn("html", _mapped("html", "url", F.transform("links", lambda x: x["resource_url"]), F.transform("links", lambda x: x["path"]), prefix)).select(pages.columns)
+    return rows.withColumn("html", change("html", "url", F.transform("links", lambda x: x["resource_url"]), F.transform("links", lambda x: x["path"]), prefix)).select(pages.columns)
+
+
+def rewrite_html(pages: DataFrame, links: DataFrame, with_page: bool = True) -> DataFrame:
+    """pages (page_id, url, html, timestamp) rewritten by links (page_id, resource_url, path); one path per url, the smallest."""
+    return _rewritten(pages, links, _mapped, archive_prefix(F.col("page_id"), F.col("timestamp")) if with_page else F.lit(""))
 
 
 def rewrite_unmapped(html: Column, page_id: Column, timestamp: Column, url: Column) -> Column:
@@ -167,22 +172,24 @@ def mark_frames(captures: DataFrame, frames: DataFrame) -> DataFrame:
     return captures.select("capture_id", "html").join(held, "capture_id", "left").mapInPandas(run, "capture_id long, html string")
 
 
-def resolve_frame_tree(frames: DataFrame, prefix: Column, depth: int = 8) -> DataFrame:
+def resolve_frame_tree(frames: DataFrame, prefix: Column) -> DataFrame:
     """frames (capture_id, key, url, html) whose nested frame tags point at the archived child; a tag that would close a cycle keeps its source.
 
-    Edges are keys found in html; paths grow by a join, at most `depth` times, and end where a key comes again.
+    Edges are keys found in html. What a key reaches is doubled in length by a join until no new pair is found (written tables between
+    the rounds), so cycles of any length are seen after as many rounds as the logarithm of the longest path.
     """
     keys = F.regexp_extract_all("html", F.lit(r"""data-snapweave-frame-key\s*=\s*["']([^"']*)["']"""), 1)
     edges = frames.select("capture_id", F.col("key").alias("parent"), F.explode(F.array_distinct(keys)).alias("child"))
     edges = edges.join(frames.select("capture_id", F.col("key").alias("child"), F.col("url").alias("child_url")), ["capture_id", "child"])
-    reach = edges.select("capture_id", F.col("child").alias("start"), F.col("child").alias("at"), F.array("child").alias("seen"))
-    found = edges.where("parent = child").select("capture_id", "parent", "child")
-    for _ in range(depth):
-        step = edges.select("capture_id", F.col("parent").alias("at"), F.col("child").alias("next"))
-        reach = reach.join(step, ["capture_id", "at"]).where(~F.array_contains("seen", F.col("next")))
-        reach = reach.select("capture_id", "start", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"))
-        back = reach.select("capture_id", F.col("start").alias("child"), F.col("at").alias("parent"))
-        found = found.unionByName(back.join(edges.select("capture_id", "parent", "child"), ["capture_id", "parent", "child"], "left_semi").select("capture_id", "parent", "child"))
+    shared_folder(frames.sparkSession)  # where checkpoints go
+    reach, known = edges.select("capture_id", F.col("parent").alias("start"), F.col("child").alias("at")).distinct().checkpoint(), -1
+    while (n := reach.count()) != known:
+        known = n
+        step = reach.select("capture_id", F.col("start").alias("at"), F.col("at").alias("next"))
+        more = reach.join(step, ["capture_id", "at"]).select("capture_id", "start", F.col("next").alias("at"))
+        reach = reach.unionByName(more).distinct().checkpoint()
+    back = reach.select("capture_id", F.col("start").alias("child"), F.col("at").alias("parent"))
+    found = edges.select("capture_id", "parent", "child").join(back, ["capture_id", "parent", "child"], "left_semi")
     good = edges.join(found.distinct(), ["capture_id", "parent", "child"], "left_anti")
     held = good.groupBy("capture_id", F.col("parent").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("child", F.concat(prefix, F.col("child_url"))))).alias("to"))
 
@@ -199,8 +206,22 @@ def resolve_frame_tree(frames: DataFrame, prefix: Column, depth: int = 8) -> Dat
     return rows.withColumn("html", write("html", F.map_keys("to"), F.map_values("to"))).select(frames.columns)
 
 
+def unmapped(html: str, base: str, prefix: str) -> str:
+    """rewrite_unmapped for one page."""
+    origin = _ORIGIN.match(base or "")
+    html = _DOUBLE.sub(lambda m: f"{m[1]}{prefix}https://", html)
+    return _ROOTED.sub(lambda m: f"{m[1]}{prefix}{origin[0] if origin else ''}/", html)
+
+
+@F.pandas_udf(StringType())
+def _whole(html: pd.Series, base: pd.Series, urls: pd.Series, paths: pd.Series, prefix: pd.Series) -> pd.Series:
+    out = []
+    for h, b, u, p, x in zip(html, base, urls, paths, prefix, strict=True):
+        held = dict(zip(u if u is not None else (), p if p is not None else (), strict=True))
+        out.append(None if h is None or b is None or x is None else unmapped(mapped(absolute(h, b), b, held, x), b, x))
+    return pd.Series(out, dtype=object)
+
+
 def rewrite_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """The whole job for pages (page_id, url, html, timestamp) and links (page_id, resource_url, path)."""
-    made = pages.withColumn("html", resolve_relative_refs("html", "url"))
-    out = rewrite_html(made, links)
-    return out.withColumn("html", rewrite_unmapped(F.col("html"), F.col("page_id"), F.col("timestamp"), F.col("url")))
+    """The whole job for pages (page_id, url, html, timestamp) and links (page_id, resource_url, path): resolved, mapped and the rest rewritten in one pass over a page."""
+    return _rewritten(pages, links, _whole, archive_prefix(F.col("page_id"), F.col("timestamp")))

@@ -11,9 +11,9 @@ from .ingest import extract_domain
 
 # A small part of the public suffix list; pass another table for the whole of it.
 SUFFIXES = "com net org edu gov int mil io dev app info biz co uk co.uk org.uk ac.uk gov.uk jp co.jp ne.jp cn com.cn net.cn org.cn au com.au de fr es it nl br com.br in co.in tw com.tw hk com.hk *.ck !www.ck github.io".split()
-# Networks that a fetch must not reach, first and last address, and the address of cloud metadata.
+# Networks that a fetch must not reach, first and last address, and the addresses of cloud metadata.
 BLOCKED = [("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.168.0.0", "192.168.255.255"), ("224.0.0.0", "255.255.255.255")]
-METADATA = "169.254.169.254"
+METADATA = ["169.254.169.254", "fd00:ec2::254"]
 
 
 def suffix_rules(spark: SparkSession, rules: list[str] = SUFFIXES) -> DataFrame:
@@ -28,7 +28,7 @@ def root_domain(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     each = rows.select("host", F.explode(F.sequence(F.lit(1), n)).alias("k")).withColumn("tail", F.array_join(F.slice(F.split("host", r"\."), F.col("k"), F.lit(1000)), "."))
     size = F.array_size(F.split("tail", r"\."))
     names = each.select("host", "tail", size.alias("labels"), F.explode(F.array(F.col("tail"), F.concat(F.lit("!"), F.col("tail")), F.concat(F.lit("*."), F.regexp_replace("tail", r"^[^.]*\.?", "")))).alias("rule"))
-    hit = names.join(F.broadcast(rules), "rule")  # a suffix list has some ten thousand rules
+    hit = names.join(F.broadcast(rules) if rules.count() <= 100_000 else rules, "rule")  # the whole public list has some ten thousand
     taken = F.when(F.col("rule").startswith("!"), F.struct(F.lit(1).alias("e"), (F.col("labels") - 1).alias("n"))).otherwise(F.struct(F.lit(0).alias("e"), F.col("labels").alias("n")))
     best = hit.groupBy("host").agg(F.max(taken).alias("b")).select("host", F.col("b.n").alias("suffix"))
     out = rows.join(best, "host", "left")
@@ -73,6 +73,16 @@ def _number(ip: Column) -> Column:
     return sum((F.get(F.split(ip, r"\."), F.lit(k)).try_cast("bigint") * (1 << (24 - 8 * k)) for k in range(4)), F.lit(0).cast("bigint"))
 
 
+def plain_address(ip: Column) -> Column:
+    """An address in lower case without zone; an IPv4 address that is written as an IPv6 one (::ffff:a.b.c.d or ::ffff:hhhh:hhhh) as the former."""
+    low = F.regexp_replace(F.lower(ip), "%.*$", "")
+    dotted = F.regexp_extract(low, r"^(?:::|0:0:0:0:0:)ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    part = lambda k: F.conv(F.regexp_extract(low, r"^(?:::|0:0:0:0:0:)ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", k), 16, 10).try_cast("int")
+    high, rest = part(1), part(2)
+    hexed = F.concat_ws(".", *[F.shiftright(x, n).bitwiseAND(F.lit(255)).cast("string") for x in (high, rest) for n in (8, 0)])
+    return F.when(dotted != "", dotted).when(high.isNotNull() & rest.isNotNull(), hexed).otherwise(low)
+
+
 def _blocked(ip: Column) -> Column:
     number = _number(ip)
     whole = lambda text: sum(int(p) << (24 - 8 * k) for k, p in enumerate(text.split(".")))
@@ -87,8 +97,8 @@ def classify_fetch_url(url: Column, ips: Column) -> Column:
     """bad_scheme, no_host, metadata, private or ok; a name is judged by each of the addresses it was resolved to."""
     h = host(url)
     literal = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | h.contains(":")
-    every = F.when(literal, F.array(h)).otherwise(F.coalesce(ips, F.array().cast("array<string>")))
-    return F.when(~F.lower(F.coalesce(url, F.lit(""))).rlike(r"^https?:"), "bad_scheme").when(h == "", "no_host").when(F.array_contains(every, METADATA), "metadata").when((h == "localhost") | F.exists(every, _blocked), "private").otherwise("ok")
+    every = F.transform(F.when(literal, F.array(h)).otherwise(F.coalesce(ips, F.array().cast("array<string>"))), plain_address)
+    return F.when(~F.lower(F.coalesce(url, F.lit(""))).rlike(r"^https?:"), "bad_scheme").when(h == "", "no_host").when(F.arrays_overlap(every, F.array(*map(F.lit, METADATA))), "metadata").when((h == "localhost") | F.exists(every, _blocked), "private").otherwise("ok")
 
 
 def safe_path(path: Column) -> Column:

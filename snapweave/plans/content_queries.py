@@ -2,59 +2,55 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..operators import extract, logs, mime, resources, security
 from .fixtures import DOMAIN_SQL
 from .registry import ntz, query
 
-#: Resources as the oracle can make them: an id by rank in place of a checksum.
-R = """(SELECT dense_rank() OVER (ORDER BY path) * 2 + v AS id, 'https://static.example.com' || path AS url, sha256(path || (v * (last_page % 2))) AS content_hash, 'resources/' || path AS file_path,
+#: Resources as the oracle can make them.
+R = """(SELECT CAST('0x' || substr(md5(path), 1, 12) AS BIGINT) * 2 + v AS id, 'https://static.example.com' || path AS url, sha256(path || (v * (last_page % 2))) AS content_hash, 'resources/' || path AS file_path,
     ['image','css','js','font','other'][first_page % 5 + 1] AS resource_type, length(path) * 1000 AS file_size, TIMESTAMP '2024-01-01' + to_minutes(CAST((last_page + v) % 1440 AS BIGINT)) AS last_seen, first_page % 17 = 0 AS is_quarantined, path, v
     FROM (SELECT path, min(page_id) AS first_page, max(page_id) AS last_page FROM hrefs GROUP BY path), (VALUES (0), (1)) t(v))"""
 
 
-def ranked(t):
-    """Resources with ids by rank of url, as in the oracle; the rank is over the few distinct links."""
-    from pyspark.sql.window import Window
-
-    r = t.resources.withColumn("_v", F.expr("id % 2"))
-    names = r.select("url").distinct().withColumn("_k", F.row_number().over(Window.orderBy("url")))
-    return r.join(names, "url").withColumn("id", (F.col("_k") * 2 + F.col("_v")).cast("long")).drop("_k", "_v")
-
-
 def linked(t):
-    """Pages and the ranked resources of their links."""
-    r = ranked(t).select(F.col("id").alias("resource_id"), F.expr("substring(url, 27)").alias("path"))
-    return t.hrefs.select("page_id", "path").distinct().join(r, "path").select("page_id", "resource_id")
+    """Pages and the resources of their links."""
+    return t.page_resources
 
 
 L = f"(SELECT DISTINCT h.page_id, r.id AS resource_id FROM hrefs h JOIN {R} r USING (path))"
 
 
-@query(f"SELECT id, url, file_size FROM {R} WHERE id = 10")
+#: The first version of one link's resource.
+ONE = int(hashlib.md5(b"/to").hexdigest()[:12], 16) * 2
+
+
+@query(f"SELECT id, url, file_size FROM {R} WHERE id = {ONE}")
 def resource_by_id(t):
-    return resources.resource_by_id(ranked(t), 10).select("id", "url", "file_size")
+    return resources.resource_by_id(t.resources, ONE).select("id", "url", "file_size")
 
 
 @query(f"SELECT content_hash, arg_max(id, (last_seen, id)) AS id FROM {R} WHERE NOT is_quarantined GROUP BY content_hash")
 def latest_by_hash(t):
-    return resources.latest_by_hash(ranked(t)).select("content_hash", "id")
+    return resources.latest_by_hash(t.resources).select("content_hash", "id")
 
 
 @query(f"SELECT url, arg_max(id, (last_seen, id)) AS id FROM {R} WHERE NOT is_quarantined GROUP BY url")
 def latest_by_url(t):
-    return resources.latest_by_url(ranked(t)).select("url", "id")
+    return resources.latest_by_url(t.resources).select("url", "id")
 
 
 @query(f"SELECT id, url FROM {R} WHERE url LIKE '%/th%' ORDER BY last_seen DESC, id DESC LIMIT 1")
 def latest_by_url_like(t):
-    return resources.latest_by_url_like(ranked(t), "%/th%").select("id", "url")
+    return resources.latest_by_url_like(t.resources, "%/th%").select("id", "url")
 
 
 @query(f"SELECT l.page_id, r.id AS resource_id, r.url FROM {L} l JOIN {R} r ON r.id = l.resource_id")
 def page_resources(t):
-    return resources.page_resources(linked(t), ranked(t)).select("page_id", "resource_id", "url")
+    return resources.page_resources(linked(t), t.resources).select("page_id", "resource_id", "url")
 
 
 @query(f"""SELECT page_id, ref, arg_min(id, (step, -epoch_us(last_seen), -id)) AS resource_id, least(min(step), 5) AS step FROM (
@@ -62,7 +58,7 @@ def page_resources(t):
     FROM (SELECT DISTINCT page_id, 'https://static.example.com' || path || CASE WHEN length(path) % 2 = 0 THEN '?v=1' ELSE '' END AS ref FROM hrefs) p JOIN {L} l USING (page_id) JOIN {R} r ON r.id = l.resource_id) WHERE step IS NOT NULL GROUP BY page_id, ref""")
 def resolve_page_resource(t):
     refs = t.hrefs.select("page_id", F.concat(F.lit("https://static.example.com"), "path", F.when(F.length("path") % 2 == 0, "?v=1").otherwise("")).alias("ref")).distinct()
-    return resources.resolve_page_resource(refs, linked(t), ranked(t))
+    return resources.resolve_page_resource(refs, linked(t), t.resources)
 
 
 @query(f"""SELECT page_id AS share_id, ref, arg_max(id, (last_seen, id)) AS resource_id, 1 AS step FROM (SELECT l.page_id, r.url AS ref, r.id, r.last_seen FROM {L} l JOIN {R} r ON r.id = l.resource_id WHERE l.page_id % 4 = 0 AND l.resource_id % 3 != 0) GROUP BY ALL""")
@@ -71,7 +67,7 @@ def shared_resource_lookup(t):
 
     pins = linked(t).where("page_id % 4 = 0 and resource_id % 3 != 0").withColumnRenamed("page_id", "share_id")
     refs = t.hrefs.select(F.col("page_id").alias("share_id"), F.concat(F.lit("https://static.example.com"), "path").alias("ref")).distinct()
-    return shares.shared_resource_lookup(refs, pins, ranked(t))
+    return shares.shared_resource_lookup(refs, pins, t.resources)
 
 
 @query(f"""SELECT page_id, ref, coalesce(own, anywhere) AS resource_id, own IS NOT NULL AS linked FROM (SELECT DISTINCT page_id, 'https://static.example.com' || path AS ref FROM hrefs)
@@ -79,7 +75,7 @@ def shared_resource_lookup(t):
     LEFT JOIN (SELECT url AS ref, arg_max(id, (last_seen, id)) AS anywhere FROM {R} GROUP BY url) USING (ref)""")
 def resource_by_url_and_page(t):
     refs = t.hrefs.select("page_id", F.concat(F.lit("https://static.example.com"), "path").alias("ref")).distinct()
-    return resources.resource_by_url_and_page(refs, linked(t).where("page_id % 2 = 0"), ranked(t))
+    return resources.resource_by_url_and_page(refs, linked(t).where("page_id % 2 = 0"), t.resources)
 
 
 @query("""SELECT fetch_id, CASE WHEN status = 200 AND r < (fetched_at, fetch_id) THEN 'reuse' WHEN status = 200 AND f < (fetched_at, fetch_id) THEN 'share' WHEN status = 200 THEN 'create' WHEN last IS NULL THEN 'error' WHEN status = 304 THEN 'cached' ELSE 'fallback' END AS action,
@@ -99,25 +95,25 @@ _STATE = "CASE WHEN length(path) % 7 = 0 THEN 'missing' WHEN length(path) % 5 =
 
 
 def _files(t):
-    rows = ranked(t).groupBy("file_path").agg(F.min_by("content_hash", "id").alias("file_hash"))
+    rows = t.resources.groupBy("file_path").agg(F.min_by("content_hash", "id").alias("file_hash"))
     n = F.length("file_path") - len("resources/")
     return rows.where(n % 7 != 0).select("file_path", F.when(n % 5 == 0, F.lit("bad")).otherwise(F.col("file_hash")).alias("file_hash"))
 
 
 @query(f"SELECT file_path, {_STATE} AS state, count(*) AS resources FROM {R} WHERE NOT is_quarantined GROUP BY file_path, path")
 def integrity_scan(t):
-    return resources.integrity_scan(ranked(t), _files(t))
+    return resources.integrity_scan(t.resources, _files(t))
 
 
 @query(f"""SELECT count(*) AS scanned_resources, count(DISTINCT file_path) AS scanned_files, count(DISTINCT file_path) FILTER (s = 'mismatch') AS corrupted, count(DISTINCT file_path) FILTER (s = 'missing') AS missing, count(*) FILTER (s != 'ok') AS quarantined
     FROM (SELECT *, {_STATE} AS s FROM {R} WHERE NOT is_quarantined)""")
 def integrity_totals(t):
-    return resources.integrity_totals(ranked(t), _files(t))
+    return resources.integrity_totals(t.resources, _files(t))
 
 
 @query(f"SELECT id, is_quarantined OR {_STATE} != 'ok' AS is_quarantined, CASE WHEN NOT is_quarantined AND {_STATE} != 'ok' THEN {_STATE} ELSE '' END AS quarantine_reason, CASE WHEN NOT is_quarantined AND {_STATE} != 'ok' THEN 'quarantine/' ELSE '' END || file_path AS file_path FROM {R}")
 def quarantine(t):
-    return resources.quarantine(ranked(t), resources.integrity_scan(ranked(t), _files(t))).select("id", "is_quarantined", "quarantine_reason", "file_path")
+    return resources.quarantine(t.resources, resources.integrity_scan(t.resources, _files(t))).select("id", "is_quarantined", "quarantine_reason", "file_path")
 
 
 @query("SELECT html_path, page_id FROM deletion_queue WHERE timestamp < TIMESTAMP '2024-01-30' - INTERVAL 1 DAY AND html_path NOT IN (SELECT html_path FROM shares WHERE revoked_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-20'))")
@@ -168,9 +164,9 @@ def extract_media(t):
     return t.rich.select("page_id", F.inline(extract.extract_media(F.col("html")))).withColumnRenamed("url", "target")
 
 
-@query("SELECT page_id, path || x.e AS target FROM hrefs CROSS JOIN (VALUES ('.png'), ('@2x.png')) x(e) WHERE NOT ends_with(path, ',')")
+@query("SELECT page_id, path || x.e AS target FROM hrefs CROSS JOIN (VALUES ('.png'), ('@2x.png')) x(e)")
 def extract_srcset(t):
-    return _urls(t.__class__(t.spark, t.sf_dir), extract.extract_srcset(F.col("html"))).where(~F.col("target").contains(","))
+    return _urls(t, extract.extract_srcset(F.col("html")))
 
 
 @query(r"""SELECT page_id, list_aggregate(list_transform(list_zip(regexp_extract_all(v, '([^\s,]\S*[^\s,]|[^\s,])(?:,+|\s+([^,]*))?', 1), regexp_extract_all(v, '([^\s,]\S*[^\s,]|[^\s,])(?:,+|\s+([^,]*))?', 2)), lambda x: trim(x[1] || ' ' || trim(coalesce(x[2], '')))), 'string_agg', ', ') AS joined
@@ -185,20 +181,20 @@ def extract_inline_css_urls(t):
     return _urls(t, extract.extract_inline_css_urls(F.col("html")))
 
 
-@query("""SELECT page_id, list_aggregate(list_concat(['/base.css'], list_distinct_sorted), 'string_agg', ' ') AS targets FROM (SELECT page_id, list(DISTINCT path || '.png' ORDER BY path || '.png') AS list_distinct_sorted FROM hrefs WHERE NOT contains(path, ')') GROUP BY page_id)""")
+@query("""SELECT page_id, list_aggregate(list_concat(['/base.css'], list_distinct_sorted), 'string_agg', ' ') AS targets FROM (SELECT page_id, list(DISTINCT path || '.png' ORDER BY path || '.png') AS list_distinct_sorted FROM hrefs GROUP BY page_id)""")
 def extract_css_urls(t):
-    css = t.hrefs.where(~F.col("path").contains(")")).groupBy("page_id").agg(F.array_sort(F.collect_list("path")).alias("p"))
+    css = t.hrefs.groupBy("page_id").agg(F.array_sort(F.collect_list("path")).alias("p"))
     text = F.concat(F.lit("@import '/base.css'; "), F.array_join(F.transform("p", lambda p: F.concat(F.lit("a{background:url(\""), p, F.lit('.png")}'))), " "))
     found = extract.extract_css_urls(text)
     return css.select("page_id", F.concat_ws(" ", F.slice(found, 1, 1), F.array_sort(F.slice(found, 2, 100000))).alias("targets"))
 
 
 def _sheets(t):
-    sheets = t.hrefs.where("path rlike '^/[A-Za-z]+$'").select("page_id", F.concat(F.lit("https://static.example.com"), F.col("path"), F.lit("/s.css")).alias("css_url")).distinct()
+    sheets = t.hrefs.select("page_id", F.concat(F.lit("https://static.example.com"), F.col("path"), F.lit("/s.css")).alias("css_url")).distinct()
     return sheets, sheets.select("css_url", F.lit("@import 'base.css'; a{background:url(../i.png)} b{background:url('data:x')}").alias("css")).distinct()
 
 
-@query("""SELECT DISTINCT page_id, 'https://static.example.com' || u AS resource_url, ty AS type FROM (SELECT page_id, path FROM hrefs WHERE regexp_matches(path, '^/[A-Za-z]+$')) h, LATERAL (VALUES (h.path || '/base.css', 'css'), ('/i.png', 'image')) x(u, ty)""")
+@query("""SELECT DISTINCT page_id, 'https://static.example.com' || u AS resource_url, ty AS type FROM hrefs h, LATERAL (VALUES (CASE WHEN regexp_matches(h.path, '[?#]') THEN '' ELSE h.path END || '/base.css', 'css'), ('/i.png', 'image')) x(u, ty)""")
 def css_subresources(t):
     return extract.css_subresources(*_sheets(t))
 
@@ -251,10 +247,11 @@ def root_domain(t):
     return security.root_domain(hosts, security.suffix_rules(t.spark))
 
 
-@query("""SELECT event_id, ['bad_scheme', 'no_host', 'private', 'metadata', 'ok', CASE WHEN event_id % 256 BETWEEN 16 AND 31 THEN 'private' ELSE 'ok' END, 'private', 'ok'][event_id % 8 + 1] AS verdict FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 8 = 4 THEN ['ok', 'private', 'metadata'][event_id // 8 % 3 + 1] ELSE ['bad_scheme', 'no_host', 'private', 'metadata', 'ok', CASE WHEN event_id % 256 BETWEEN 16 AND 31 THEN 'private' ELSE 'ok' END, 'private', 'ok'][event_id % 8 + 1] END AS verdict FROM events""")
 def classify_fetch_url(t):
     url = F.expr("element_at(array('ftp://a.example.com/', 'http:///x', 'http://10.1.2.3/', 'http://169.254.169.254/latest', 'https://a.example.com/', concat('http://172.', event_id % 256, '.3.4/'), 'https://b.example.com/', 'http://8.8.8.8/'), cast(event_id % 8 as int) + 1)")
-    ips = F.when(F.col("event_id") % 8 == 6, F.array(F.lit("8.8.4.4"), F.lit("fd00::1")))
+    mapped = F.expr("element_at(array('::ffff:8.8.8.8', '::ffff:a00:1', '::FFFF:169.254.169.254'), cast(event_id div 8 % 3 as int) + 1)")
+    ips = F.when(F.col("event_id") % 8 == 6, F.array(F.lit("8.8.4.4"), F.lit("fd00::1"))).when(F.col("event_id") % 8 == 4, F.array(mapped))
     return t.events.select("event_id", security.classify_fetch_url(url, ips).alias("verdict"))
 
 
@@ -306,9 +303,12 @@ def font_magic(t):
     return t.events.select("event_id", mime.font_magic(F.concat(first, F.col("props")).cast("binary")).alias("content_type"))
 
 
-@query("SELECT page_id, true AS html FROM pages")
+@query("SELECT page_id, page_id % 4 != 2 AS html FROM pages")
 def looks_like_html(t):
-    return t.pages_raw.select("page_id", mime.looks_like_html(F.col("url"), F.col("html")).alias("html"))
+    """Pages, pages behind white space, texts without any tag, and such under a name of html."""
+    body = F.when(F.col("page_id") % 4 == 1, F.concat(F.lit(" \n\t"), "html")).when(F.col("page_id") % 4 > 1, F.concat(F.lit("plain "), F.regexp_replace("html", "[<>]", " "))).otherwise(F.col("html"))
+    url = F.concat(F.lit("https://a.example.com/p"), F.when(F.col("page_id") % 4 == 3, ".HTML?x=1").otherwise("/x"))
+    return t.pages_raw.select("page_id", mime.looks_like_html(url, body).alias("html"))
 
 
 # ---------------------------------------------------------------- logs
