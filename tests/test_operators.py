@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from snapweave.functions.htmltree import parse
 from snapweave.functions.registry import register_functions
-from snapweave.operators import extract, ingest, logs, mime, pages, resources, rewrite, security, shares, text
+from snapweave.operators import cleaning, extract, ingest, logs, mime, pages, resources, rewrite, security, shares, text
 from snapweave.sources import store
 from snapweave.streaming import jobs
 
@@ -144,6 +145,27 @@ def test_frame_tree_keeps_cycles(spark):
     assert "/archive/1/2mp_/https://b/" in got["a"] and "/archive/1/2mp_/https://c/" in got["a"] and "old-d" in got["b"] and "old-b" in got["d"] and got["c"] == "leaf"
 
 
+def test_backfill_takes_the_text_of_whole_pages(spark):
+    """Pages without text get that of their html, whole, however long; a lost file is told, an empty text stays null, others stay out."""
+    long = "<body>" + "".join(f"<p>word{k}</p>" for k in range(3000)) + "<script>no</script></body>"
+    pages_ = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", None), (4, "d", "has")], "id long, html_path string, body_text string")
+    html = spark.createDataFrame([("a", long), ("b", "<body><style>x</style></body>"), ("d", "<p>other</p>")], "html_path string, html string")
+    got = {r.id: (r.body_text, r.found) for r in ingest.backfill_body_text(pages_, html, text.body_text).collect()}
+    assert got == {1: (" ".join(f"word{k}" for k in range(3000)), True), 2: (None, True), 3: (None, False)}
+
+
+def test_frame_tree_sees_long_cycles(spark):
+    tag = lambda k: f'<iframe data-snapweave-frame-key="{k}" src="old"></iframe>'
+    rows = [(1, f"k{k}", f"https://{k}/", tag(f"k{(k + 1) % 23}") + tag("leaf")) for k in range(23)] + [(1, "leaf", "https://leaf/", "x")]
+    rows += [(2, f"k{k}", f"https://{k}/", tag(f"k{k + 1}")) for k in range(40)]
+    got = rewrite.resolve_frame_tree(spark.createDataFrame(rows, "capture_id long, key string, url string, html string"), F.lit("/a/")).collect()
+    for r in got:
+        if r.capture_id == 1 and r.key != "leaf":
+            assert r.html.count('src="old"') == 1 and "/a/https://leaf/" in r.html
+        if r.capture_id == 2:
+            assert ("/a/https://" in r.html) == (r.key != "k39")
+
+
 def test_text_and_markdown(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><p>one<p>two<script>no</script><ul><li>a<li>b</ul></body>"
     assert text.visible_text(page) == "menu one two a b"
@@ -158,14 +180,55 @@ def test_text_and_markdown(spark):
 def test_sanitize(spark):
     html = """<head><base href="x"><meta http-equiv="Content-Security-Policy" content="x"></head><script>a</script><noscript>n</noscript><a onclick="x()" href="javascript:void(0)" onload='y'>k</a><img loading="lazy" src="i">
 <video autoplay src="v"></video><video autoplay></video><object data="o">z</object><picture><source srcset="p"><img src="q"></picture><source src="keep"><i style="background:url(https://x.com/a.png)"></i><div id="placeholder"><div>in</div></div><div>out</div>
-<button>a<button>b</button></button><p class="reveal" style="opacity:0; color:red; transform: translate(1px)">s</p>"""
-    out = spark.createDataFrame([(1, html)], "page_id long, html string").transform(text.sanitize_pages).first().html
+<button>a<button>b</button></button><p data-animate="up" style="opacity:0; color:red; transform: translate(1px)">s</p>"""
+    out = spark.createDataFrame([(1, html)], "page_id long, html string").transform(cleaning.sanitize_pages).first().html
     for gone in ("<base", "Content-Security", "<script", "<noscript", "onclick", "onload", "javascript:", "lazy", "autoplay", "<object", 'srcset="p"', "x.com", "placeholder", "opacity", "translate"):
         assert gone not in out
     for kept in ('href="#"', '<video src="v" controls>', 'style="display:none"', '<source src="keep">', "<div>out</div>", "<span>b</span>", "color:red", 'url("")'):
         assert kept in out
 
 
+def test_cleaning_steps_leave_the_rest_as_written():
+    same = lambda html, *steps: cleaning.cleaned(html, *steps) == html
+    assert all(same(h, *cleaning.STEPS) for h in ("", "a < b > c", "<p title='x>y' data-on=\"z\">t</p>", "<svg><path style=\"transform: scale(2)\"/></svg>", "<p class='fade' style='opacity: 0.5'>x</p>", "<button>a</button><button>b</button>", "<script>never ended", "<video src='a'>"))
+    for html, step, want in (
+        ("<path style='opacity: 0; fill:red; stroke-dashoffset: 9'/>", "fix_hidden_animation", "<path style='fill:red'/>"),
+        ("<i data-animate-in style=\"opacity:0.0;rotate:3deg\">x</i>", "fix_hidden_animation", "<i data-animate-in>x</i>"),
+        ("<g style='opacity:0'>x</g>", "fix_hidden_animation", "<g style='opacity:0'>x</g>"),
+        ("<button a><button b>x</button></button>", "fix_nested_buttons", "<button a><span b>x</span></button>"),
+        ("<div id='ScriptLoadFailure'><div>a</div>b</div>c", "drop_overlays", "c"),
+        ("<video autoplay=autoplay controls><source src=x></video>", "fix_video", "<video controls><source src=x></video>"),
+        ("<VIDEO AUTOPLAY/>", "fix_video", '<VIDEO style="display:none"></video>'),
+        ("<object><object>a</object>b</object>c<embed src='x'>d<frame src='y'>", "drop_frames", "cd"),
+        ("<picture><source srcset=a><img src=b></picture><source src=c>", "drop_picture_sources", "<picture><img src=b></picture><source src=c>"),
+        ("<a HREF='JavaScript:go()' onclick='a' x>b</a><SCRIPT>if (a<b) x()</SCRIPT>", "drop_active", '<a href="#" x>b</a>'),
+    ):
+        assert cleaning.cleaned(html, step) == want
+
+
+def test_deep_pages_take_little_time():
+    deep = "<div class='content'>" * 2000 + "word " * 50 + "</div>" * 2000
+    began = time.perf_counter()
+    rows = list(text._candidates(1, deep))
+    assert len(rows) == 2000 and rows[0][6:] == (249, 0, 0, 0, 0, 0)
+    assert text.page_markdown(deep, None).strip() == " ".join(["word"] * 50)
+    assert time.perf_counter() - began < 1.5
+
+
+def test_candidates_count_links_and_blocks():
+    """Against a plain walk up from each text."""
+    html = "<div id='main'>a <a>bb <i>c</i></a><p>ddd <a>e</a></p><a><p>ff</p>g</a><section><h2>h</h2><ul><li>x<li>y</ul><input></section></div>"
+    got = {(r[2], r[4]): r[6:] for r in text._candidates(1, html)}
+    assert got["div", "main"] == (14, 5, 8, 4, 1, 0) and got["section", ""] == (3, 0, 2, 2, 1, 0)
+
+
+def test_layout_tables_are_no_tables():
+    assert "|" not in text.page_markdown("<table><tr><td>a</td><td>b</td></tr></table>", None)
+    for table in ("<table><tr><th>a</th><td>b</td></tr></table>", "<table role='grid'><tr><td>a</td><td>b</td></tr></table>", "<table class='my-data-table'><tr><td>a</td><td>b</td></tr></table>", "<table><caption>c</caption><tr><td>a</td><td>b</td></tr></table>"):
+        assert "| a | b |" in text.page_markdown(table, None)
+    assert "| a | b |" in text.page_markdown(f"<table><tr><td>{'<table><tr><th>a</th><th>b</th></tr></table>'}</td></tr></table>", None)
+
+
 def test_html_tree_closes_what_it_must():
     root = parse("<table><tr><td>1<td>2<tr><td>3</table><p>a<div>b</div>")
     assert [n.tag for n in root.walk()] == ["#root", "table", "tr", "td", "td", "tr", "td", "p", "div"]
@@ -177,7 +240,8 @@ def test_safety(spark):
     assert got == {"a.b.co.uk": "b.co.uk", "x.y.ck": "x.y.ck", "www.ck": "www.ck", "co.uk": "co.uk", "10.0.0.1": "10.0.0.1", "deep.a.example.com": "example.com"}
     for path, good in (("a/b", True), ("/a", False), ("a/../..", False), ("a/../b", True), ("..\\x", False)):
         assert one(spark, security.safe_path(F.col("p")), p=path) is good
-    for url, ips, verdict in (("ftp://x", [], "bad_scheme"), ("http://", [], "no_host"), ("http://a.com", ["1.1.1.1", "10.0.0.1"], "private"), ("http://a.com", [], "ok"), ("http://a.com", ["169.254.169.254"], "metadata"), ("http://[fc00::1]/", [], "private")):
+    for url, ips, verdict in (("ftp://x", [], "bad_scheme"), ("http://", [], "no_host"), ("http://a.com", ["1.1.1.1", "10.0.0.1"], "private"), ("http://a.com", [], "ok"), ("http://a.com", ["169.254.169.254"], "metadata"), ("http://[fc00::1]/", [], "private"),
+        ("http://[::ffff:127.0.0.1]/", [], "private"), ("http://a.com", ["::ffff:169.254.169.254"], "metadata"), ("http://a.com", ["::ffff:10.0.0.1"], "private"), ("http://[fd00:ec2::254]/", [], "metadata"), ("http://[::ffff:8.8.8.8]/", [], "ok"), ("http://[2001:db8::1]/", [], "ok"), ("http://[::ffff:7f00:1]/", [], "private")):
         assert one(spark, security.classify_fetch_url(F.lit(url), F.array(*[F.lit(i) for i in ips]).cast("array<string>"))) == verdict
 
 
@@ -241,7 +305,7 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.merge_snapshots(None, captures).collect()))
     aware = captures.withColumn("captured_at", F.col("captured_at").cast("timestamp"))
     assert jobs.run_available(jobs.stream_recent_capture(stream_of(spark, tmp_path, "r", aware, 1), "1 hour"), str(tmp_path / "o")).count() == 4
-    assert jobs.run_available(jobs.first_of_content(stream_of(spark, tmp_path, "d", aware, 1)), str(tmp_path / "o")).count() == 12
+    assert jobs.run_available(jobs.first_of_content(stream_of(spark, tmp_path, "d", aware, 1)), str(tmp_path / "o2")).count() == 12
 
     events = spark.createDataFrame([(k % 5, k, ("created", "failed", "finalized", "retried", "updated")[(k * 7 + k // 5) % 5]) for k in range(50)], "page_id long, seq long, event string")
     stream, last = jobs.stream_lifecycle(stream_of(spark, tmp_path, "e", events, 1)), {}
@@ -268,7 +332,37 @@ def test_stream_joins_and_bursts(spark, tmp_path):
     assert {tuple(r) for r in stream.collect()} == {tuple(r) for r in ingest.change_bursts(df.where("page_id = 1").withColumn("ts", F.col("ts").cast("timestamp_ntz")), 5).collect()}
     (tmp_path / "lg").mkdir()
     (tmp_path / "lg/archive-2024-01-01.001.log").write_text("one\nError two\n")
-    assert [r.line for r in jobs.run_available(jobs.stream_log_follow(spark, str(tmp_path / "lg"), "error"), str(tmp_path / "o")).collect()] == ["Error two"]
+    assert [r.line for r in jobs.run_available(jobs.stream_log_follow(spark, str(tmp_path / "lg"), "error"), str(tmp_path / "o3")).collect()] == ["Error two"]
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    """A second run with the same root reads only what is new; a source without rows gives an empty table."""
+    rows = [(f"u{k % 4}", f"h{k % 3}", T0 + dt.timedelta(seconds=k)) for k in range(60)]
+    kind = "url string, content_hash string, captured_at timestamp_ntz"
+    (tmp_path / "in").mkdir()
+    source = lambda: spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    assert jobs.stream_dedup_captures(source(), str(tmp_path / "out")).count() == 0
+    for part in (rows[:25], rows[25:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = jobs.stream_dedup_captures(source(), str(tmp_path / "out"))
+    want = sorted(map(tuple, jobs.merge_snapshots(None, spark.createDataFrame(rows, kind)).collect()))
+    assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, jobs.compact_snapshots(spark, str(tmp_path / "out"), str(tmp_path / "whole")).collect())) == want
+    log = tmp_path / "lines"
+    log.mkdir()
+    for n in (1, 2):
+        (log / f"archive-2024-01-0{n}.001.log").write_text(f"line {n}\n")
+        lines = jobs.run_available(jobs.stream_log_follow(spark, str(log)), str(tmp_path / "follow"))
+        assert sorted(r.line for r in lines.collect()) == [f"line {k}" for k in range(1, n + 1)]
+
+
+def test_bursts_count_a_page_s_life_from_hidden_changes_too(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    changes = [(1, at(0), True)] + [(1, at(s), False) for s in range(290, 320)] + [(9, at(10000), True)]
+    df = spark.createDataFrame(changes, "page_id long, ts timestamp, hidden boolean")
+    want = {tuple(r) for r in ingest.change_bursts(df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).collect()}
+    assert {t.minute * 60 + t.second for _, t, _ in want} == {295}
+    assert {tuple(r) for r in jobs.stream_change_bursts(stream_of(spark, tmp_path, "ch", df, 1), str(tmp_path / "b")).collect()} == want
 
 
 def test_sql_functions(spark):
