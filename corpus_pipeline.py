@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapweave.llm import decontamination, language_id, line_dedup, minhash_dedup, packing
-from snapweave.llm.scratch import Scratch
+from snapweave.llm.scratch import Scratch, released
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the lang column knows; those without letters, or of no language for the most part, go."""
+    """Documents of languages that the lang column knows.
+
+    What goes: texts without letters, of no language for the most part, of scripts that no language has, and of five words or more that are
+    less like their languages than any string is. Where lang has no value, nothing is known of languages and all documents stay.
+    """
     return language_id.in_known_language(docs)
 
 
@@ -53,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written as Parquet and read again by the next."""
     scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        with released():
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
     return docs
