@@ -146,6 +146,26 @@ def test_resharding(spark):
     assert sharding.reshard(make_docs(spark, []), F.lit(0), 3, 4).count() == 0
 
 
+def test_resharding_in_many_blocks(spark, monkeypatch):
+    """Blocks of few rows, in runs of few blocks: slots without gaps, shards of equal bytes, and no row in two."""
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(sharding, "RUN", 3)
+    rng = random.Random(14)
+    rows = [(k, "x" * rng.randrange(0, 90)) for k in range(700)]
+    got = sharding.reshard(make_docs(spark, rows), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % 4), 4, 6).collect()
+    assert sorted(r.doc_id for r in got) == list(range(700))
+    for n in range(6):
+        assert sorted(r.slot for r in got if r.shard == n) == list(range(sum(r.shard == n for r in got)))
+    sizes = [sum(r.size for r in got if r.shard == n) for n in range(6)]
+    assert max(sizes) - min(sizes) <= 2 * 90
+
+
+def test_sum_before(spark):
+    rows = [(k % 2, k, k * k) for k in range(0, 9000, 7)]
+    got = {r.o: r.s for r in sharding.sum_before(spark.createDataFrame(rows, "k long, o long, v long"), ["k"], "o", "v", "s").collect()}
+    assert got == {o: sum(v for x, p, v in rows if x == k and p < o) for k, o, _ in rows}
+
+
 def test_min_cost_transfers_are_least():
     rng = random.Random(6)
     for _ in range(30):
@@ -170,15 +190,31 @@ def test_rewrite_shards(spark, tmp_path):
     assert back.count() == placed.where(F.col("shard").isin(*touched)).count()
 
 
-def brute_lines(rows, similarity=0.8, min_words=5):
-    """Groups by the same SimHash and edit distance over all pairs of lines."""
-    found = []
+def normal_lines(rows, min_words=5):
+    """((id, line number), normalised line) of all lines that can be repeats."""
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", line.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
             if len(w) >= min_words:
-                found.append(((i, k), " ".join(w)))
-    return found
+                yield (i, k), " ".join(w)
+
+
+def brute_line_groups(rows, similarity=0.8):
+    """The first line of each line's group, by edit similarity over all pairs."""
+    found = list(normal_lines(rows))
+    up = {at: at for at, _ in found}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, (p, a) in enumerate(found):
+        for q, b in found[:n]:
+            if top(p) != top(q) and line_dedup.edit_within(a, b, int(round(max(len(a), len(b)) * (1 - similarity), 6))):
+                x, y = top(p), top(q)
+                up[max(x, y)] = min(x, y)
+    return {at: top(at) for at in up}
 
 
 def test_line_dedup(spark):
@@ -200,33 +236,55 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(make_docs(spark, [])).count() == 0
 
 
-def test_line_dedup_finds_what_brute_force_finds(spark):
+def test_line_dedup_against_all_pairs(spark):
+    """Groups of variants around the threshold, chains and unlike lines: recall of what edit similarity alone removes, and nothing else goes."""
     rng = random.Random(9)
-    base = " ".join(words(rng, 80))
     rows = []
-    for k in range(90):
-        w = base.split()
-        for _ in range(rng.randrange(0, 2)):
-            w[rng.randrange(len(w))] = rng.choice(["aa", "bb", "cc"])
-        rows.append((k, " ".join(w)))
+    for _ in range(25):
+        base = words(rng, rng.randrange(5, 61))
+        for _ in range(rng.choice([1, 2, 6])):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, len(w) // 7))):
+                at = rng.randrange(len(w))
+                if rng.random() < 0.5:
+                    w[at] = words(rng, 1)[0]
+                elif len(w) > 5:
+                    del w[at]
+            rows.append((len(rows), " ".join(w)))
+    want = {i for (i, _), first in brute_line_groups(rows).items() if first[0] != i}
+    got = {r.doc_id for r in line_dedup.dedup_lines(make_docs(spark, rows)).where("lines_removed > 0").collect()}
+    assert len(want) > 30 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_line_dedup_large_group_of_variants(spark, monkeypatch):
+    """One key with many lines, compared with its first one and then in cells: equal to all pairs."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    rng = random.Random(10)
+    start, rows = words(rng, 30), []
+    for k in range(90):  # a drift: neighbours are alike, ends are not
+        start[rng.randrange(30)] = f"new{k}"
+        rows.append((k, " ".join(start)))
     rows += [(200 + k, " ".join(words(rng, 30))) for k in range(20)]
-    lines = {r.doc_id: r for r in make_docs(spark, rows).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(line_dedup._lines(5), "doc_id long, row_key long, line_no long, node long, simhash long").collect()}
-    up = {i: i for i, _ in rows}
+    want = {i for (i, _), first in brute_line_groups(rows).items() if first[0] != i}
+    got = {r.doc_id for r in line_dedup.dedup_lines(make_docs(spark, rows)).where("lines_removed > 0").collect()}
+    assert got == want and len(want) == 89
 
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
 
-    for i, a in rows:
-        for j, b in rows:
-            if j < i:
-                near = bin((lines[i].simhash ^ lines[j].simhash) & (2**64 - 1)).count("1") <= 3
-                if lines[i].node == lines[j].node or near and line_dedup.edit_within(a, b, int(round(max(len(a), len(b)) * 0.2, 6))):
-                    x, y = top(i), top(j)
-                    up[max(x, y)] = min(x, y)
-    got = {r.doc_id for r in line_dedup.dedup_lines(make_docs(spark, rows)).where("lines_removed = 0").collect()}
-    assert got == {i for i in up if top(i) == i}
+def test_meet_gives_all_pairs_or_stars():
+    """Keys over several batches: all near pairs of small keys; of large ones each member, and its pair with the first."""
+    import pyarrow as pa
+
+    sizes = [1, 3, 40, 2, 25]
+    key = np.repeat(np.arange(len(sizes)), sizes).astype(np.int64)
+    node = np.arange(len(key)).astype(np.int64) + 100
+    for step in (1, 4, 7, 100):
+        table = pa.table({"key": key, "node": node, "s1": np.zeros(len(key), np.int64), "s2": np.zeros(len(key), np.int64)})
+        got = [tuple(r.values()) for b in line_dedup._meet(iter(table.to_batches(max_chunksize=step))) for r in b.to_pylist()]
+        members = {(k, a) for k, a, b in got if b is None}
+        pairs = {(a, b) for _, a, b in got if b is not None}
+        assert members == {(int(k), int(n)) for k, n in zip(key, node) if sizes[k] > line_dedup.SMALL}
+        first = {k: int(node[key == k][0]) for k in range(len(sizes))}
+        assert pairs == {(int(a), int(b)) for x, a in zip(key, node) for y, b in zip(key, node) if x == y and a < b and (sizes[x] <= line_dedup.SMALL or a == first[x])}
 
 
 def test_edit_within():
@@ -300,6 +358,14 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_short_and_bare_items(spark):
+    """Items of four to eight tokens, and such without four plain words, which must stand as a line; each against plain Python."""
+    bench = spark.createDataFrame([(1, "12 + 7 = 19"), (2, "Paul, Maria, Olga"), (3, "how tall is a tree"), (4, "name the red and blue birds here now"), (5, "7")], "item_id long, text string")
+    rows = [(1, "see\n12 + 7 = 19\nend"), (2, "see 12 + 7 = 19 end"), (3, "12 + 7 = 20"), (4, "x\nPaul Maria Olga"), (5, "we ask how tall is a tree there"), (6, "name the red and blue birds here now"), (7, "how tall is one tree"), (8, "7 up"), (9, "7")]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(make_docs(spark, rows + ODD, True), bench).collect()}
+    assert got == {(1, 1), (4, 2), (5, 3), (6, 4), (9, 5)}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     rows = []
@@ -334,6 +400,16 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_embeddings_of_any_scale_and_copies(spark):
+    """Huge and tiny components, many copies (one class), labels that are no numbers."""
+    base = [1.0, 2.0, -0.5, 3.0]
+    rows = [(k, base, "a") for k in range(30)] + [(40, [x * 1e200 for x in base], "a"), (41, [x * 1e-200 for x in base], "a"), (42, [-x for x in base], "a"), (43, base, "b"), (44, [1.0, 2.0, -0.5, 3.01], "a"), (45, base, None)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    for k in [*range(30), 40, 41, 44]:
+        assert got[k] == (32, 0, k == 0)
+    assert all(got[k] == (0, k, True) for k in (42, 43, 45))
+
+
 def test_e8_points_are_lattice_points_and_near():
     x = np.random.default_rng(2).normal(size=(200, 8)) * 3
     first, second = embedding_dedup.e8_points(x, 2)
@@ -363,6 +439,42 @@ def test_chat_format(spark):
     assert chat_format.format_preferences(chat_format.truncated_negatives(chat_format.conversations(df.where("false")))).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    """Real notices, wrapped and with comment marks, are found whole and confirmed; prose is left alone; held-out wordings are found."""
+    import textwrap
+
+    rng = random.Random(4)
+    plain = [(k, "\n".join(" ".join(words(rng, 12)) for _ in range(6))) for k in range(60)]
+    rows, want = [], {}
+    for family in ("mit", "bsd", "apache-2.0", "gpl-3.0", "lgpl"):
+        for width in (60, 76):
+            for text in license_scan.TEMPLATES[family][1:3]:
+                i = 1000 + len(rows)
+                rows.append((i, plain[len(rows)][1] + "\n\n" + "\n".join("# " + x for x in textwrap.wrap(text, width)) + "\n\n" + plain[-1][1]))
+                want[i] = family
+    docs = make_docs(spark, plain + rows)
+    found = license_scan.scan(docs, license_scan.train(spark, docs, 300)).collect()
+    sure = {(r.doc_id, r.family) for r in found if r.confirmed}
+    assert {i for i, _ in sure} <= set(want)
+    assert len(sure & set(want.items())) == len(want)
+    assert sum(r.n_lines > 1 for r in found) >= len(want)
+
+
+def test_license_scan_of_an_empty_table(spark):
+    model = license_scan.train(spark, make_docs(spark, []), 50)
+    got = license_scan.scan(make_docs(spark, [(1, "Released under the MIT License."), (2, None), (3, "")]), model).collect()
+    assert [(r.doc_id, r.family) for r in got] == [(1, "mit")]
+
+
+def test_license_scan_of_a_long_line(spark):
+    """A notice inside a line of some thousand words; no part of a text is cut off."""
+    rng = random.Random(6)
+    grant = license_scan.TEMPLATES["mit"][1]
+    docs = make_docs(spark, [(k, " ".join(words(rng, 3000))) for k in range(5)] + [(9, " ".join(words(rng, 2500)) + " " + grant + " " + " ".join(words(rng, 700)))])
+    got = license_scan.scan(docs, license_scan.train(spark, docs, 300)).where("confirmed").collect()
+    assert [(r.doc_id, r.family) for r in got] == [(9, "mit")]
+
+
 def test_license_scan(spark):
     rng = random.Random(2)
     plain = [(k, "\n".join(" ".join(words(rng, 12)) for _ in range(4))) for k in range(60)]
@@ -435,7 +547,7 @@ def test_pipeline(spark, tmp_path):
 
     rng = random.Random(11)
     text = [" ".join(rng.choice(VOCABULARY["en"]) + str(rng.randrange(50)) for _ in range(60)) for _ in range(30)]
-    rows = [(k, t) for k, t in enumerate(text)] + [(100, text[0]), (101, text[1] + " and a few more"), (102, ITEM + " " + text[2]), (103, "123 456"), (104, None), (105, "")]
+    rows = [(k, t) for k, t in enumerate(text)] + [(100, text[0]), (101, text[1].replace(" ", "\n", 30) + " and a few more"), (106, text[4] + " and a few more"), (102, ITEM + " " + text[2]), (103, "123 456"), (104, None), (105, "")]
     make_docs(spark, rows, True).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, left = spark.read.parquet(str(tmp_path / "documents.parquet")), []
@@ -446,8 +558,9 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         left.append({r.doc_id for r in docs.select("doc_id").collect()})
-    assert left[0] == set(range(30)) | {100, 101, 102}
-    assert left[1] == left[0] - {100} and left[2] <= left[1] and 102 not in left[3] and left[3] == left[4] and set(range(3, 30)) <= left[4]
+    assert left[0] == set(range(30)) | {100, 101, 102, 106}
+    # 106 is one line that is alike to 4's; 101 has the words of 1, but no line of it
+    assert left[1] == left[0] - {100, 106} and left[2] == left[1] - {101} and left[3] == left[2] - {102} and left[3] == left[4]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left[4]
 
 
@@ -497,3 +610,83 @@ def test_op1_moves_text(spark, tmp_path):
     assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(i), len(t) + 1, zlib.crc32(t.encode())) for i, t in rows)
     for n in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == n) == list(range(sum(r.shard == n for r in got)))
+
+
+LONG_PLAIN = "x" * (5 << 19)  # one word of 2.5 MiB
+LONG_TEXT = " ".join("w" + "".join(chr(97 + k % 5003 // d % 26) for d in (1, 26, 676)) for k in range(450_000))  # 2.2 MiB of words, one line
+LONG_LINES = LONG_TEXT.replace(" waaa ", "\n")
+LONG = [(1, LONG_PLAIN), (2, LONG_TEXT), (3, LONG_LINES), (4, LONG_PLAIN), (5, "é" * (3 << 19)), (6, LONG_PLAIN + " tail"), (7, "short text of five words")]
+
+
+def test_texts_over_a_mebibyte(spark):
+    """Every operator on texts: one document each, equal to plain Python."""
+    docs = make_docs(spark, LONG)
+    got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs).collect()}
+    sets = dict(shingle_sets(LONG))
+    assert len(got) == len(LONG) and all(got[i].n_shingles == len(sets[i]) for i in got)
+    assert got[4].component_id == 1 and got[2].kept and got[6].kept
+    out = line_dedup.dedup_lines(docs)
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == [i for i, _ in LONG] and {r.doc_id: r.text for r in rows}[1] == LONG_PLAIN
+    first = {}
+    for at, line in normal_lines(LONG):
+        first.setdefault(line, at)
+    assert {r.doc_id: r.lines_removed for r in rows}[3] >= sum(first[line] != at for at, line in normal_lines(LONG) if at[0] == 3)
+    model = language_id.train(docs)
+    found = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    assert len(found) == len(LONG) and {r.lang_pred for r in found.values()} == {"en"} and found[1].spans[0].end == len(LONG_PLAIN)
+    bench = spark.createDataFrame([(1, " ".join(LONG_TEXT.split()[300_000:300_030])), (2, "short text of five words")], "item_id long, text string")
+    held = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert {(2, 1), (7, 2)} <= held <= {(2, 1), (3, 1), (7, 2)}
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    packed = packing.pack(docs.where("doc_id in (2, 3, 7)"), TOKENIZER).collect()
+    for i in (2, 3, 7):
+        ids = np.array([*tokenizer.encode(dict(LONG)[i], add_special_tokens=False).ids, 0], "<u4")
+        assert sum(r.length for r in packed if r.doc_id == i) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in packed if r.doc_id == i)
+    texts = docs.unionByName(make_docs(spark, [(8, LONG_TEXT + "\n\nReleased under the MIT License.")]))
+    assert {(r.doc_id, r.family) for r in license_scan.scan(texts, license_scan.train(spark, texts, 200)).where("confirmed").collect()} == {(8, "mit")}
+    assert sum(r.size for r in sharding.reshard(docs, F.lit(0), 1, 3).collect()) == sum(len(t.encode()) + 1 for _, t in LONG)
+
+
+def test_language_id_of_many_languages_and_scripts(spark):
+    """More lang values than a task counts for at a time; marks inside words; nothing but marks is no letter."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(70):
+        own = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(12)]
+        rows += [(len(rows) + n, " ".join(rng.choice(own) for _ in range(40)), f"l{k:02d}") for n in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model["names"]) == 70
+    got = language_id.predict(docs, model).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in got) >= 0.98 * len(rows)
+    starts, ends, kind, _ = language_id._words(np.frombuffer("नमस्ते दुनिया cafe\u0301s \u0301".encode("utf-32-le"), np.uint32), np.array([0, 20]))
+    assert [(e - s) for s, e in zip(starts, ends)] == [6, 6, 6] and len(set(kind.tolist())) == 2
+
+
+def test_language_stage_rejects_by_fit(spark):
+    """Foreign scripts, an unlearned language, random letters and texts without letters go; clean documents stay, whatever their lang says."""
+    rng = random.Random(13)
+    known = [(k, " ".join(rng.choice(VOCABULARY[lang]) for _ in range(40)), lang) for k in range(120) for lang in [("en", "de")[k % 2]]]
+    clean = [(200, " ".join(VOCABULARY["en"] + VOCABULARY["de"]), None), (201, "the and", None), (202, "und", "en")]
+    other = " ".join(rng.choice("jokin pöytäkirja kyllä yhtäkkiä myös hyppyrimäki löytyy käyttäjä".split()) for _ in range(40))
+    bad = [(300, " ".join(VOCABULARY["ru"] * 2), None), (301, "你好世界", None), (302, other, None), (303, " ".join("".join(rng.choice("qxzjkvwbcfgp") for _ in range(7)) for _ in range(30)), None), (304, "12 34", "en"), (305, None, "en"), (306, "", None)]
+    docs = spark.createDataFrame(known + clean + bad, "doc_id long, text string, lang string").withColumn("row_key", F.lit("x"))
+    out = language_id.in_known_language(docs)
+    assert out.columns == docs.columns
+    assert {r.doc_id for r in out.collect()} == {i for i, _, _ in known + clean}
+    nothing = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.in_known_language(nothing).count() == docs.count()
+    assert language_id.in_known_language(docs.where("false")).count() == 0
+
+
+def test_stages_on_empty_tables_and_nulls(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in ([], ODD):
+        docs = make_docs(spark, rows, True).withColumn("lang", F.when(F.col("doc_id") == 9006, "fr"))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.count() <= max(len(rows), 60_000) and (name == "packing" or out.columns == docs.columns)
