@@ -35,8 +35,9 @@ _opened: list[Scratch] = []
 class Scratch:
     """Tables of one run, in a folder of the shared storage that every executor reads, so a lost executor costs only its tasks."""
 
-    #: Spark's own switch to delete the shuffle files of a query as soon as it has ended; what it wrote is all that later plans read.
-    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    #: Spark's settings while a table is written: shuffle files are deleted as soon as it is, as it is all that later plans read; and rows that go to
+    #: Python are few at a time, as they may be long texts, held by the JVM and by Python.
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -45,12 +46,14 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return a reader of it: the plan below starts anew from files."""
-        path, was = f"{self.root}/{name}", self.spark.conf.get(self.CLEANUP)
-        self.spark.conf.set(self.CLEANUP, "true")
+        path, was = f"{self.root}/{name}", {k: self.spark.conf.get(k) for k in self.SETTINGS}
+        for k, value in self.SETTINGS.items():
+            self.spark.conf.set(k, value)
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.set(self.CLEANUP, was)
+            for k, value in was.items():
+                self.spark.conf.set(k, value)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
