@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, sharding, url_filter
+from . import byte_bpe, chat_format, collocations, decontamination, embedding_dedup, language_id, license_scan, line_dedup, merkle, minhash_dedup, packing, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,5 +115,48 @@ found AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT s.doc_id, len(s.s) AS n_shingles, f.component_id, f.component_id = s.doc_id AS kept FROM s JOIN found f ON f.a = s.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_min_cost_resharding, op2_fuzzy_line_dedup, op3_language_spans, op4_template_decontamination, op5_lattice_embedding_dedup, op6_preference_format, op7_license_paragraphs, op8_hierarchical_packing, op9_url_filter, op10_minhash_dedup)}
-ORACLE_SQL: dict[str, str] = {"op5_lattice_embedding_dedup": OP5_SQL, "op6_preference_format": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_minhash_dedup": OP10_SQL}
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text to ids and back; the ids and the bytes as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING k = 1 OR count(*) >= 30),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS j FROM c),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * cut.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM scored),
+inner_ AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM c, range(1, 4) AS starts(i), range(2, 4) AS sizes(m) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+  FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase WHERE nth = 1 AND NOT coalesce(100::HUGEINT * most >= 80::HUGEINT * a, false))
+SELECT kept.lang, rank, phrase, a, l, r, n, score FROM kept JOIN n ON n.lang = kept.lang WHERE rank <= 2000
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof; where 5 divides the checksum of its id, its text is tampered with after the manifest was made."""
+    docs, at = table(spark, sf_dir, "documents"), [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_digest(*at, F.col("text"))
+    other = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    shown = F.when(other, merkle.leaf_digest(*at, F.translate("text", url_filter.UPPER, url_filter.LOWER))).otherwise(leaf)
+    out = merkle.manifest(docs, F.col("source"), F.col("doc_id").cast("long"), leaf, {"doc_id": F.col("doc_id"), "shown": shown})
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), merkle.fold(F.col("shown"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_min_cost_resharding, op2_fuzzy_line_dedup, op3_language_spans, op4_template_decontamination, op5_lattice_embedding_dedup, op6_preference_format, op7_license_paragraphs, op8_hierarchical_packing, op9_url_filter, op10_minhash_dedup, op11_byte_bpe, op12_collocations, op13_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op5_lattice_embedding_dedup": OP5_SQL, "op6_preference_format": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_minhash_dedup": OP10_SQL, "op12_collocations": OP12_SQL}
