@@ -10,20 +10,27 @@ NAME = r"^[a-z]+-(\d{4}-\d{2}-\d{2})\.\d+\.log$"
 
 
 def log_tail(lines: DataFrame, n: int = 2000) -> DataFrame:
-    """The last n lines of each file (file, line_no, line); at most 10000."""
-    size = F.max("line_no").over(Window.partitionBy("file"))
-    return lines.withColumn("_n", size).where(F.col("line_no") > F.col("_n") - min(n, 10_000)).drop("_n")
+    """The last n lines of each file (file, line_no, line); at most 10000. Only the counts of files are shuffled."""
+    sizes = lines.groupBy("file").agg(F.max("line_no").alias("_n"))
+    return lines.join(sizes, "file").where(F.col("line_no") > F.col("_n") - min(n, 10_000)).select(lines.columns)
 
 
 def log_grep(lines: DataFrame, keyword: str) -> DataFrame:
     return lines.where(F.contains(F.lower("line"), F.lower(F.lit(keyword))))
 
 
-def with_offsets(lines: DataFrame) -> DataFrame:
-    """Lines with the bytes at which they start and end (line feed included)."""
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.octet_length("line") + 1).over(order)
-    return lines.withColumn("end", end).withColumn("start", F.col("end") - F.octet_length("line") - 1)
+def with_offsets(lines: DataFrame, block: int = 100_000) -> DataFrame:
+    """Lines with the bytes at which they start and end (line feed included): sums within blocks of lines, after those of the blocks before. Lines read from files have them."""
+    if {"start", "end"} <= set(lines.columns):
+        return lines
+    rows = lines.withColumn("_block", F.floor((F.col("line_no") - 1) / block))
+    blocks = rows.groupBy("file", "_block").agg(F.sum(F.octet_length("line") + 1).alias("_bytes"))
+    before = F.sum("_bytes").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    order = Window.partitionBy("file", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.octet_length("line") + 1).over(order) + F.col("_before")
+    rows = rows.join(blocks, ["file", "_block"]).withColumn("end", end)
+    return rows.withColumn("start", F.col("end") - F.octet_length("line") - 1).drop("_block", "_before")
 
 
 def log_range(lines: DataFrame, offset: int, size: int = 128 << 10, before: bool = False) -> DataFrame:
@@ -31,9 +38,10 @@ def log_range(lines: DataFrame, offset: int, size: int = 128 << 10, before: bool
     size = min(size, 1 << 20)
     rows = with_offsets(lines)
     low, high = (offset - size, offset) if before else (offset, offset + size)
-    own = Window.partitionBy("file")
-    got = rows.withColumn("_end", F.max("end").over(own)).where((F.col("start") >= low) & (F.col("end") <= high))
-    return got.withColumn("has_more_before", F.min("start").over(own) > 0).withColumn("has_more_after", F.max("end").over(own) < F.col("_end")).drop("_end")
+    inside = (F.col("start") >= low) & (F.col("end") <= high)
+    own = rows.groupBy("file").agg(F.max("end").alias("_end"), F.min(F.when(inside, F.col("start"))).alias("_first"), F.max(F.when(inside, F.col("end"))).alias("_last"))
+    got = rows.where(inside).join(own, "file")
+    return got.withColumn("has_more_before", F.col("_first") > 0).withColumn("has_more_after", F.col("_last") < F.col("_end")).drop("_end", "_first", "_last")
 
 
 def log_level(line: Column) -> Column:

@@ -5,11 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.registry import register_functions
 from ..functions.shared import shared_folder
-from ..sources import store
+from ..sources import files, logfiles, store
 from ..streaming import jobs
 from .fixtures import BURSTS, DOMAIN_SQL
 from .registry import ntz, query
@@ -61,24 +60,60 @@ def catalog_favorites(t):
     return store.read_catalog(t.spark, path, "favorites").select("page_id")
 
 
-def _log_files(t):
-    """Log lines as files of a day each, named as a server names them."""
-    path = _root(t)
-    lines = t.log_lines.withColumn("day", F.substring("file", 9, 10))
-    lines.select("line", "day").repartition("day").sortWithinPartitions("day").write.partitionBy("day").text(path)
+def _log_files(t, lines=None, path=None):
+    """Log lines as files of a day each, named as a server names them; with a path, what is added to its files."""
+    path, each = path or _root(t), 1000
+    lines = t.log_lines if lines is None else lines
+    parts = lines.groupBy("file", F.floor(F.col("line_no") / each).alias("part")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    text = F.concat(F.array_join(F.col("l.line"), "\n"), F.lit("\n"))
+    files.write_files(parts.select(F.col("file").alias("path"), "part", text.alias("content")), path, existing="append")
     return path
 
 
-@query("SELECT day, count(*) AS lines, sum(strlen(line)) AS bytes, count(*) FILTER (contains(line, 'failed')) AS failed FROM (SELECT substr(file, 9, 10) AS day, line FROM log_lines) GROUP BY day")
+@query("SELECT file, CAST(substr(file, 9, 10) AS DATE) AS day, line_no, CAST(sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY line_no) AS BIGINT) AS stop, line FROM log_lines")
 def read_logs(t):
-    logs = store.read_logs(t.spark, _log_files(t)).withColumn("day", F.regexp_extract(F.col("_metadata.file_path"), r"day=([\d-]+)", 1))
-    return logs.groupBy("day").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line")).alias("bytes"), F.count_if(F.contains("line", F.lit("failed"))).alias("failed"))
+    """Every line of real files with its number and where it ends, read in ranges of 4 KB."""
+    lines = logfiles.numbered(logfiles.read_log_lines(t.spark, _log_files(t), 4096))
+    return lines.select("file", logfiles.day_of(F.col("file")).alias("day"), "line_no", F.col("end").alias("stop"), "line")
 
 
-@query("SELECT file, count(*) AS lines, sum(strlen(line) + 1) AS size, CAST(substr(file, 9, 10) AS DATE) AS day FROM log_lines GROUP BY file")
+@query("SELECT file, count(*) AS lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS size, CAST(substr(file, 9, 10) AS DATE) AS day FROM log_lines GROUP BY file")
 def list_logs(t):
-    rows = t.log_lines.withColumn("size", F.sum(F.octet_length("line") + 1).over(Window.partitionBy("file"))).withColumn("day", F.substring("file", 9, 10).cast("date"))
-    return store.list_logs(rows)
+    """Names, sizes and days of real files."""
+    return store.list_logs(store.read_logs(t.spark, _log_files(t)))
+
+
+@query("SELECT file, line FROM log_lines QUALIFY line_no > max(line_no) OVER (PARTITION BY file) - 40")
+def log_files_tail(t):
+    """The ends of real files, of which no more is read."""
+    return logfiles.tail_of_files(t.spark, _log_files(t), 40).select("file", "line")
+
+
+@query("""SELECT file, line, CAST(stop - strlen(line) - 1 AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, min(stop - strlen(line) - 1) OVER (PARTITION BY file) > 0 AS has_more_before, max(stop) OVER (PARTITION BY file) < total AS has_more_after
+    FROM (SELECT *, max(stop) OVER (PARTITION BY file) AS total FROM (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY line_no) AS stop FROM log_lines)) WHERE stop - strlen(line) - 1 >= 500 AND stop <= 2500""")
+def log_files_range(t):
+    """2000 bytes of real files after an offset, of which no more is read."""
+    return logfiles.range_of_files(t.spark, _log_files(t), after=500, limit=2000).select("file", "line", "start", F.col("end").alias("stop"), "has_more_before", "has_more_after")
+
+
+@query("SELECT id, 'html/' || strftime(captured_at, '%Y/%m/%d/') || CAST(floor(epoch_us(captured_at) / 1000000) AS BIGINT) || '_' || substr(sha256(url || strftime(captured_at, '%Y-%m-%d %H:%M:%S.%f')), 1, 16) || '.html' AS html_path, sha256(html) AS hash FROM snapshots WHERE CAST(captured_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+def html_files(t):
+    """The html store in its own layout, written twice, and a range of its days read."""
+    path, rows = _root(t), t.snapshots
+    store.write_html_files(rows.where("id % 2 = 0"), path)
+    store.write_html_files(rows, path)
+    found = store.read_html_files(t.spark, path, "2024-01-05", "2024-01-20")
+    named = rows.select("id", store.html_path(F.col("url"), F.col("captured_at")).alias("html_path"))
+    return named.join(found, "html_path").select("id", "html_path", F.sha2("html", 256).alias("hash"))
+
+
+@query("SELECT DISTINCT 'resources/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h || '.html' AS path, h AS file_hash, strlen(html) AS length FROM (SELECT sha256(html) AS h, html FROM pages)")
+def resource_files(t):
+    """Contents as files named by their hashes, some written twice, and their hashes read back in blocks."""
+    path, rows = _root(t), t.pages_raw.select(F.col("html").alias("content"), F.lit("html").alias("kind"))
+    store.write_resource_files(rows.where("length(content) % 2 = 0"), path)
+    store.write_resource_files(rows, path)
+    return store.read_resources(t.spark, path).select(F.regexp_extract("file_path", r"(resources/.*)$", 1).alias("path"), "file_hash", "length")
 
 
 @query("SELECT id, url, domain, snapshot_state, body_text FROM snapshots")
@@ -166,10 +201,14 @@ def stream_change_bursts(t):
 
 @query("SELECT file, line FROM log_lines WHERE contains(line, 'failed')")
 def stream_log_follow(t):
-    path = _root(t)
-    t.log_lines.select(F.concat("file", F.lit("\t"), "line").alias("value")).write.text(path)
-    at = F.split("line", "\t")
-    return jobs.run_available(jobs.stream_log_follow(t.spark, path, "FAILED"), _root(t)).select(at[0].alias("file"), at[1].alias("line"))
+    """Files that grow between runs of the stream, the first time up to the middle of a line."""
+    root, rows = _root(t), t.log_lines
+    path = _log_files(t, rows.where("line_no <= 40"))
+    half = rows.where("line_no = 41").select(F.col("file").alias("path"), F.expr("left(line, 7)").alias("content"))
+    files.write_files(half, path, existing="append")
+    jobs.run_available(jobs.stream_log_follow(t.spark, path, "FAILED"), root)
+    rest = rows.where("line_no > 40").withColumn("line", F.when(F.col("line_no") == 41, F.expr("substr(line, 8)")).otherwise(F.col("line")))
+    return jobs.run_available(jobs.stream_log_follow(t.spark, _log_files(t, rest, path), "FAILED"), root)
 
 
 @query("SELECT html_path, page_id FROM deletion_queue WHERE timestamp < TIMESTAMP '2024-01-30' - INTERVAL 1 DAY AND html_path NOT IN (SELECT html_path FROM shares WHERE revoked_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-20'))")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from . import files, logfiles
 
 MAX_BODY = 32 << 20
 # Endings of stored resources by their type.
@@ -57,9 +59,32 @@ def resource_path(content_hash: Column, kind: Column) -> Column:
 
 
 def read_resources(spark: SparkSession, path: str, most: int = 200 << 20) -> DataFrame:
-    """file_path, length and hash of stored files; those over `most` bytes aren't opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= most)
-    return files.select(F.col("path").alias("file_path"), "length", F.sha2("content", 256).alias("file_hash"))
+    """file_path, length and hash of stored files, read in blocks; those over `most` bytes aren't opened."""
+    return files.hash_files(spark, path, most)
+
+
+def write_resource_files(contents: DataFrame, path: str) -> None:
+    """Contents (content and kind) as files named by their hashes, `resources/ab/cd/<hash><ending>`; what is stored already is left as it is."""
+    rows = contents.where("content is not null").select(resource_path(F.sha2(F.col("content").cast("binary"), 256), F.col("kind")).alias("path"), "content")
+    files.write_files(rows.dropDuplicates(["path"]), path, named_by_hash=True)
+
+
+def write_html_files(snapshots: DataFrame, path: str) -> None:
+    """Snapshots (url, captured_at, html) as files `html/YYYY/MM/DD/<unix>_<hash>.html`; one that is stored already is left as it is."""
+    rows = snapshots.select(html_path(F.col("url"), F.col("captured_at")).alias("path"), F.coalesce("html", F.lit("")).alias("content"))
+    files.write_files(rows.dropDuplicates(["path"]), path)
+
+
+def read_html_files(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """html_path, html and capture_date of the html store; of a range of days only the folders of its months are listed. Empty files have no row, as in all of Spark's scans."""
+    months = "*" if not start or not end else "{" + ",".join(f"{m:%Y/%m}" for m in pd.date_range(start[:7], end[:7], freq="MS")) + "}"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("ignoreMissingFiles", "true").load(f"{path}/html/{months}/*" + ("/*" if months == "*" else ""))
+    own = F.regexp_extract("path", r"(html/\d{4}/\d{2}/\d{2}/[^/]+)$", 1)
+    day = F.to_date(F.substring(own, 6, 10), "yyyy/MM/dd")
+    rows = found.select(own.alias("html_path"), F.col("content").cast("string").alias("html"), day.alias("capture_date"))
+    if start:
+        rows = rows.where(F.col("capture_date") >= F.lit(start).cast("date"))
+    return rows.where(F.col("capture_date") <= F.lit(end).cast("date")) if end else rows
 
 
 def write_resources(new: DataFrame, stored: DataFrame, path: str) -> None:
@@ -82,9 +107,8 @@ def rewrite_deletion_queue(remaining: DataFrame, new_path: str) -> None:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """file, size, day and line of log files."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"))
-    return rows.withColumn("day", F.try_to_date(F.regexp_extract("file", r"^[a-z]+-(\d{4}-\d{2}-\d{2})\.", 1), "yyyy-MM-dd"))
+    """file, size, day, line_no, start, end and line of log files, read in byte ranges."""
+    return logfiles.numbered(logfiles.read_log_lines(spark, path)).withColumn("day", logfiles.day_of(F.col("file")))
 
 
 def list_logs(logs: DataFrame) -> DataFrame:

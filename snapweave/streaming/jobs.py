@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ingest, logs, resources
+from ..sources import logfiles
 
 
 def run_available(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
@@ -113,9 +114,9 @@ def stream_change_bursts(changes: DataFrame, root: str, least: int = 10, delay:
     return ingest.bursts_of_ticks(closed.drop("first").join(first, "page_id"), least)
 
 
-def stream_log_follow(spark: SparkSession, path: str, keyword: str | None = None, files: int = 50) -> DataFrame:
-    """Lines of files as they come, those with the keyword; only complete lines are read."""
-    rows = spark.readStream.option("maxFilesPerTrigger", files).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+def stream_log_follow(spark: SparkSession, path: str, keyword: str | None = None) -> DataFrame:
+    """file and line of files that grow, those with the keyword: each complete line once, an unfinished one when it has ended."""
+    rows = logfiles.follow_log_lines(spark, path).select("file", "line")
     return logs.log_grep(rows, keyword) if keyword else rows
 
 
