@@ -85,14 +85,22 @@ def resolve_fetches(log: DataFrame) -> DataFrame:
 
     200: `reuse` of the row of that url and content if it was fetched before, `share` if another url had that content before (a new
     row, the same file), else `create`. 304 and failures take the url's last good fetch (`cached`, `fallback`), or are an `error`
-    without one. source_fetch is the fetch whose row or file is used.
+    without one. source_fetch is the fetch whose row or file is used. A url's history is cut into hours: the last good fetch of each is
+    carried over the hours, and then looked for within one, so that no task orders more than an hour of a url.
     """
     order = F.struct("fetched_at", "fetch_id")
     ok = log.where("status = 200")
     first_of_row = ok.groupBy("url", "content_hash").agg(F.min(order).alias("_row"))
     first_of_file = ok.groupBy("content_hash").agg(F.min(order).alias("_file"))
-    before = Window.partitionBy("url").orderBy("fetched_at", "fetch_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("status") == 200, F.struct("fetch_id", "content_hash")), ignorenulls=True).over(before)
+    good_fetch = F.struct("fetch_id", "content_hash")
+    hour = F.coalesce(F.timestamp_diff("HOUR", F.lit("1970-01-01").cast(log.schema["fetched_at"].dataType), "fetched_at"), F.lit(-(1 << 62)))  # no time comes first
+    log = log.withColumn("_hour", hour)
+    hours = log.groupBy("url", "_hour").agg(F.max_by(F.when(F.col("status") == 200, good_fetch), F.when(F.col("status") == 200, order)).alias("_good"))
+    earlier = Window.partitionBy("url").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(F.col("url").alias("_url"), F.col("_hour").alias("_of"), F.last("_good", ignorenulls=True).over(earlier).alias("_carried")).where("_carried is not null")
+    before = Window.partitionBy("url", "_hour").orderBy("fetched_at", "fetch_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.coalesce(F.last(F.when(F.col("status") == 200, good_fetch), ignorenulls=True).over(before), F.col("_carried"))
+    log = log.join(hours, F.col("url").eqNullSafe(F.col("_url")) & (F.col("_hour") == F.col("_of")), "left")
     rows = log.withColumn("_last", last).join(first_of_row, ["url", "content_hash"], "left").join(first_of_file, "content_hash", "left")
     good = F.col("status") == 200
     action = (

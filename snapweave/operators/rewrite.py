@@ -10,9 +10,8 @@ from urllib.parse import urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
-from ..functions.shared import shared_folder
 from .extract import SRCSET, join_srcset, join_url, parse_srcset
 
 _ATTR = re.compile(r"""(?i)(\s(?:src|href|poster|data|action)\s*=\s*)(["'])([^"']*)\2""")
@@ -172,25 +171,58 @@ def mark_frames(captures: DataFrame, frames: DataFrame) -> DataFrame:
     return captures.select("capture_id", "html").join(held, "capture_id", "left").mapInPandas(run, "capture_id long, html string")
 
 
+def circular(edges: list[tuple[str, str]]) -> list[bool]:
+    """Which edges (from, to) of a graph lie on a cycle: those within a strongly connected part. Linear in the edges, however deep they lead."""
+    after: dict[str, list[str]] = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    seen: dict[str, int] = {}  # order in which nodes are met
+    low: dict[str, int] = {}  # the earliest open node that a node leads back to
+    part: dict[str, int] = {}
+    open_: list[str] = []
+    for root in after:
+        if root in seen:
+            continue
+        way = [(root, iter(after[root]))]
+        seen[root] = low[root] = len(seen)
+        open_.append(root)
+        while way:
+            node, rest = way[-1]
+            for to in rest:
+                if to not in seen:
+                    seen[to] = low[to] = len(seen)
+                    open_.append(to)
+                    way.append((to, iter(after.get(to, ()))))
+                    break
+                if to not in part:
+                    low[node] = min(low[node], seen[to])
+            else:
+                way.pop()
+                if way:
+                    low[way[-1][0]] = min(low[way[-1][0]], low[node])
+                if low[node] == seen[node]:
+                    while node not in part:
+                        part[open_.pop()] = seen[node]
+    return [part[a] == part[b] for a, b in edges]
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _circular(parents: pd.Series, children: pd.Series) -> pd.Series:
+    return pd.Series([circular(list(zip(p, c, strict=True))) for p, c in zip(parents, children, strict=True)])
+
+
 def resolve_frame_tree(frames: DataFrame, prefix: Column) -> DataFrame:
-    """frames (capture_id, key, url, html) whose nested frame tags point at the archived child; a tag that would close a cycle keeps its source.
+    """frames (capture_id, key, url, html) whose nested frame tags point at the archived child; a tag that is part of a cycle keeps its source.
 
-    Edges are keys found in html. What a key reaches is doubled in length by a join until no new pair is found (written tables between
-    the rounds), so cycles of any length are seen after as many rounds as the logarithm of the longest path.
+    Edges are keys found in html, without the html. A capture is one request of at most 32 MiB, so its edges are looked at together, in
+    one pass that is linear in them.
     """
     keys = F.regexp_extract_all("html", F.lit(r"""data-snapweave-frame-key\s*=\s*["']([^"']*)["']"""), 1)
     edges = frames.select("capture_id", F.col("key").alias("parent"), F.explode(F.array_distinct(keys)).alias("child"))
     edges = edges.join(frames.select("capture_id", F.col("key").alias("child"), F.col("url").alias("child_url")), ["capture_id", "child"])
-    shared_folder(frames.sparkSession)  # where checkpoints go
-    reach, known = edges.select("capture_id", F.col("parent").alias("start"), F.col("child").alias("at")).distinct().checkpoint(), -1
-    while (n := reach.count()) != known:
-        known = n
-        step = reach.select("capture_id", F.col("start").alias("at"), F.col("at").alias("next"))
-        more = reach.join(step, ["capture_id", "at"]).select("capture_id", "start", F.col("next").alias("at"))
-        reach = reach.unionByName(more).distinct().checkpoint()
-    back = reach.select("capture_id", F.col("start").alias("child"), F.col("at").alias("parent"))
-    found = edges.select("capture_id", "parent", "child").join(back, ["capture_id", "parent", "child"], "left_semi")
-    good = edges.join(found.distinct(), ["capture_id", "parent", "child"], "left_anti")
+    whole = edges.where("parent is not null").groupBy("capture_id").agg(F.collect_list(F.struct("parent", "child", "child_url")).alias("e"))
+    marked = whole.select("capture_id", F.explode(F.arrays_zip("e", _circular(F.col("e.parent"), F.col("e.child")).alias("on_cycle"))).alias("m"))
+    good = marked.where("not m.on_cycle").select("capture_id", "m.e.*")
     held = good.groupBy("capture_id", F.col("parent").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("child", F.concat(prefix, F.col("child_url"))))).alias("to"))
 
     @F.pandas_udf(StringType())
