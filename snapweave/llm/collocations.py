@@ -16,7 +16,7 @@ from .scratch import Scratch
 from .words import _LETTER, hash_runs, mix, pieces, runs, text_bytes, trimmed
 
 #: Words of the longest phrase, bytes of text that are parted into words together, and suffixes that are sorted together (about).
-DEPTH, TOGETHER, EACH = 4, 8 << 20, 2_000_000
+DEPTH, TOGETHER, EACH = 4, 8 << 20, 1_000_000
 #: A prefix that starts a SHARE-th of all suffixes is routed by one word more. So there are at most 2 * SHARE of each length.
 SHARE = 1 << 16
 _BREAK = np.zeros(256, bool)
@@ -52,10 +52,7 @@ def _suffixes(data: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, np.ndarra
         return pa.array([], pa.large_binary()), np.zeros(0, np.uint64), np.zeros((0, DEPTH), np.int64), np.zeros(0, np.int64)
     breaks = np.append(0, np.cumsum(_BREAK[data]))
     piece = breaks[starts] + np.searchsorted(begins, starts, "right")
-    inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
-    flat = _LOWER[data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]]
+    flat = _LOWER[data[~_GAP[data]]]
     upto = np.append(0, np.cumsum(ends - starts))
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(flat)]).dictionary_encode()
     code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -65,16 +62,11 @@ def _suffixes(data: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, np.ndarra
     rows[:, 0] = code
     for k in range(1, DEPTH):
         rows[:-k, k] = np.where(piece[k:] == piece[:-k], code[k:], -1) if k < len(code) else -1
-    bits = max(1, int(len(words.dictionary)).bit_length())
-    if bits * DEPTH <= 63:
-        packed = rows[:, 0]
-        for k in range(1, DEPTH):
-            packed = packed << bits | (rows[:, k] + 1)
-        packed, counts = np.unique(packed, return_counts=True)
-        rows = np.stack([packed >> bits * (DEPTH - 1 - k) & ((1 << bits) - 1) for k in range(DEPTH)], axis=1)
-        rows[:, 1:] -= 1
-    else:
-        rows, counts = np.unique(rows, axis=0, return_counts=True)
+    front, back = rows[:, 0] << 32 | (rows[:, 1] + 1), rows[:, 2] + 1 << 32 | (rows[:, 3] + 1)
+    order = np.lexsort((back, front))
+    front, back = front[order], back[order]
+    first = np.flatnonzero(np.append(True, (front[1:] != front[:-1]) | (back[1:] != back[:-1])))
+    rows, counts = rows[order[first]], np.diff(np.append(first, len(order)))
     return words.dictionary, hashes, rows, counts
 
 
@@ -101,17 +93,30 @@ def _words_and_hot(min_share: float):
                 continue
             n = np.bincount(rows[:, 0], counts, len(words)).astype(np.int64)
             out = [(words.cast(pa.large_string()).cast(pa.string()), np.zeros(len(words), np.int64), n, 1)]
-            for depth, prefix in enumerate(_routes(lang, hashes, rows)[1:-1], 2):
-                use, inverse = np.unique(prefix[rows[:, 1] >= 0], return_inverse=True)
-                total = np.bincount(inverse, counts[rows[:, 1] >= 0], len(use)).astype(np.int64)
-                hot = total >= max(2, counts.sum() * min_share)
-                out.append((pa.nulls(int(hot.sum()), pa.string()), use[hot].view(np.int64), total[hot], depth))
+            new = np.append(True, rows[1:, 0] != rows[:-1, 0])
+            for depth in (2, 3):  # suffixes are sorted, so those of a prefix are side by side
+                new[1:] |= rows[1:, depth - 1] != rows[:-1, depth - 1]
+                first = np.flatnonzero(new)
+                total = np.add.reduceat(counts, first)
+                hot = (total >= max(2, counts.sum() * min_share)) & (rows[first, 1] >= 0)
+                prefix = _routes(lang, hashes, rows[first[hot]])[depth - 1]
+                out.append((pa.nulls(int(hot.sum()), pa.string()), prefix.view(np.int64), total[hot], depth))
             for word, prefix, f, depth in out:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(np.full(len(f), depth, np.int32)), word, pa.array(prefix), pa.array(f)], schema=schema)
 
     return run
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the greatest needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes([kind.itemsize]) + numbers.astype(kind.newbyteorder("<")).tobytes()
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
 def _dealt(buckets: int, hot: dict[int, np.ndarray]):
     """Suffixes of at least two words, dealt to (bucket): words, codes, counts, and how many words route a suffix."""
     names = ["bucket", "lang", "words", "codes", "counts", "routed"]
@@ -126,22 +131,24 @@ def _dealt(buckets: int, hot: dict[int, np.ndarray]):
             prefixes = _routes(lang, hashes, rows)
             routed, by = np.full(len(rows), 2, np.uint8), prefixes[1].copy()
             for depth in (2, 3):
-                deeper = (routed == depth) & np.isin(prefixes[depth - 1], hot[depth])
+                if not len(hot[depth]):
+                    continue
+                at = np.minimum(np.searchsorted(hot[depth], prefixes[depth - 1]), len(hot[depth]) - 1)
+                deeper = (routed == depth) & (hot[depth][at] == prefixes[depth - 1])
                 routed[deeper], by[deeper] = depth + 1, prefixes[depth][deeper]
             bucket = (by % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 at = order[low:high]
-                use, local = np.unique(rows[at], return_inverse=True)
-                local = local.reshape(-1, DEPTH)
-                if use[0] >= 0:  # codes begin at 1: 0 is the end of a piece
-                    local = local + 1
-                else:
-                    use = use[1:]
+                part = rows[at].T + 1  # 0 is the end of a piece
+                used = np.zeros(len(words) + 1, bool)
+                used[part] = True
+                used[0] = False
+                use, local = np.flatnonzero(used) - 1, np.cumsum(used)[part] * (part > 0)
                 own = words.take(pa.array(use)).cast(pa.large_string()).cast(pa.string())
                 own = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (local.astype("<u4").T.copy(), counts[at].astype("<i8"), routed[at])]
+                blobs = [pa.array([x], pa.binary()) for x in (_narrow(local), _narrow(counts[at]), routed[at].tobytes())]
                 yield pa.RecordBatch.from_arrays([pa.array([int(bucket[at[0]])]), pa.array([lang]), own, *blobs], names)
 
     return run
@@ -187,9 +194,9 @@ def _counted(least: int):
             shift = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
             codes = []
             for k, blob in enumerate(rows.column("codes").to_pylist()):
-                local = np.frombuffer(blob, "<u4").reshape(DEPTH, -1).astype(np.int64)
+                local = _wide(blob).reshape(DEPTH, -1)
                 codes.append(np.where(local > 0, at[np.where(local > 0, local - 1 + shift[k], len(at) - 1)], 0).astype(np.int32))
-            weight = np.concatenate([np.frombuffer(b, "<i8") for b in rows.column("counts").to_pylist()])
+            weight = np.concatenate([_wide(b) for b in rows.column("counts").to_pylist()])
             routed = np.concatenate([np.frombuffer(b, np.uint8) for b in rows.column("routed").to_pylist()])
             codes = np.concatenate(codes, axis=1)
             found = _quicksorted(codes, weight, routed, least)
