@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from ..operators import extract, logs, mime, resources, security
+from ..operators import extract, logs, mime, networks, resources, security
 from .fixtures import DOMAIN_SQL
 from .registry import ntz, query
 
@@ -255,6 +255,16 @@ def classify_fetch_url(t):
     return t.events.select("event_id", security.classify_fetch_url(url, ips).alias("verdict"))
 
 
+@query("""SELECT event_id, CASE WHEN user_id % 32 > 24 THEN 'ten' WHEN event_id % 8 = user_id % 32 % 8 THEN 't' || user_id % 32 ELSE 'n' || user_id % 32 END AS label FROM events""")
+def network_of_address(t):
+    """Addresses, half of them written as IPv6, in networks of four sizes made of the nations."""
+    ip = F.expr("concat(if(event_id % 2 = 0, '::FFFF:', ''), '10.', user_id % 32, '.', event_id % 8, '.', event_id % 256)")
+    k = F.col("n_nationkey").cast("string")
+    own = F.array(F.struct(F.concat(F.lit("10."), k, F.lit(".0.0/16")).alias("network"), F.concat(F.lit("n"), k).alias("label")), F.struct(F.concat(F.lit("10."), k, F.lit("."), (F.col("n_nationkey") % 8).cast("string"), F.lit(".0/24")).alias("network"), F.concat(F.lit("t"), k).alias("label")), F.struct(F.lit("10.0.0.0/8").alias("network"), F.lit("ten").alias("label")), F.struct(F.lit("::/0").alias("network"), F.lit("all").alias("label")))
+    nets = t.read("nation").select(F.explode(own).alias("n")).select("n.*").distinct()
+    return networks.locate(t.events.select("event_id", ip.alias("ip")), "ip", nets).select("event_id", "label")
+
+
 @query("SELECT event_id, [true, false, false, true, false, true][event_id % 6 + 1] AS safe FROM events")
 def safe_path(t):
     path = F.expr("element_at(array(concat('a/b/', event_id), '/etc/passwd', '../x', 'a/../b', 'a/../../b', './a//b'), cast(event_id % 6 as int) + 1)")
