@@ -10,8 +10,9 @@ from ..functions.registry import register_functions
 from ..functions.shared import shared_folder
 from ..sources import files, logfiles, store
 from ..streaming import jobs
+from . import content_queries  # noqa: F401
 from .fixtures import BURSTS, DOMAIN_SQL
-from .registry import ntz, query
+from .registry import ORACLE_SQL, ntz, query
 
 
 @query("SELECT capture_id, url, title, sha256(html) AS content_hash FROM captures WHERE capture_id % 3 != 0")
@@ -135,6 +136,17 @@ def sql_functions(t):
     return t.pages_raw.select("page_id", F.expr("extract_domain(url)").alias("domain"), F.expr("guess_type(url)").alias("type"), F.expr("is_fetchable(url)").alias("fetchable"))
 
 
+@query(name="sql_extract_resources")
+def sql_extract_resources(t):
+    """References of a page as a lateral table in SQL: the rows of the operator of that name."""
+    register_functions(t.spark)
+    t.rich.createOrReplaceTempView("rich_pages")
+    return t.spark.sql("SELECT p.page_id, r.url AS resource_url, r.type FROM rich_pages p, LATERAL extract_resources(p.html, p.url) r")
+
+
+ORACLE_SQL["sql_extract_resources"] = ORACLE_SQL["extract_resources"]
+
+
 def _arriving(t, rows):
     """Rows as files that arrive in a folder."""
     path = f"{shared_folder(t.spark)}/arrivals-{uuid.uuid4().hex}"
