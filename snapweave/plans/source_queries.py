@@ -34,12 +34,12 @@ def resource_path(t):
     return t.snapshots.select("id", store.resource_path(F.col("content_hash"), kind).alias("path"))
 
 
-@query("SELECT id, strlen(html) AS bytes, CAST(captured_at AS DATE) AS capture_date FROM snapshots WHERE CAST(captured_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+@query("SELECT id, strlen(html) AS bytes, CAST(captured_at AS DATE) AS capture_date FROM snapshots WHERE CAST(captured_at AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-20'")
 def html_snapshots(t):
     """The html store written, and a range of its days read."""
     path = _root(t)
     store.write_html_snapshots(t.snapshots.select("id", "url", "captured_at", "html"), path)
-    return store.read_html_snapshots(t.spark, path, "2024-01-05", "2024-01-20").select("id", F.octet_length("html").alias("bytes"), "capture_date")
+    return store.read_html_snapshots(t.spark, path, "2024-01-02", "2024-01-20").select("id", F.octet_length("html").alias("bytes"), "capture_date")
 
 
 @query("SELECT sha256(html) AS content_hash, any_value(strlen(html)) AS bytes FROM pages GROUP BY 1")
@@ -97,13 +97,13 @@ def log_files_range(t):
     return logfiles.range_of_files(t.spark, _log_files(t), after=500, limit=2000).select("file", "line", "start", F.col("end").alias("stop"), "has_more_before", "has_more_after")
 
 
-@query("SELECT id, 'html/' || strftime(captured_at, '%Y/%m/%d/') || CAST(floor(epoch_us(captured_at) / 1000000) AS BIGINT) || '_' || substr(sha256(url || strftime(captured_at, '%Y-%m-%d %H:%M:%S.%f')), 1, 16) || '.html' AS html_path, sha256(html) AS hash FROM snapshots WHERE CAST(captured_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+@query("SELECT id, 'html/' || strftime(captured_at, '%Y/%m/%d/') || CAST(floor(epoch_us(captured_at) / 1000000) AS BIGINT) || '_' || substr(sha256(url || strftime(captured_at, '%Y-%m-%d %H:%M:%S.%f')), 1, 16) || '.html' AS html_path, sha256(html) AS hash FROM snapshots WHERE CAST(captured_at AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-20'")
 def html_files(t):
     """The html store in its own layout, written twice, and a range of its days read."""
     path, rows = _root(t), t.snapshots
     store.write_html_files(rows.where("id % 2 = 0"), path)
     store.write_html_files(rows, path)
-    found = store.read_html_files(t.spark, path, "2024-01-05", "2024-01-20")
+    found = store.read_html_files(t.spark, path, "2024-01-02", "2024-01-20")
     named = rows.select("id", store.html_path(F.col("url"), F.col("captured_at")).alias("html_path"))
     return named.join(found, "html_path").select("id", "html_path", F.sha2("html", 256).alias("hash"))
 
