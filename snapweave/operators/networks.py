@@ -16,19 +16,24 @@ def _hextets(text: Column) -> Column:
     return F.when(text == "", "").otherwise(F.array_join(parts, ""))
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def address_bits(ip: Column) -> Column:
     """An address as 128 digits 0 and 1, an IPv4 one as ::ffff:a.b.c.d; null for what is no address. Zones are left out, case is no matter."""
-    low = F.regexp_replace(F.lower(F.trim(ip)), "%.*$", "")
     octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     dotted = rf"{octet}(\.{octet}){{3}}"
-    whole = F.when(low.rlike(rf"^{dotted}$"), F.concat(F.lit("::ffff:"), low)).when(low.rlike(rf"^[0-9a-f:]*(:{dotted})?$"), low)
-    sides = F.split(whole, "::")
-    left, right = _hextets(F.get(sides, F.lit(0))), _hextets(F.get(sides, F.lit(1)))
-    gap = 32 - F.length(left) - F.length(right)
-    digits = F.when(F.size(sides) == 1, left).when((F.size(sides) == 2) & (gap >= 4), F.concat(left, F.repeat(F.lit("0"), gap), right))
-    fits = whole.rlike(r"^[0-9a-f]{0,4}(:[0-9a-f]{0,4})*(:[\d.]+)?$") & ~whole.rlike(":::|^:[^:]|[^:]:$") & digits.rlike("^[0-9a-f]{32}$")
-    half = lambda at: F.lpad(F.conv(F.substring(digits, at, 16), 16, 2), 64, "0")
-    return F.when(fits, F.concat(half(1), half(17)))
+    half = lambda digits, at: F.lpad(F.conv(F.substring(digits, at, 16), 16, 2), 64, "0")
+
+    def bits(whole: Column) -> Column:
+        fits = whole.rlike(r"^[0-9a-f]{0,4}(:[0-9a-f]{0,4})*(:[\d.]+)?$") & ~whole.rlike(":::|^:[^:]|[^:]:$")
+        joined = lambda sides: _once(F.transform(sides, _hextets), lambda s: F.when(F.size(s) == 1, s[0]).when((F.size(s) == 2) & (F.length(s[0]) + F.length(s[1]) <= 28), F.concat(s[0], F.repeat(F.lit("0"), 32 - F.length(s[0]) - F.length(s[1])), s[1])))
+        return F.when(fits, _once(joined(F.split(whole, "::")), lambda digits: F.when(digits.rlike("^[0-9a-f]{32}$"), F.concat(half(digits, 1), half(digits, 17)))))
+
+    whole = lambda low: F.when(low.rlike(rf"^{dotted}$"), F.concat(F.lit("::ffff:"), low)).when(low.rlike(rf"^[0-9a-f:]*(:{dotted})?$"), low)
+    return _once(F.regexp_replace(F.lower(F.trim(ip)), "%.*$", ""), lambda low: _once(whole(low), bits))
 
 
 def network_prefix(network: Column) -> Column:
