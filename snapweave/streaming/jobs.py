@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from ..operators import ingest, logs, resources
+from ..operators import logs, resources
 from ..sources import logfiles
 
 
+def with_state_store(spark: SparkSession) -> None:
+    """Have the session's streams keep their state in RocksDB, which state with timers and lifetimes needs; a provider that is set is left as it is."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(key):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_available(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
     """Run a stream over what its source has now, and read all that it has written under root.
 
@@ -72,26 +82,49 @@ def stream_recent_capture(captures: DataFrame, within: str) -> DataFrame:
     return captures.withWatermark("captured_at", within).dropDuplicatesWithinWatermark(["url"])
 
 
-def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    at, now = state.get if state.exists else (-1, "pending")
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for seq, event in zip(rows["seq"], rows["event"], strict=True):
-        if seq <= at:
-            continue  # a later task has been seen
-        at = int(seq)
-        if event in ("created", "retried"):
-            now = "pending"
-        elif event in ("finalized", "updated"):
-            now = "ready"
-        elif event == "failed" and now == "pending":
-            now = "failed"
-    state.update((at, now))
-    yield pd.DataFrame({"page_id": [key[0]], "seq": [at], "snapshot_state": [now]})
+class _Lifecycle(StatefulProcessor):
+    """The highest sequence of each kind of a page's events, from which its state follows in whatever order they come."""
+
+    def __init__(self, keep: timedelta) -> None:
+        self.keep = keep // timedelta(milliseconds=1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.page = handle, handle.getValueState("page", "made long, ready long, failed long, ends long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        *seen, ends = self.page.get() if self.page.exists() else (None,) * 4
+        later = ends or 0
+        for part in rows:
+            later = max(later, int(part["ms"].max()) + self.keep)
+            for k, top in part.groupby("kind")["seq"].max().items():
+                seen[k] = int(top) if seen[k] is None else max(seen[k], int(top))
+        if later != ends:
+            if ends is not None:
+                self.handle.deleteTimer(ends)
+            self.handle.registerTimer(later)
+        self.page.update((*seen, later))
+        made, ready, failed = (-math.inf if x is None else x for x in seen)
+        now = "ready" if ready > made else "failed" if failed > max(made, ready) else "pending"
+        yield pd.DataFrame({"page_id": [key[0]], "seq": [max(x for x in seen if x is not None)], "snapshot_state": [now]})
 
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.page.clear()
+        return iter(())
 
-def stream_lifecycle(events: DataFrame) -> DataFrame:
-    """page_id, seq and state after each batch of events (page_id, seq, event); events of a sequence already passed are dropped."""
-    return events.groupBy("page_id").applyInPandasWithState(_lifecycle, "page_id long, seq long, snapshot_state string", "seq long, state string", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_lifecycle(events: DataFrame, delay: str = "1 hour", keep: timedelta = timedelta(days=1)) -> DataFrame:
+    """page_id, seq and state of the pages of each batch of events (page_id, seq, event, ts), in output mode update; the row of a page's highest seq, the latest of these, holds.
+
+    Events may come in any order that the watermark's delay allows: a page's state is what fold_lifecycle makes of all that has come. Events of other names, or without a page, seq or ts, change
+    nothing. The state of a page goes when the watermark has passed its last event by `keep`; what comes after that is judged alone.
+    """
+    kind = F.when(F.col("event").isin("created", "retried"), 0).when(F.col("event").isin("finalized", "updated"), 1).when(F.col("event") == "failed", 2)
+    rows = events.withWatermark("ts", delay).select("page_id", "seq", "ts", F.unix_millis("ts").alias("ms"), kind.alias("kind")).dropna()
+    with_state_store(events.sparkSession)
+    return rows.groupBy("page_id").transformWithStateInPandas(_Lifecycle(keep), "page_id long, seq long, snapshot_state string", "Update", "EventTime")
 
 
 def fold_lifecycle(events: DataFrame) -> DataFrame:
@@ -101,17 +134,55 @@ def fold_lifecycle(events: DataFrame) -> DataFrame:
     return events.groupBy("page_id").agg(F.max("seq").alias("seq"), order.alias("e")).select("page_id", "seq", F.aggregate("e", F.lit("pending"), step).alias("snapshot_state"))
 
 
-def stream_change_bursts(changes: DataFrame, root: str, least: int = 10, delay: str = "10 seconds") -> DataFrame:
-    """Emits of change_bursts over a stream of changes (page_id, ts, hidden).
-
-    Ticks are summed on the stream and written once the watermark has passed them; those still open wait in its state for a later run with the same root. The walk
-    runs over the written ticks, of which a page has few.
+class _Bursts(StatefulProcessor):
+    """Walks over a page's ticks as the watermark closes them; each batch brings later ones than those before."""
+
+    def __init__(self, least: int, life: timedelta, forget: timedelta) -> None:
+        self.least, self.life, self.forget = least, life // timedelta(microseconds=1), forget // timedelta(milliseconds=1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.page = handle, handle.getValueState("page", "first long, held long, ends long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        ticks = sorted((int(t), int(n), int(f)) for part in rows for t, n, f in part[["tick", "changes", "first"]].itertuples(index=False))
+        first, held, ends = self.page.get() if self.page.exists() else (ticks[0][2], 0, None)
+        out = []
+        for tick, n, _ in ticks:
+            if tick < first + self.life and n:
+                held += n
+                if held >= self.least:
+                    out.append((key[0], tick, held))
+                    held = 0
+        later = max(first + self.life, ticks[-1][0]) // 1000 + self.forget
+        if later != ends:
+            if ends is not None:
+                self.handle.deleteTimer(ends)
+            self.handle.registerTimer(later)
+        self.page.update((first, held, later))
+        if out:
+            yield pd.DataFrame(out, columns=["page_id", "tick", "changes"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.page.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_change_bursts(changes: DataFrame, least: int = 10, delay: str = "10 seconds", life: timedelta = timedelta(minutes=5), forget: timedelta = timedelta(0)) -> DataFrame:
+    """The stream of emits of change_bursts (page_id, tick, changes) over a stream of changes (page_id, ts, hidden), in output mode append.
+
+    Ticks are summed first, with partial sums before the shuffle, so a page with very many changes costs the walk one row for each tick. Changes may come in any order that the watermark's
+    delay allows; an emit leaves the stream when the watermark has passed its tick. A page's state goes when the watermark has passed its life, or its last tick
+    if that is later, by `forget`; a page that changes after that is a new one. Changes without a page or time are left out.
     """
-    tick = F.window("ts", "5 seconds").alias("w")
-    ticks = changes.withWatermark("ts", delay).groupBy("page_id", tick).agg(F.count_if(~F.col("hidden")).alias("changes"), F.min("ts").alias("first"))
-    closed = run_available(ticks.select("page_id", F.col("w.start").alias("tick"), "changes", "first"), root)
-    first = closed.groupBy("page_id").agg(F.min("first").alias("first"))
-    return ingest.bursts_of_ticks(closed.drop("first").join(first, "page_id"), least)
+    rows = changes.where("page_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
+    ticks = rows.groupBy("page_id", F.window("ts", "5 seconds").alias("w")).agg(F.count_if(~F.col("hidden")).alias("changes"), F.min("ts").alias("first"))
+    ticks = ticks.select("page_id", F.window_time("w").alias("at"), F.unix_micros("w.start").alias("tick"), "changes", F.unix_micros("first").alias("first"))
+    with_state_store(changes.sparkSession)
+    out = ticks.groupBy("page_id").transformWithStateInPandas(_Bursts(least, life, forget), "page_id long, tick long, changes long", "Append", "EventTime")
+    return out.select("page_id", F.timestamp_micros("tick").alias("tick"), "changes")
 
 
 def stream_log_follow(spark: SparkSession, path: str, keyword: str | None = None) -> DataFrame:

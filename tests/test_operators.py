@@ -307,7 +307,7 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert jobs.run_available(jobs.stream_recent_capture(stream_of(spark, tmp_path, "r", aware, 1), "1 hour"), str(tmp_path / "o")).count() == 4
     assert jobs.run_available(jobs.first_of_content(stream_of(spark, tmp_path, "d", aware, 1)), str(tmp_path / "o2")).count() == 12
 
-    events = spark.createDataFrame([(k % 5, k, ("created", "failed", "finalized", "retried", "updated")[(k * 7 + k // 5) % 5]) for k in range(50)], "page_id long, seq long, event string")
+    events = spark.createDataFrame([(k % 5, k, ("created", "failed", "finalized", "retried", "updated")[(k * 7 + k // 5) % 5], T0 + dt.timedelta(seconds=k)) for k in range(50)], "page_id long, seq long, event string, ts timestamp")
     stream, last = jobs.stream_lifecycle(stream_of(spark, tmp_path, "e", events, 1)), {}
     query = stream.writeStream.outputMode("update").foreachBatch(lambda b, _: last.update({r.page_id: (r.seq, r.snapshot_state) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -328,7 +328,7 @@ def test_stream_joins_and_bursts(spark, tmp_path):
     assert got[1] == 12 and got.get(2) is None and got.get(3) is None
     changes = [(1, at(s), False) for s in (1, 2, 3, 6, 7, 8, 9, 11, 12, 13, 14, 15)] + [(9, at(10000), False)]
     df = spark.createDataFrame(changes, "page_id long, ts timestamp, hidden boolean")
-    stream = jobs.stream_change_bursts(stream_of(spark, tmp_path, "ch", df, 1), str(tmp_path / "b"), 5)
+    stream = jobs.run_available(jobs.stream_change_bursts(stream_of(spark, tmp_path, "ch", df, 1), 5), str(tmp_path / "b"))
     assert {tuple(r) for r in stream.collect()} == {tuple(r) for r in ingest.change_bursts(df.where("page_id = 1").withColumn("ts", F.col("ts").cast("timestamp_ntz")), 5).collect()}
     (tmp_path / "lg").mkdir()
     (tmp_path / "lg/archive-2024-01-01.001.log").write_text("one\nError two\n")
@@ -362,7 +362,7 @@ def test_bursts_count_a_page_s_life_from_hidden_changes_too(spark, tmp_path):
     df = spark.createDataFrame(changes, "page_id long, ts timestamp, hidden boolean")
     want = {tuple(r) for r in ingest.change_bursts(df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).collect()}
     assert {t.minute * 60 + t.second for _, t, _ in want} == {295}
-    assert {tuple(r) for r in jobs.stream_change_bursts(stream_of(spark, tmp_path, "ch", df, 1), str(tmp_path / "b")).collect()} == want
+    assert {tuple(r) for r in jobs.run_available(jobs.stream_change_bursts(stream_of(spark, tmp_path, "ch", df, 1)), str(tmp_path / "b")).collect()} == want
 
 
 def test_sql_functions(spark):
