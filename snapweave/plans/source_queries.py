@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import register_functions
 from ..functions.shared import shared_folder
-from ..sources import files, logfiles, store
+from ..operators import ingest
+from ..sources import buckets, files, logfiles, store
 from ..streaming import jobs
-from . import content_queries  # noqa: F401
+from . import catalog_queries, content_queries  # noqa: F401
 from .fixtures import BURSTS, DOMAIN_SQL
 from .registry import ORACLE_SQL, ntz, query
 
@@ -122,6 +123,29 @@ def catalog_pages(t):
     return store.conform(t.snapshots, "pages").select("id", "url", "domain", "snapshot_state", "body_text")
 
 
+@query()
+def merge_stored_pages(t):
+    """apply_updates on a stored table in buckets of url, in two merges; of the first only buckets of its urls are rewritten."""
+    path, updates = _root(t), catalog_queries._updates(t)
+    buckets.create_bucketed(t.snapshots, path, buckets=64)
+    for part in ("id % 10 = 0", "id % 10 != 0"):
+        buckets.merge_bucketed(updates.where(part), path, lambda rows, new: ingest.apply_updates(rows, new)[0])
+    return buckets.read_bucketed(t.spark, path).select("id", "title", "content_hash", "html_path", "body_text", "snapshot_state", "last_visited")
+
+
+@query()
+def touch_stored_pages(t):
+    """touch_pages on a stored table in buckets of url."""
+    path = _root(t)
+    buckets.create_bucketed(t.snapshots, path, buckets=64)
+    visits = t.snapshots.where("id % 2 = 0").select("id", "url", ntz("2024-01-20").alias("last_visited"), F.when(F.col("id") % 4 == 0, "x").alias("body_text"))
+    buckets.merge_bucketed(visits, path, ingest.touch_pages)
+    return buckets.read_bucketed(t.spark, path).select("id", "last_visited", "body_text")
+
+
+ORACLE_SQL["merge_stored_pages"], ORACLE_SQL["touch_stored_pages"] = ORACLE_SQL["apply_updates"], ORACLE_SQL["touch_pages"]
+
+
 @query("SELECT html_path, page_id FROM deletion_queue")
 def deletion_queue(t):
     root = f"{shared_folder(t.spark)}/queue"
