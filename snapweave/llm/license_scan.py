@@ -13,6 +13,7 @@ of the three-word grams of a template of the predicted family.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,33 +87,51 @@ UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
 
 
-def paragraphs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, line from 0, word hashes, where each line's words begin and the last end, number of each line's paragraph) of all lines with words.
+def _back(data: np.ndarray, first: int, low: int) -> int:
+    """Where the LINES - 1 lines before `low`, a line's begin, start; not before `first`."""
+    width = 1 << 16
+    while True:
+        begin = max(first, low - width)
+        ends = np.flatnonzero(data[begin:low] == 10)
+        if len(ends) >= LINES:
+            return begin + int(ends[-LINES]) + 1
+        if begin == first:
+            return first
+        width *= 4
 
-    A text of over a MiB comes in several parts, cut at line ends; a notice across such a cut is judged in two parts.
+
+def paragraphs(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of all lines with words: (row, line from 0, word hashes, where each line's words begin and the last end, number of each line's paragraph, lines that have come before, places of the words' first bytes, places past their last).
+
+    A text of over a MiB comes in several parts, cut at line ends. A part begins with the LINES - 1 lines before it once more, so that every window lies whole in
+    one part; windows of nothing but lines that have come before are left out by windows().
     """
     data, offsets = text_bytes(column)
     ahead: dict[int, int] = {}
     for row, stop, low, high in _line_pieces(data, offsets):
-        part = data[low:high]
-        begins = np.clip(offsets[row : stop + 1] - low, 0, high - low)
+        back = _back(data, int(offsets[row]), low) if low > offsets[row] else low
+        part = data[back:high]
+        begins = np.clip(offsets[row : stop + 1] - back, 0, high - back)
         newline = np.flatnonzero(part == 10) + 1
         starts, ends = runs(part, _PART[part], np.concatenate([begins[:-1], newline[newline < len(part)]]))
         own = np.searchsorted(begins, starts, "right") - 1
-        line = np.searchsorted(newline, starts, "right") - np.searchsorted(newline, begins[:-1], "right")[own] + ahead.get(row, 0) * (own == 0)
+        again = int(np.searchsorted(newline, low - back, "right"))  # lines of the part before
+        line = np.searchsorted(newline, starts, "right") - np.searchsorted(newline, begins[:-1], "right")[own] + (ahead.get(row, 0) - again) * (own == 0)
         if stop == row + 1:
-            ahead[row] = ahead.get(row, 0) + len(newline)
+            ahead[row] = ahead.get(row, 0) + len(newline) - again
         if len(starts):
             cut = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (own[1:] != own[:-1])))
             row_of, line = row + own[cut], line[cut]
             fresh = np.append(True, (row_of[1:] != row_of[:-1]) | (line[1:] != line[:-1] + 1))
-            yield row_of, line, hash_runs(part, starts, ends), np.append(cut, len(starts)), np.cumsum(fresh)
+            old = int(np.searchsorted(starts[cut], low - back))
+            yield row_of, line, hash_runs(part, starts, ends), np.append(cut, len(starts)), np.cumsum(fresh), old, back + starts, back + ends
 
 
-def windows(begins: np.ndarray, paragraph: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last word (past it), first line and number of lines of all windows."""
+def windows(begins: np.ndarray, paragraph: np.ndarray, old: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word (past it), first line and number of lines of all windows that hold more than the `old` first lines."""
     size = np.diff(begins)
-    short, long = np.flatnonzero(size <= WIDE), np.flatnonzero(size > WIDE)
+    own = np.arange(len(size)) >= old
+    short, long = np.flatnonzero((size <= WIDE) & own), np.flatnonzero((size > WIDE) & own)
     out = [(begins[short], begins[short + 1], short, np.ones(len(short), np.int64))]
     for k in long.tolist():
         at = np.append(np.arange(begins[k], begins[k + 1] - WIDE, STRIDE), begins[k + 1] - WIDE)
@@ -121,6 +140,7 @@ def windows(begins: np.ndarray, paragraph: np.ndarray) -> tuple[np.ndarray, np.n
         at = np.flatnonzero((paragraph[n - 1 :] == paragraph[: len(size) - n + 1]) & (begins[n:] - begins[: len(begins) - n] <= WIDE))
         if not len(at):
             break
+        at = at[at + n > old]
         out.append((begins[at], begins[at + n], at, np.full(len(at), n)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
@@ -146,7 +166,7 @@ def _buckets(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    found = [(w, b) for _, _, w, b, _ in paragraphs(pa.array([t.replace("\n", " ") for t in texts]))]
+    found = [(w, b) for _, _, w, b, *_ in paragraphs(pa.array([t.replace("\n", " ") for t in texts]))]
     words = np.concatenate([w for w, _ in found])
     sizes = np.concatenate([np.diff(b) for _, b in found])
     return words, np.append(0, np.cumsum(sizes))
@@ -220,8 +240,8 @@ def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS
         """Of each task the windows of least hash that share no gram with a template; a bounded number."""
         best: list[tuple[int, list[int]]] = []
         for batch in batches:
-            for _, _, words, begins, paragraph in paragraphs(batch.column(0)):
-                start, end, _, _ = windows(begins, paragraph)
+            for _, _, words, begins, paragraph, old, _, _ in paragraphs(batch.column(0)):
+                start, end, _, _ = windows(begins, paragraph, old)
                 three = np.append(0, np.cumsum(np.isin(grams(words, _ends_of(begins, paragraph), 3), known)))
                 shared = three[np.maximum(end - 2, start)] > three[start]
                 total = np.append(np.uint64(0), np.cumsum(mix(words, 31), dtype=np.uint64))
@@ -280,6 +300,35 @@ def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS
     return {"weights": weights.astype(np.float32), "bias": bias, "temperature": temperature}
 
 
+def _settled(hits: list[tuple], until: int | None) -> tuple[list[tuple], list[tuple]]:
+    """Of windows (first byte, past the last, order, number of words, row to give) the rows of those that are reported, and windows that later ones from byte `until` on may overlap (None: none come).
+
+    Windows that overlap, directly or by others between, are a run; within it the first in order that overlaps none before it is reported, again and again.
+    """
+    out: list[tuple] = []
+    run: list[tuple] = []
+    reach = -1
+
+    def settle() -> None:
+        taken: list[tuple[int, int]] = []  # in order of place
+        for low, high, _, _, row in sorted(run, key=lambda h: (h[2], h[3], h[0], h[4])):
+            at = bisect_left(taken, (low, high))
+            if (at == 0 or taken[at - 1][1] <= low) and (at == len(taken) or taken[at][0] >= high):
+                taken.insert(at, (low, high))
+                out.append(row)
+
+    for hit in sorted(hits, key=lambda h: h[0]):
+        if hit[0] >= reach:
+            settle()
+            run = []
+        run.append(hit)
+        reach = max(reach, hit[1])
+    if until is not None and reach > until:
+        return out, run
+    settle()
+    return out, []
+
+
 def scan(docs: DataFrame, model: dict, least: float = 0.5, confirm: float = 0.6) -> DataFrame:
     """One row per window that is of a licence family: doc_id, line_no (its first line), n_lines, family, probability, template_share, confirmed.
 
@@ -294,11 +343,20 @@ def scan(docs: DataFrame, model: dict, least: float = 0.5, confirm: float = 0.6)
     bias, temperature = model["bias"], model["temperature"]
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("n_lines", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("template_share", pa.float64()), ("confirmed", pa.bool_())])
 
+    def told(batch: pa.RecordBatch, out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if out:
+            columns = list(zip(*sorted(out), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *(pa.array(c, f.type) for c, f in zip(columns[1:], list(schema)[1:], strict=True))], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.vstack([held.value, np.zeros((1, len(FAMILIES)), np.float32)])  # the last row is for no gram
         for batch in batches:
-            for row, line, words, begins, paragraph in paragraphs(batch.column(1)):
-                start, end, first, lines = windows(begins, paragraph)
+            held_hits: list[tuple] = []
+            for row, line, words, begins, paragraph, old, opens, closes in paragraphs(batch.column(1)):
+                if held_hits:  # no window to come begins before this part
+                    out, held_hits = _settled(held_hits, int(opens[0]))
+                    yield from told(batch, out)
+                start, end, first, lines = windows(begins, paragraph, old)
                 one, two = _buckets(words, _ends_of(begins, paragraph))
                 sums = [np.zeros((len(words) + 1, len(FAMILIES))) for _ in range(2)]
                 for total, bucket in zip(sums, (one, two), strict=True):
@@ -310,20 +368,12 @@ def scan(docs: DataFrame, model: dict, least: float = 0.5, confirm: float = 0.6)
                 chance = np.exp(logits[hits] - logits[hits].max(axis=1, keepdims=True))
                 chance = chance.max(axis=1) / chance.sum(axis=1)
                 hits, chance = hits[chance >= least], chance[chance >= least]
-                found = []
                 for k, p in zip(hits.tolist(), chance.tolist(), strict=True):
                     part, ends = words[start[k] : end[k]], np.array([0, end[k] - start[k]])
                     own = np.concatenate([grams(part, ends, s) for s in (1, 2, 3)])
                     count = np.bincount(template[np.isin(known, own)], minlength=len(sizes)) / np.maximum(sizes, 1)
-                    found.append((-count[family == best[k]].max(), end[k] - start[k], start[k], p, k))
-                taken = np.zeros(len(words), bool)
-                out = []
-                for share, _, _, p, k in sorted(found):
-                    if not taken[start[k] : end[k]].any():
-                        taken[start[k] : end[k]] = True
-                        out.append((row[first[k]], line[first[k]], lines[k], FAMILIES[best[k]], p, -share, -share >= confirm))
-                if out:
-                    columns = list(zip(*sorted(out), strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *(pa.array(c, f.type) for c, f in zip(columns[1:], list(schema)[1:], strict=True))], schema=schema)
+                    share = float(count[family == best[k]].max())
+                    held_hits.append((int(opens[start[k]]), int(closes[end[k] - 1]), -share, int(end[k] - start[k]), (int(row[first[k]]), int(line[first[k]]), int(lines[k]), FAMILIES[best[k]], p, share, share >= confirm)))
+            yield from told(batch, _settled(held_hits, None)[0])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, line_no long, n_lines long, family string, probability double, template_share double, confirmed boolean")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from snapweave.llm import chat_format, components, decontamination, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, sharding, url_filter
+from snapweave.llm import chat_format, components, decontamination, edits, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, sharding, url_filter
 from snapweave.llm.scratch import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -302,6 +302,21 @@ def test_edit_within():
         a, b = ("".join(rng.choice("ab ") for _ in range(rng.randrange(14))) for _ in "ab")
         for most in (0, 2, 5):
             assert line_dedup.edit_within(a, b, most) == (distance(a, b) <= most)
+    near = 0
+    for k in range(1500):  # long lines with words swapped, replaced, dropped or repeated, and letters edited
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(12, 26))]
+        other = list(words)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(other) - 1)
+            kind = rng.randrange(4 if k % 2 else 1)
+            other[at : at + 2] = [[other[at + 1], other[at]], ["zq", other[at + 1]], [other[at]], [other[at], other[at][::-1], other[at + 1]]][kind]
+        a, b = " ".join(words), " ".join(other)
+        exact, most = distance(a, b), edits.most_edits(a, b, 0.8)
+        near += 0.7 * most <= exact <= 1.3 * most
+        for limit in (most, exact, exact - 1):
+            assert line_dedup.edit_within(a, b, limit) == (exact <= limit)
+        assert line_dedup.within([a], [b], 0.8)[0] == (exact <= most)
+    assert near > 300
 
 
 VOCABULARY = {"en": "the and of to in that it was for with his they this have from".split(), "de": "der die und das nicht ein sich mit auf für dem werden über schön".split(), "ru": "и в не на что он как это по но они мы этот быть".split()}
@@ -460,6 +475,47 @@ def test_license_scan_of_wrapped_notices(spark):
     assert sum(r.n_lines > 1 for r in found) >= len(want)
 
 
+def test_license_windows_do_not_depend_on_cuts(monkeypatch):
+    """Texts cut every few lines have the windows of whole texts, each once, with the same lines."""
+    import pyarrow as pa
+
+    from snapweave.llm import words as word_module
+
+    rng = random.Random(8)
+    word = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "x1", "#", "..."]) for _ in range(n))
+    texts = [None, "", "\n\n\n"] + ["\n".join(word(rng.choice([0, 1, 3, 9, 20, 130])) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+
+    def found(size):
+        monkeypatch.setattr(word_module, "PIECE", size)
+        out = []
+        for row, line, hashes, begins, paragraph, old, opens, closes in license_scan.paragraphs(pa.array(texts)):
+            for a, b, k, n in zip(*license_scan.windows(begins, paragraph, old), strict=True):
+                out.append((int(row[k]), int(line[k]), int(n), int(opens[a]), int(closes[b - 1]), hashes[a:b].tobytes()))
+        return sorted(out)
+
+    whole = found(1 << 20)
+    assert len(whole) > 1000 and len(set(whole)) == len(whole)
+    for size in (40, 150, 700, 3000):
+        assert found(size) == whole
+
+
+def test_license_scan_across_the_cuts_of_a_long_text(spark):
+    """A wrapped notice at places around a MiB of a text without blank lines is found whole, and once."""
+    import textwrap
+
+    rng = random.Random(9)
+    notice = "\n".join(textwrap.wrap(license_scan.TEMPLATES["mit"][1], 60))
+    prose = "\n".join(" ".join(words(rng, 12)) for _ in range(15000))[: (1 << 20) + 5000].rsplit("\n", 1)[0]
+    assert len(prose) > 1 << 20
+    rows = []
+    for k, back in enumerate(range(-100, len(notice) + 100, 60)):
+        at = prose.rfind("\n", 0, (1 << 20) - back) + 1
+        rows.append((k, prose[:at] + "\n" + notice + "\n\n" + prose[at : at + 20000], prose[:at].count("\n") + 1))
+    docs = make_docs(spark, [r[:2] for r in rows])
+    got = license_scan.scan(docs, license_scan.train(spark, docs.limit(2), 300)).where("confirmed").collect()
+    assert sorted((r.doc_id, r.line_no, r.n_lines, round(r.template_share, 6)) for r in got) == [(k, line, notice.count("\n") + 1, 1.0) for k, _, line in rows]
+
+
 def test_license_scan_of_an_empty_table(spark):
     model = license_scan.train(spark, make_docs(spark, []), 50)
     got = license_scan.scan(make_docs(spark, [(1, "Released under the MIT License."), (2, None), (3, "")]), model).collect()
