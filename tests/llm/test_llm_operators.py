@@ -374,11 +374,136 @@ def test_decontamination(spark):
 
 
 def test_decontamination_of_short_and_bare_items(spark):
-    """Items of four to eight tokens, and such without four plain words, which must stand as a line; each against plain Python."""
-    bench = spark.createDataFrame([(1, "12 + 7 = 19"), (2, "Paul, Maria, Olga"), (3, "how tall is a tree"), (4, "name the red and blue birds here now"), (5, "7")], "item_id long, text string")
-    rows = [(1, "see\n12 + 7 = 19\nend"), (2, "see 12 + 7 = 19 end"), (3, "12 + 7 = 20"), (4, "x\nPaul Maria Olga"), (5, "we ask how tall is a tree there"), (6, "name the red and blue birds here now"), (7, "how tall is one tree"), (8, "7 up"), (9, "7")]
-    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(make_docs(spark, rows + ODD, True), bench).collect()}
-    assert got == {(1, 1), (4, 2), (5, 3), (6, 4), (9, 5)}
+    """Items of four to eight tokens, such without plain words (their very tokens, lines taken together), and such under four tokens (whole lines)."""
+    items = [(1, "12 + 7 = 19"), (2, "Paul, Maria, Olga"), (3, "how tall is a tree"), (4, "name the red and blue birds here now"), (5, "7"), (6, "What is 17 times 23?"), (7, "3 + 4 = 7\n5 + 6 = 11"), (8, "8\n9")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "see\n12 + 7 = 19\nend"), (2, "see 12 + 7 = 19 end"), (3, "12 + 7 = 20"), (4, "x\nPaul Maria Olga"), (5, "we ask how tall is a tree there"), (6, "name the red and blue birds here now"), (7, "how tall is one tree"), (8, "7 up"), (9, "7"),
+            (10, "some text. What is 17 times 23? more"), (11, "some text. what is 18 times 5? more"), (12, "Question: 3 + 4 = 7\n5 + 6 = 11 and so on"), (13, "3 + 4 = 7 5 + 6 = 12"), (14, "12 - 7 = 19"), (15, "a\n8\n9\nb"), (16, "a 8\n9"), (17, "12 7 19"), (18, "3 + 4 = 7 5 + 8 = 13")]
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontamination.contaminated(make_docs(spark, rows + ODD, True), bench).collect()}
+    assert got == {k: k == (11, 6) for k in [(1, 1), (2, 1), (4, 2), (5, 3), (6, 4), (9, 5), (10, 6), (11, 6), (12, 7), (13, 7), (15, 8)]}  # of (13, 7) two of three windows
+
+
+def plain_tokens(text):
+    """(token, kind) with kind word, number, unit, name or sign; whether a sentence ends before it; its line. The rule in plain Python, for ASCII."""
+    out, end = [], 0
+    for m in re.finditer(r"[A-Za-z0-9]+(?:(?<=\d)[.,:/-](?=\d)[A-Za-z0-9]+)*|[-+*/=<>^]", text):
+        t = m.group()
+        if not t[0].isalnum():
+            left, right = text[: m.start()].rstrip(" \t")[-1:].isdigit(), text[m.end() :].lstrip(" \t")[:1].isdigit()
+            if not (left and right if t in "-/" else left or right):
+                continue
+        opens = not out or any(c in ".!?:;\n" for c in text[end : m.start()])
+        kind = "sign" if not t[0].isalnum() else "number" if any(c.isdigit() for c in t) else "unit" if t.lower() in decontamination.UNITS else "name" if t[0].isupper() and not opens else "word"
+        out.append((t.lower(), kind, opens, text[: m.start()].count("\n")))
+        end = m.end()
+    return out
+
+
+def plain_template(toks):
+    """[(value, literal or None, is a plain word)], neighbours of one type as one."""
+    out = []
+    for k, (t, kind, opens, _) in enumerate(toks):
+        if kind in ("word", "sign"):
+            out.append((t, None, kind == "word"))
+        elif k and not opens and toks[k - 1][1] == kind:
+            out[-1] = (kind.upper(), out[-1][1] + (t,), False)
+        else:
+            out.append((kind.upper(), (t,), False))
+    return out
+
+
+def plain_windows(text):
+    """Of an item its class and windows {place: (size, values, slots)}; and of a text all windows of any size, by size and values."""
+    toks = plain_tokens(text)
+    temp, bare = plain_template(toks), [t[0] for t in toks]
+    edge = [k in (0, len(toks)) or toks[k][3] != toks[k - 1][3] for k in range(len(toks) + 1)]
+
+    def at(size):
+        if size > 0:
+            need = 3 if 5 <= size < 8 else 4
+            spans = ((k, temp[k : k + size]) for k in range(len(temp) - size + 1))
+            return {k: (tuple(x[0] for x in w), tuple(x[1] for x in w if x[1])) for k, w in spans if sum(x[2] for x in w) >= need}
+        return {k: (tuple(bare[k : k - size]), ()) for k in range(len(bare) + size + 1) if size <= -4 or edge[k] and edge[k - size]}
+
+    size = min(len(temp), 8)
+    own = at(size) if size >= 4 else {}
+    if own:
+        values = list(dict.fromkeys(x[1] for x in temp if x[1]))
+        return (tuple((x[0], x[1] and values.index(x[1])) for x in temp), size), own, at
+    size = -min(len(bare), 8)
+    return (tuple(bare), size), (at(size) if size else {}), at
+
+
+def test_decontamination_against_the_rule_in_plain_python(spark):
+    rng = random.Random(11)
+    vocabulary = "how many of the red boxes does take hold when is what + - * / = < 5 7 12 3.5 10-4 kg miles Paul Maria Olga\n . ? ; :".split(" ")
+
+    def text(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    def varied(t):
+        change = {a: b for names in (["5", "7", "12", "3.5"], ["Paul", "Maria", "Olga"], ["kg", "miles"]) for a, b in zip(names, rng.sample(names, len(names)))}
+        return " ".join(change.get(x, x) if rng.random() < 0.97 else x for x in t.split(" "))
+
+    items = [(k, text(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 20]))) for k in range(60)]
+    items += [(60 + k, varied(items[k % 60][1])) for k in range(60)]
+    docs = [(k, text(rng.randrange(40)) + rng.choice([" ", "\n", ". "]) + rng.choice([lambda t: t, varied])(rng.choice(items)[1]) + rng.choice([" ", "\n"]) + text(rng.randrange(40))) for k in range(600)]
+    classes = {}
+    for item, t in items:
+        key, own, _ = plain_windows(t)
+        if own:
+            classes.setdefault(key, []).append((item, own))
+    expect = {}
+    for doc, t in docs:
+        at = plain_windows(t)[2]
+        held = {size: at(size) for size in {key[1] for key in classes}}
+        for key, members in classes.items():
+            places, same = set(), False
+            windows = members[0][1]
+            first = {}
+            for p, (values, slots) in held[key[1]].items():
+                first.setdefault(values, []).append((p, slots))
+            copies = {}
+            for q, (values, slots) in windows.items():
+                for p, new in first.get(values, []):
+                    copies.setdefault(p - q, []).append((q, slots, new))
+            for found in copies.values():
+                pairs = {x for _, old, new in found for x in zip(old, new)}
+                if len({a for a, _ in pairs}) == len(pairs):
+                    places |= {q for q, *_ in found}
+                    same |= any(all(own[q][1] == new for q, _, new in found) for _, own in members)
+            if places and (len(places) >= 8 or len(places) / len(windows) >= 0.5):
+                item = min(m[0] for m in members)
+                assert (doc, item) not in expect
+                expect[doc, item] = (len({m[0] for m in members}), len(places), len(windows), not same)
+    docs = make_docs(spark, docs).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): (r["items"], r.matched, r.item_windows, r.reparameterised) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == expect and len(expect) > 300 and sum(v[3] for v in expect.values()) > 30 and max(v[0] for v in expect.values()) > 1
+    found = {r.item_id: r.class_item for r in decontamination.template_classes(bench).collect()}
+    assert found == {m[0]: min(x[0] for x in members) for members in classes.values() for m in members}
+
+
+def test_decontamination_of_a_family_of_items(spark):
+    """Questions of one template are one class: a row per document, not one per document and question."""
+    ask = "A farmer has {} boxes of {} kg each and how many more are left when the {} of them are gone"
+    bench = spark.createDataFrame([(k, ask.format(k, 2 * k + 3, 5000 + k)) for k in range(40)], "item_id long, text string")
+    docs = make_docs(spark, [(k, ask.format(k, 2 * k + 3, 5000 + k)) for k in range(20, 60)])
+    got = decontamination.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r["items"], r.reparameterised) for r in got) == [(k, 0, 40, k >= 40) for k in range(20, 60)]
+    assert decontamination.template_classes(bench).where("class_item = 0").count() == 40
+
+
+def test_decontamination_of_a_long_text_with_bare_items(spark):
+    """Lines and tokens of a text over a MiB are counted through its pieces."""
+    items = [(1, "12 + 7 = 19\n20 + 5 = 25"), (2, "41\n42")]
+    size = decontamination.pieces.__globals__["PIECE"]
+    rows = []
+    for k in range(0, 60, 3):
+        for item, t in items:
+            rows.append((100 * item + k, "\n".join([("word and " * (size // 9))[: size - 40 + k], t, "end"])))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(make_docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(doc, doc // 100) for doc, _ in rows}
 
 
 def test_embeddings(spark):
@@ -657,7 +782,7 @@ def test_rewrite_keeps_every_row(spark, tmp_path):
 def test_op1_moves_text(spark, tmp_path):
     from snapweave.llm.queries import op1_min_cost_resharding
 
-    rows = [(k % 50 if k % 11 else None, "x" * (k % 83)) for k in range(300)]
+    rows = [(k % 50 if k % 11 else None, "x" * (k % 83)) for k in range(600)]
     docs = make_docs(spark, rows).withColumn("source", F.concat(F.lit("s"), (F.length("text") % 5).cast("string")))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = op1_min_cost_resharding(spark, str(tmp_path))
