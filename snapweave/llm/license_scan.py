@@ -211,20 +211,6 @@ def _forms(seed: int) -> list[tuple[str, int, bool]]:
     return out
 
 
-def _least(rows: int):
-    """Of each task the rows of least code, `rows` at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            best = (now if best is None else pa.concat_tables([best, now])).sort_by("code").slice(0, rows)
-        if best is not None:
-            yield from best.to_batches()
-
-    return run
-
-
 def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS, steps: int = 30, scratch: Scratch | None = None) -> dict:
     """Weights (BUCKETS x families), intercepts and temperature. Of the corpus's windows training sees a bounded sample: the `unknown_rows` of least hash.
 
@@ -254,11 +240,8 @@ def train(spark: SparkSession, docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in best], pa.int64()), pa.array([w for _, w in best], pa.list_(pa.int64()))], ["code", "words"])
 
     scratch = scratch or Scratch(spark, "licence")
-    kind = "code long, words array<long>"
-    best = scratch.table(docs.select("text").mapInArrow(trimmed(plain), kind), "best")
-    while (tasks := len(best.inputFiles())) > 16:  # a tree, so that no task sees the rows of all
-        best = scratch.table(best.repartition(-(-tasks // 16), "code").mapInArrow(trimmed(_least(unknown_rows)), kind), f"best-{tasks}")
-    last = best.select("code").distinct().orderBy("code").limit(unknown_rows).agg(F.max("code").alias("code")).first().code
+    best = scratch.table(docs.select("text").mapInArrow(trimmed(plain), "code long, words array<long>"), "best")
+    last = best.select("code").distinct().orderBy("code").limit(unknown_rows).agg(F.max("code").alias("code")).first().code  # codes alone, of each task of the distinct unknown_rows at most
     sample = best.where(F.col("code") <= (0 if last is None else last)).dropDuplicates(["code"]).collect()  # unknown_rows at most
     sample.sort(key=lambda r: r.code)
     rows = []

@@ -647,6 +647,25 @@ def test_license_scan_of_an_empty_table(spark):
     assert [(r.doc_id, r.family) for r in got] == [(1, "mit")]
 
 
+def test_license_sample_in_many_tasks(spark, monkeypatch):
+    """Where a repartition gives more tasks than it was asked for, training ends too, with the sample of one task."""
+    rng = random.Random(5)
+    docs = make_docs(spark, [(k, "\n".join(" ".join(words(rng, 12)) for _ in range(3))) for k in range(60)])
+    one = license_scan.train(spark, docs.coalesce(1), 40, steps=3)
+    frame, written, put = type(docs), [], license_scan.Scratch.table
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *c, f=frame.repartition: f(self, max(n, 40), *c))
+    many = docs.repartition(40, "doc_id")
+
+    def table(self, df, name):
+        written.append(name)
+        assert len(written) < 5, "it does not end"
+        return put(self, df, name)
+
+    monkeypatch.setattr(license_scan.Scratch, "table", table)
+    got = license_scan.train(spark, many, 40, steps=3)
+    assert got["temperature"] == one["temperature"] and np.allclose(got["weights"], one["weights"], atol=1e-3)
+
+
 def test_license_scan_of_a_long_line(spark):
     """A notice inside a line of some thousand words; no part of a text is cut off."""
     rng = random.Random(6)
