@@ -103,7 +103,7 @@ def _back(data: np.ndarray, first: int, low: int) -> int:
 def paragraphs(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
     """Of all lines with words: (row, line from 0, word hashes, where each line's words begin and the last end, number of each line's paragraph, lines that have come before, places of the words' first bytes, places past their last).
 
-    A text of over a MiB comes in several parts, cut at line ends. A part begins with the LINES - 1 lines before it once more, so that every window lies whole in
+    A text of over PIECE bytes comes in several parts, cut at line ends. A part begins with the LINES - 1 lines before it once more, so that every window lies whole in
     one part; windows of nothing but lines that have come before are left out by windows().
     """
     data, offsets = text_bytes(column)

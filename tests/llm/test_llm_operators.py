@@ -2,11 +2,13 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -647,6 +649,21 @@ def test_license_scan_of_an_empty_table(spark):
     assert [(r.doc_id, r.family) for r in got] == [(1, "mit")]
 
 
+def test_memory_of_a_batch_of_texts():
+    """What a task of lines or of windows holds beside a batch is a few times a piece of text."""
+    rng = random.Random(8)
+    texts = pa.array([" ".join(words(rng, 300)) for _ in range(2000)])
+    ids = pa.array(np.arange(len(texts)))
+    batch = pa.RecordBatch.from_arrays([ids, ids, texts], ["doc_id", "row_key", "text"])
+    for run in (line_dedup._lines(5, np.zeros(0, np.uint64))[0], decontamination._emit(lambda: lambda win: win < 0, [8])[0]):
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 30_000_000
+
+
 def test_license_sample_in_many_tasks(spark, monkeypatch):
     """Where a repartition gives more tasks than it was asked for, training ends too, with the sample of one task."""
     rng = random.Random(5)
