@@ -245,7 +245,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(words_pattern(spark, pattern)), F.lit(0))
     rows = docs.select(F.struct(*kept).alias("row"), words.alias("words"))
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // max(1, BLOCK // (2 * split))))
+    parts = rows.rdd.getNumPartitions()
+    rows = rows.coalesce(max(1, min(parts, spark.sparkContext.defaultParallelism), parts // max(1, BLOCK // (2 * split))))  # large blocks, but no core without one
     kind = docs.select(F.struct(*kept).alias("row")).schema[0].dataType.simpleString()
     blocks = rows.mapInArrow(trimmed(_blocks), f"rows array<{kind}>, sizes array<int>, words array<string>, codes binary")
     blocks = blocks.select("rows", "sizes", own.all_encoded(F.col("words")).alias("words"), "codes")

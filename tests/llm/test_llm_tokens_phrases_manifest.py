@@ -133,3 +133,14 @@ def test_manifest_query_on_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
     got = queries.op13_merkle_manifest(spark, SF_DIR).collect()
     assert sorted(map(tuple, got), key=str) == proofs(rows) and 0 < sum(r.verified for r in got) < len(got)
+
+
+def test_byte_bpe_of_a_small_table_uses_all_cores(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string").repartition(8)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+        assert out.rdd.getNumPartitions() >= min(8, spark.sparkContext.defaultParallelism)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
