@@ -19,7 +19,7 @@ from .words import trimmed
 #: Chunks that each half of a worker's memory of ids holds, and the longest that is remembered (so it is bounded in bytes too).
 REMEMBERED, LONGEST = 200_000, 40
 #: Bytes of text that are tokenised together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 19
 #: Letters (of blocks where every letter stands for itself under NFC and has one lower case), then ASCII marks other than ' < |.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]*)([!-&(-/:;=>?@\[-`{}~]*)")
 _loaded: dict[str, _Ids] = {}
@@ -102,6 +102,9 @@ class _Ids:
                     self.young[chunks[k]] = out[k]
         return out
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
 
 def _ids(path: str) -> _Ids:
     if path not in _loaded:
@@ -129,7 +132,7 @@ def _cut(path: str, capacity: int):
     names = ("doc_id", "piece", "start", "length", "ids_crc32")
     schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()))
             row = 0
@@ -147,6 +150,12 @@ def _cut(path: str, capacity: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
                 row = stop
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from cut(batches)
+        finally:
+            _ids(path).forget()  # a worker goes on to other stages, and its memory counts beside the JVM's
+
     return run
 
 

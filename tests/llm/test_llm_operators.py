@@ -907,3 +907,19 @@ def test_stages_on_empty_tables_and_nulls(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
             assert out.count() <= max(len(rows), 60_000) and (name == "packing" or out.columns == docs.columns)
+
+
+ODD_WORDS = [f"{a}{b}" for a in ("alpha", "beta", "gamma,", "\u00e9t\u00e9", "x-") for b in range(400)]
+
+
+def test_packing_holds_little_and_keeps_nothing_after_a_task():
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    texts = [" ".join(rng.choice(ODD_WORDS) for _ in range(400)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    list(packing._cut(path, 2048)(iter([batch.slice(0, 1)])))  # the tokenizer is loaded
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in packing._cut(path, 2048)(iter([batch])))
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows >= 2000 and peak < 24 << 20 and held < 1 << 20
+    assert not packing._ids(path).young and not packing._ids(path).old
