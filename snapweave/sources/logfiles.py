@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +15,13 @@ from pyspark.sql.window import Window
 
 SCHEMA = "file string, size long, part int, nth long, start long, end long, line string, complete boolean"
 _ARROW = pa.schema([("file", pa.string()), ("size", pa.int64()), ("part", pa.int32()), ("nth", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("line", pa.string()), ("complete", pa.bool_())])
-#: Bytes that are read at once, of a range in one partition, and lines of a batch.
-CHUNK, RANGE, LINES = 1 << 20, 64 << 20, 20_000
+#: Bytes that are read at once, of a range, and lines of a batch; bytes up to which ranges share a partition, and that are read at once beyond its ends.
+CHUNK, RANGE, LINES, TASK, REACH = 1 << 20, 64 << 20, 20_000, 8 << 20, 64 << 10
 
 
 @dataclass
 class Range(InputPartition):
-    """The lines of a file that start in [low, high); those that aren't ended by a line feed only if `open_end`."""
+    """The lines of a file that start in [low, high), which are ranges of `each` bytes from the `part`th on; those that aren't ended by a line feed only if `open_end`."""
 
     path: str
     file: str
@@ -29,6 +30,7 @@ class Range(InputPartition):
     low: int
     high: int
     open_end: bool
+    each: int = RANGE
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -79,63 +81,68 @@ def tail_start(file, size: int, n: int) -> int:
     return 0
 
 
-def _lines(file, own: Range) -> Iterator[tuple[int, bytes, bool]]:
-    """(start, line, ended by a line feed) of a range: read from the byte before it, so that a line which starts with the range is known to."""
+def _blocks(file, own: Range) -> Iterator[tuple[int, bytes]]:
+    """(first byte, bytes) of whole lines that start in [low, high): read from the byte before it, so that a line which starts with it is known to. Only the last block of a file may be without a line feed at its end."""
     at = own.low
     if at:
         file.seek(at - 1)
-        while True:  # the line that reaches into the range belongs to an earlier one
-            held = file.read(CHUNK)
-            found = held.find(b"\n")
-            if found >= 0 or not held:
-                break
+        while (found := (held := file.read(REACH)).find(b"\n")) < 0:  # the line that reaches into the range belongs to an earlier one
             at += len(held)
-        if not held:
-            return
+            if not held or at >= own.high:
+                return
         at += found
         file.seek(at)
     rest: list[bytes] = []
     start = at
     while start < min(own.high, own.size):
-        held = file.read(min(CHUNK, own.size - at))
+        held = file.read(min(CHUNK, max(own.high - at, REACH), own.size - at))
         if not held:
             break
+        last = held.find(b"\n", max(0, own.high - 1 - at)) if at + len(held) >= own.high else -1  # the line that starts last may end beyond
+        last = last if last >= 0 else held.rfind(b"\n")
         at += len(held)
-        *ended, last = held.split(b"\n")
-        for line in ended:
-            line = b"".join([*rest, line]) if rest else line
-            rest = []
-            if start >= own.high:
-                return
-            yield start, line, True
-            start += len(line) + 1
-        if last:
-            rest.append(last)
-    if rest and start < own.high and own.open_end:
-        yield start, b"".join(rest), False
+        rest.append(held[: last + 1] if last >= 0 else held)
+        if last >= 0:
+            block = b"".join(rest)
+            yield start, block
+            start, rest = start + len(block), [held[last + 1 :]]
+    if start < own.high and own.open_end and (block := b"".join(rest)):
+        yield start, block
 
 
 def _batches(own: Range) -> Iterator[pa.RecordBatch]:
-    system, _ = filesystem(own.path)
-    held: list[tuple[int, bytes, bool]] = []
-    done = size = 0
-
-    def batch() -> pa.RecordBatch:
-        n = len(held)
-        text = [line.decode("utf-8", "replace") for _, line, _ in held]
-        ends = [start + len(line) + ended for start, line, ended in held]
-        columns = [[own.file] * n, [own.size] * n, [own.part] * n, range(done, done + n), [x[0] for x in held], ends, text, [x[2] for x in held]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
-
-    with system.open_input_file(filesystem(own.path)[1]) as file:
-        for line in _lines(file, own):
-            held.append(line)
-            size += len(line[1])
-            if len(held) == LINES or size > 8 * CHUNK:
-                yield batch()
-                done, held, size = done + len(held), [], 0
-    if held:
-        yield batch()
+    """Lines of a partition's ranges in one pass, with the range that each starts in and its place there."""
+    system, path = filesystem(own.path)
+    last, seen = -1, 0  # range of the line before, and its lines so far
+    with system.open_input_file(path) as file:
+        for start, block in _blocks(file, own):
+            lines, whole = block.split(b"\n"), block.endswith(b"\n")
+            if whole:
+                lines.pop()
+            n = len(lines)
+            sizes = np.fromiter(map(len, lines), np.int64, n)
+            ends = start + np.cumsum(sizes + 1)
+            starts = ends - sizes - 1
+            part = own.part + (starts - own.low) // own.each
+            nth = np.arange(n) - np.searchsorted(part, part) + np.where(part == last, seen, 0)
+            last, seen = int(part[-1]), int(nth[-1]) + 1
+            complete = np.ones(n, bool)
+            if not whole:
+                ends[-1], complete[-1] = ends[-1] - 1, False
+            try:
+                text = pa.array(lines, pa.binary()).cast(pa.string())
+            except pa.ArrowInvalid:
+                text = pa.array([line.decode("utf-8", "replace") for line in lines], pa.string())
+            columns = [pa.repeat(own.file, n), pa.repeat(pa.scalar(own.size, pa.int64()), n), pa.array(part.astype(np.int32)), pa.array(nth), pa.array(starts), pa.array(ends), text, pa.array(complete)]
+            batch = pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+            for k in range(0, n, LINES):
+                yield batch.slice(k, LINES)
+
+
+def _partitions(path: str, name: str, size: int, first: int, last: int, each: int, open_end: bool) -> list[Range]:
+    """[first, last) of a file in ranges of `each` bytes; small ranges share a partition, up to TASK bytes."""
+    many = max(1, TASK // each)
+    return [Range(path, name, size, k * many, at, min(last, at + many * each), open_end, each) for k, at in enumerate(range(first, last, many * each))]
 
 
 def _uri(path: str, own: str) -> str:
@@ -156,8 +163,7 @@ class _Reader(DataSourceReader):
             if tail is not None:
                 with system.open_input_file(path) as file:
                     first, last = tail_start(file, size, int(tail)), size
-            for part, at in enumerate(range(first, last, each)):
-                out.append(Range(_uri(self.path, path), name, size, part, at, min(last, at + each), True))
+            out += _partitions(_uri(self.path, path), name, size, first, last, each, True)
         return out or [Range("", "", 0, 0, 0, 0, False)]
 
     def read(self, own: Range) -> Iterator[pa.RecordBatch]:
@@ -189,7 +195,7 @@ class _Follower(DataSourceStreamReader):
             first = start.get(name, 0)
             first = 0 if first > last else first
             if name in held:
-                out += [Range(_uri(self.path, held[name]), name, last, k, at, min(last, at + self.each), False) for k, at in enumerate(range(first, last, self.each))]
+                out += _partitions(_uri(self.path, held[name]), name, last, first, last, self.each, False)
         return out or [Range("", "", 0, 0, 0, 0, False)]
 
     def read(self, own: Range) -> Iterator[pa.RecordBatch]:

@@ -61,6 +61,57 @@ def test_only_what_is_asked_for_is_planned(folder):
     assert read() == size and read(tail="2") < size / 10 and read(low="0", high="10") <= 10 * len(held) and read(back="10") <= 10 * len(held)
 
 
+def test_small_ranges_share_partitions(folder, monkeypatch):
+    path, held = folder
+    files_held = [f for f, data in held.items() if data]
+    assert sorted(r.file for r in logfiles._Reader({"path": path, "range_bytes": "97"}).partitions()) == sorted(files_held)
+    monkeypatch.setattr(logfiles, "TASK", 300)
+    reader = logfiles._Reader({"path": path, "range_bytes": "97"})
+    assert {r.low % 291 for r in reader.partitions()} == {0}
+    got = [tuple(row.values()) for own in reader.partitions() for batch in reader.read(own) for row in batch.select(["file", "part", "nth", "start", "line"]).to_pylist()]
+    want, last = [], ()
+    for name in sorted(files_held):
+        for start, _, line in lines_of(held[name]):
+            last = (name, start // 97, last[2] + 1 if last[:2] == (name, start // 97) else 0)
+            want.append((*last, start, line))
+    assert got == want
+
+
+def test_small_ranges_read_each_byte_about_once(tmp_path, monkeypatch):
+    own, read, real = tmp_path / "a.log", [], logfiles.filesystem
+    own.write_bytes(b"".join(b"line %d\n" % k for k in range(200_000)))
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.seek = file, file.seek
+
+        def read(self, n):
+            read.append(len(held := self.file.read(n)))
+            return held
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+    class System:
+        def __init__(self, system):
+            self.get_file_info, self.open_input_file = system.get_file_info, lambda path: Counted(system.open_input_file(path))
+
+    monkeypatch.setattr(logfiles, "filesystem", lambda path: (System(real(path)[0]), real(path)[1]))
+    reader = logfiles._Reader({"path": str(own), "range_bytes": "4096"})
+    assert sum(batch.num_rows for part in reader.partitions() for batch in reader.read(part)) == 200_000
+    assert sum(read) < 1.2 * own.stat().st_size
+
+
+def test_lines_that_are_not_utf8(tmp_path):
+    (tmp_path / "a.log").write_bytes(b"good\n\xff\xfe bad\nlast \xc3")
+    reader = logfiles._Reader({"path": str(tmp_path), "range_bytes": "4"})
+    got = [tuple(row.values()) for own in reader.partitions() for batch in reader.read(own) for row in batch.select(["start", "end", "line", "complete"]).to_pylist()]
+    assert got == [(0, 5, "good", True), (5, 12, "\ufffd\ufffd bad", True), (12, 18, "last \ufffd", False)]
+
+
 def test_stream_of_files_that_grow(spark, tmp_path):
     logs, root = tmp_path / "logs", str(tmp_path / "root")
     logs.mkdir()
