@@ -104,9 +104,9 @@ def html_files(t):
     path, rows = _root(t), t.snapshots
     store.write_html_files(rows.where("id % 2 = 0"), path)
     store.write_html_files(rows, path)
-    found = store.read_html_files(t.spark, path, "2024-01-02", "2024-01-20")
+    found = store.read_html_files(t.spark, path, "2024-01-02", "2024-01-20").select("html_path", F.sha2("html", 256).alias("hash"))
     named = rows.select("id", store.html_path(F.col("url"), F.col("captured_at")).alias("html_path"))
-    return named.join(found, "html_path").select("id", "html_path", F.sha2("html", 256).alias("hash"))
+    return named.join(found, "html_path").select("id", "html_path", "hash")
 
 
 @query("SELECT DISTINCT 'resources/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h || '.html' AS path, h AS file_hash, strlen(html) AS length FROM (SELECT sha256(html) AS h, html FROM pages)")

@@ -76,15 +76,11 @@ def write_html_files(snapshots: DataFrame, path: str) -> None:
 
 
 def read_html_files(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """html_path, html and capture_date of the html store; of a range of days only the folders of its months are listed. Empty files have no row, as in all of Spark's scans."""
-    months = "*" if not start or not end else "{" + ",".join(f"{m:%Y/%m}" for m in pd.date_range(start[:7], end[:7], freq="MS")) + "}"
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("ignoreMissingFiles", "true").load(f"{path}/html/{months}/*" + ("/*" if months == "*" else ""))
-    own = F.regexp_extract("path", r"(html/\d{4}/\d{2}/\d{2}/[^/]+)$", 1)
-    day = F.to_date(F.substring(own, 6, 10), "yyyy/MM/dd")
-    rows = found.select(own.alias("html_path"), F.col("content").cast("string").alias("html"), day.alias("capture_date"))
-    if start:
-        rows = rows.where(F.col("capture_date") >= F.lit(start).cast("date"))
-    return rows.where(F.col("capture_date") <= F.lit(end).cast("date")) if end else rows
+    """html_path, html and capture_date of the html store; of a range of days only their folders are listed, by tasks. Names and contents of files don't pass through the driver."""
+    low, high = (f"{pd.Timestamp(d):%Y/%m/%d}" if d else None for d in (start, end))
+    found = files.read_days(spark, f"{path}/html", ".html", low, high)
+    own = F.regexp_extract("file_path", r"(html/\d{4}/\d{2}/\d{2}/[^/]+)$", 1)
+    return found.select(own.alias("html_path"), F.col("content").cast("string").alias("html"), F.to_date(F.substring(own, 6, 10), "yyyy/MM/dd").alias("capture_date"))
 
 
 def write_resources(new: DataFrame, stored: DataFrame, path: str) -> None:

@@ -1,8 +1,10 @@
 """Sources over real files: byte ranges of logs, logs that grow, and stores in their own layout."""
 
 import hashlib
+import pickle
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,47 @@ def test_html_store_by_days(spark, tmp_path):
     got = store.read_html_files(spark, path, "2024-01-31", "2024-02-28").collect()
     assert sorted(r.html for r in got) == ["<p>é", "b", "d"] and all(r.html_path.startswith(f"html/{r.capture_date:%Y/%m/%d}/") for r in got)
     assert store.read_html_files(spark, path).count() == 4
+
+
+def test_html_store_passes_no_names_through_the_driver(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "html-store")
+    rows = spark.range(300).select(F.concat(F.lit("u"), "id").alias("url"), F.expr("timestamp_ntz'2024-01-31 10:00:00' + make_dt_interval(cast(id % 3 as int))").alias("captured_at"), F.when(F.col("id") > 0, F.col("id").cast("string")).alias("html"))
+    store.write_html_files(rows, path)
+    (tmp_path / "html-store/html/2024/01/31/_hidden.html").write_text("no")
+    (tmp_path / "html-store/html/2024/01/31/other.txt").write_text("no")
+    monkeypatch.setattr(files, "SHARE", 30)
+    monkeypatch.setattr(files, "ROWS", 7)
+    found = store.read_html_files(spark, path, "2024-01-31", "2024-02-01")
+    assert found.inputFiles() == [] and found.rdd.getNumPartitions() == 8
+    got = found.collect()
+    assert sorted(r.html for r in got) == sorted(str(k) if k else "" for k in range(300) if k % 3 < 2)
+    assert {(r.capture_date.isoformat(), r.html_path[:16]) for r in got} == {("2024-01-31", "html/2024/01/31/"), ("2024-02-01", "html/2024/02/01/")}
+    assert len({r.html_path for r in got}) == 200 and store.read_html_files(spark, path).count() == 300
+    assert store.read_html_files(spark, path, "2025-01-01", "2025-02-01").count() == 0 and store.read_html_files(spark, path, start="2024-02-02").count() == 100
+
+
+def _batch(names):
+    return pa.RecordBatch.from_pydict({"path": names, "part": [0] * len(names), "content": [n.encode() for n in names]})
+
+
+def test_writers_messages_hold_no_names(tmp_path):
+    (tmp_path / "kept").write_bytes(b"old")
+    sizes = []
+    for n in (1, 300):
+        writer = files._Writer({"path": str(tmp_path)})
+        message = writer.write(iter([_batch([f"{n}/{k}" for k in range(n)])]))
+        sizes.append(len(pickle.dumps(message)))
+        writer.commit([message])
+    assert sizes[1] <= sizes[0] + 8
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["1", "300", "kept"] and len(list((tmp_path / "300").iterdir())) == 300
+
+
+def test_aborted_job_takes_away_what_all_tasks_made(tmp_path):
+    (tmp_path / "kept").write_bytes(b"old")
+    writer = files._Writer({"path": str(tmp_path)})
+    writer.write(iter([_batch(["a/1", "a/é\n", "kept"])]))  # its message is lost
+    message = writer.write(iter([_batch(["b/1"])]))
+    writer.abort([None, message])
+    assert [(p.name, p.read_bytes()) for p in tmp_path.rglob("*") if p.is_file()] == [("kept", b"old")]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".made")]
+    files._Writer({"path": str(tmp_path)}).abort([])
